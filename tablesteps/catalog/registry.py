@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,17 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Parquet tables of one folder, read on first use."""
+    """Parquet tables of one folder; a table is opened once per query."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
-    @property
+    @cached_property
     def w(self) -> DataFrame:
         """Orders as a question table: id, total-row mark, text, number, date and mixed columns."""
         return self.orders.select(

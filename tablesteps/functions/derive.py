@@ -1,8 +1,7 @@
 """Columns derived from free text: lists, numbers, years, months, names.
 
-Each function is row-local except the list functions, which first choose one
-delimiter for the whole column; that choice is a one-row aggregate used as a
-scalar subquery.
+All functions are row-local. The list functions need one delimiter for the whole
+column, which ``with_delimiter`` adds from a one-row aggregate.
 """
 
 from __future__ import annotations
@@ -25,10 +24,10 @@ def address_parts(text: Column) -> Column:
     return F.split(text, ", ")
 
 
-def delimiter(df: DataFrame, name: str) -> Column:
-    """Delimiter that cuts the whole column into most parts; ties go to the earlier one."""
+def with_delimiter(df: DataFrame, name: str, mark: str) -> DataFrame:
+    """Add the delimiter that cuts the whole column into most parts; ties go to the earlier one."""
     totals = [
-        F.coalesce(F.sum(F.size(F.split(F.col(name), mark))), F.lit(0)) for mark in DELIMITERS
+        F.coalesce(F.sum(F.size(F.split(F.col(name), sign))), F.lit(0)) for sign in DELIMITERS
     ]
     comma, dash, _ = totals
     best = (
@@ -36,28 +35,28 @@ def delimiter(df: DataFrame, name: str) -> Column:
         .when(dash == F.greatest(*totals), F.lit(DELIMITERS[1]))
         .otherwise(F.lit(DELIMITERS[2]))
     )
-    return df.filter(F.col(name).isNotNull()).agg(best).scalar()
+    return df.withColumn(mark, df.filter(F.col(name).isNotNull()).agg(best).scalar())
 
 
-def _parts(df: DataFrame, name: str) -> Column:
-    return F.transform(F.split(F.col(name), delimiter(df, name)), strip)
+def _parts(text: Column, mark: Column) -> Column:
+    return F.transform(F.split(text, mark), strip)
 
 
-def list_parts(df: DataFrame, name: str) -> Column:
+def list_parts(text: Column, mark: Column) -> Column:
     """Trimmed parts, cut again at slashes, empty ones dropped; null gives an empty list."""
-    pieces = F.flatten(F.transform(_parts(df, name), lambda part: F.split(part, "/")))
+    pieces = F.flatten(F.transform(_parts(text, mark), lambda part: F.split(part, "/")))
     return F.coalesce(
         F.filter(pieces, lambda piece: piece != ""), F.array().cast("array<string>")
     )
 
 
-def list_max_text(df: DataFrame, name: str) -> Column:
+def list_max_text(text: Column, mark: Column) -> Column:
     """Largest part in text order (so ``9`` beats ``10``)."""
-    return F.array_max(_parts(df, name))
+    return F.array_max(_parts(text, mark))
 
 
-def list_min_text(df: DataFrame, name: str) -> Column:
-    return F.array_min(_parts(df, name))
+def list_min_text(text: Column, mark: Column) -> Column:
+    return F.array_min(_parts(text, mark))
 
 
 def first_number(text: Column) -> Column:
@@ -124,11 +123,9 @@ def clean_sql_text(text: Column) -> Column:
 
 
 # Column name suffixes. Longer suffixes come first because they contain shorter ones.
-_COLUMN_SUFFIXES = {
+_SUFFIXES = {
     "_list_maximum_number": list_max_text,
     "_list_minimum_number": list_min_text,
-}
-_ROW_SUFFIXES = {
     "_list_maximum_year": max_years,
     "_list_minimum_year": min_years,
     "_list_maximum": range_max,
@@ -138,17 +135,24 @@ _ROW_SUFFIXES = {
     "_list_year": year,
     "_list_month": month,
     "_address": address_parts,
+    "_list": list_parts,
 }
+_NEEDS_DELIMITER = {list_max_text, list_min_text, list_parts}
 
 
-def derive(df: DataFrame, names_wanted: list[str]) -> DataFrame:
+def derive(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Add the derived columns named ``<base><suffix>``; other names are left alone."""
-    added = {}
-    for wanted in names_wanted:
-        for suffix, build in {**_COLUMN_SUFFIXES, **_ROW_SUFFIXES, "_list": list_parts}.items():
-            if wanted.endswith(suffix) and wanted not in df.columns:
-                base = wanted[: -len(suffix)]
-                row_local = suffix in _ROW_SUFFIXES
-                added[wanted] = build(F.col(base)) if row_local else build(df, base)
-                break
-    return df.withColumns(added) if added else df
+    source, added, marks = df, {}, []
+    for name in wanted:
+        suffix = next((s for s in _SUFFIXES if name.endswith(s)), None)
+        if suffix is None or name in df.columns:
+            continue
+        base, build = name[: -len(suffix)], _SUFFIXES[suffix]
+        if build in _NEEDS_DELIMITER:
+            mark = f"_mark_{base}"
+            if mark not in marks:
+                source, marks = with_delimiter(source, base, mark), [*marks, mark]
+            added[name] = build(F.col(base), F.col(mark))
+        else:
+            added[name] = build(F.col(base))
+    return source.withColumns(added).drop(*marks) if added else df

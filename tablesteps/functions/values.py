@@ -16,9 +16,10 @@ SPACES = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Decimal notation, and the spellings that stay text (leading zeros).
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 INTEGER = r"^(0|[+-]?[1-9][0-9]*)$"
 PADDED = r"^(0[0-9]|-0([^.]|$))"
+_BLANKS = f"[{SPACES}]*"
 BOOL_WORDS = ["true", "false", "1", "0", "nan", "none"]
 
 
@@ -32,9 +33,10 @@ def null_false(predicate: Column) -> Column:
 
 def num(text: Column) -> Column:
     """Number in a text, or null. Words such as ``nan`` and forms such as ``1d`` are not numbers."""
-    bare = strip(text)
-    value = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    value = F.regexp_extract(text, f"^{_BLANKS}({NUMBER}){_BLANKS}$", 1).try_cast("double")
+    # The remainder by infinity is the value itself, or NaN when the text overflows a double.
+    # Written like this the text is evaluated once, however long its expression is.
+    return F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double"))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -50,7 +52,7 @@ def is_integer_text(text: Column) -> Column:
 
 def is_float_text(text: Column) -> Column:
     bare = strip(text)
-    return null_false(bare.rlike(NUMBER) & ~bare.rlike(PADDED))
+    return null_false(bare.rlike(f"^{NUMBER}$") & ~bare.rlike(PADDED))
 
 
 def is_bool_word(text: Column) -> Column:
