@@ -6,6 +6,8 @@ null is false, never null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,11 @@ _BLANKS = f"[{SPACES}]*"
 BOOL_WORDS = ["true", "false", "1", "0", "nan", "none"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
@@ -103,19 +110,20 @@ def clean_quotes(df: DataFrame) -> DataFrame:
 
 def float_text(value: Column) -> Column:
     """Shortest decimal form: plain between 1e-4 and 1e16, otherwise ``1e+16`` style."""
-    plain = value.cast("string")
-    size = F.abs(value)
+    return let(F.struct(value.alias("v"), value.cast("string").alias("s")), _decimal_form)
+
+
+def _decimal_form(number: Column) -> Column:
+    plain, size = number["s"], F.abs(number["v"])
 
     def spread(decimal: str) -> Column:
         digits = F.regexp_replace(plain.try_cast(decimal).cast("string"), "0+$", "")
-        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+        return F.regexp_replace(digits, r"\.$", ".0")
 
     mantissa = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", "")
     power = F.substring_index(plain, "E", -1).try_cast("int")
     exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0")
     )
     return (
         F.when(~plain.contains("E"), plain)
