@@ -54,7 +54,8 @@ def _plans(t):
         items = F.array(*[_struct(edge=i, child=c, parent=p, place=s) for i, (c, p, s) in enumerate(edges)])
         return items if edges else F.array().cast("array<struct<edge:int,child:string,parent:string,place:int>>")
 
-    orders = t.orders.select(
+    rows = t.spread("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    orders = rows.select(
         F.col("o_orderkey").alias("query_id"), "o_orderpriority", F.lower("o_orderstatus").alias("x"), "o_custkey"
     )
     spread = orders.select("query_id", "x", "o_custkey", _by_shape(node_items).alias("v"))
@@ -236,7 +237,8 @@ def _plan_texts(t):
         .otherwise(F.concat("o_custkey", F.lit(" ||")))
     )
     header = F.array(*[F.lit(c) for c in ("c1", "c2", "c3")])
-    return t.orders.select(F.col("o_orderkey").alias("query_id"), text.alias("text"), header.alias("header"))
+    orders = t.spread("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    return orders.select(F.col("o_orderkey").alias("query_id"), text.alias("text"), header.alias("header"))
 
 
 _TEXT_SQL = """texts AS (SELECT o_orderkey AS query_id, CASE o_orderpriority

@@ -22,7 +22,8 @@ _SELECTED = [0, 2, 1, 0, 2, 2]
 
 def _rows(t):
     """One table per nation, one row per customer, three cells."""
-    return t.customer.select(
+    rows = t.spread("customer", "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return rows.select(
         F.col("c_nationkey").alias("table_id"),
         F.col("c_custkey").alias("row_id"),
         F.array("c_name", "c_mktsegment", F.col("c_acctbal").cast("string")).alias("cells"),

@@ -4,9 +4,12 @@
   edges  query_id, edge INT, child STRING, parent STRING, place INT
 
 ``edge`` numbers a plan's edges, ``place`` is 0 for a parent's first operand and 1
-for its second. Everything that follows edges runs one join per level of the
-deepest plan; each level is written to the checkpoint folder, so the lineage of a
-level never grows and a lost executor costs one level at most.
+for its second.
+
+Values travel along edges level by level (``_propagate``). Plans of ordinary size
+are gathered into one row each and folded there, which costs one shuffle for all
+levels. Plans with more than ``GATHERED`` rows are never gathered: for them every
+level is a join, and each level is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -17,31 +20,117 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from ..operators.datasets import SUBSETS
 from ..operators.evaluation import KINDS
 from ..session import durable
 
-MAX_LEVELS = 1000  # deeper than any plan; reaching it means the edges form a cycle
+GATHERED = 256  # rows of one plan that may meet in one row
+MAX_LEVELS = 100_000  # deeper than any plan; reaching it means the edges form a cycle
+
+
+def _upward(edges: DataFrame) -> DataFrame:
+    return edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("next"), "place")
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select("query_id", F.col("parent").alias("node"), F.col("child").alias("next"), "place")
+
+
+# How values that reach one node in the same level become one: in an array of
+# (node, val) and as an aggregate over rows.
+
+
+def _combine_local(level: Column, how: str | None) -> Column:
+    if how is None:
+        return level
+    if how == "distinct":
+        return F.array_distinct(level)
+    plus = {"sum": lambda a, b: a + b, "bit_or": lambda a, b: a.bitwiseOR(b)}[how]
+
+    def total(items: Column, node: Column) -> Column:
+        vals = F.transform(F.filter(items, lambda x: x["node"] == node), lambda x: x["val"])
+        return F.struct(node.alias("node"), F.reduce(vals, F.lit(0).cast("bigint"), plus).alias("val"))
+
+    def per_node(items: Column) -> Column:
+        names = F.array_distinct(F.transform(items, lambda x: x["node"]))
+        return F.transform(names, lambda node: total(items, node))
+
+    return let(level, per_node)
+
+
+def _combine_rows(level: DataFrame, how: str | None) -> DataFrame:
+    if how is None:
+        return level
+    if how == "distinct":
+        return level.distinct()
+    return level.groupBy("query_id", "node").agg({"sum": F.sum, "bit_or": F.bit_or}[how]("val").alias("val"))
+
+
+def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) -> DataFrame:
+    """All levels of plans that fit in one row; first values and arcs are gathered together."""
+    kind = start.schema["val"].dataType
+    both = start.select("query_id", "node", "val", F.lit(None).cast("string").alias("next"), F.lit(None).cast("int").alias("place"))
+    both = both.unionByName(arcs.select("query_id", "node", F.lit(None).cast(kind).alias("val"), "next", "place"))
+    plans = both.groupBy("query_id").agg(F.collect_list(F.struct("node", "val", "next", "place")).alias("items"))
+    first = F.transform(
+        F.filter("items", lambda x: x["next"].isNull()),
+        lambda x: F.struct(x["node"].alias("node"), x["val"].alias("val")),
+    )
+    plans = plans.select(
+        "query_id", first.alias("first"), F.filter("items", lambda x: x["next"].isNotNull()).alias("arcs")
+    )
 
+    def follow(level: Column) -> Column:
+        return F.flatten(F.transform(level, lambda x: F.transform(
+            F.filter("arcs", lambda a: a["node"] == x["node"]),
+            lambda a: F.struct(a["next"].alias("node"), advance(x["val"], a["place"]).alias("val")),
+        )))
 
-def _spread(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Union of ``start`` and all levels that follow from it."""
-    level = durable(start)
+    def step(state: Column, _: Column) -> Column:
+        following = _combine_local(follow(state["level"]), how)
+        return F.when(F.size(state["level"]) == 0, state).otherwise(
+            let(following, lambda f: F.struct(f.alias("level"), F.concat(state["seen"], f).alias("seen")))
+        )
+
+    zero = F.struct(F.col("first").alias("level"), F.col("first").alias("seen"))
+    folded = F.aggregate("arcs", zero, step, lambda state: state["seen"])
+    # The outer form, because the plain one would evaluate the fold once more to drop empty lists.
+    return plans.select("query_id", folded.alias("seen")).select("query_id", F.inline_outer("seen"))
+
+
+def _loop_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) -> DataFrame:
+    """All levels of plans of any size, one join per level."""
+    arcs = durable(arcs)
+    level = durable(start.select("query_id", "node", "val"))
     levels = [level]
     while not level.isEmpty():
         if len(levels) > MAX_LEVELS:
             raise ValueError("the edges of a plan form a cycle")
-        level = durable(step(level))
+        moved = level.join(arcs, ["query_id", "node"]).select(
+            "query_id", F.col("next").alias("node"), advance(F.col("val"), F.col("place")).alias("val")
+        )
+        level = durable(_combine_rows(moved, how))
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
-def _upward(edges: DataFrame) -> DataFrame:
-    return edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("_next"))
-
+def _propagate(
+    start: DataFrame, arcs: DataFrame, advance: Callable[[Column, Column], Column], how: str | None
+) -> DataFrame:
+    """Every value of every level: (query_id, node, val).
 
-def _downward(edges: DataFrame) -> DataFrame:
-    return edges.select("query_id", F.col("parent").alias("node"), F.col("child").alias("_next"), "place")
+    ``start`` holds the first level. A value moves along the arcs of its node and
+    changes by ``advance(value, place)``; values that meet combine by ``how``.
+    """
+    sizes = start.select("query_id").unionAll(arcs.select("query_id")).groupBy("query_id").count()
+    crowded = sizes.filter(F.col("count") > GATHERED).select("query_id")
+    if crowded.isEmpty():
+        return _fold_plans(start, arcs, advance, how)
+    crowded = durable(crowded)
+    few = [d.join(crowded, "query_id", "left_anti") for d in (start, arcs)]
+    many = [d.join(crowded, "query_id", "left_semi") for d in (start, arcs)]
+    return _fold_plans(*few, advance, how).unionByName(_loop_plans(*many, advance, how))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,52 +153,33 @@ def first_consumers(edges: DataFrame) -> DataFrame:
 
 def descendants(edges: DataFrame) -> DataFrame:
     """All (node, descendant) pairs of every plan."""
-    start = edges.select("query_id", F.col("parent").alias("top"), F.col("child").alias("node")).distinct()
-
-    def step(level: DataFrame) -> DataFrame:
-        return level.join(_downward(edges), ["query_id", "node"]).select(
-            "query_id", "top", F.col("_next").alias("node")
-        ).distinct()
-
-    pairs = _spread(start, step).distinct()
-    return pairs.select("query_id", F.col("top").alias("node"), F.col("node").alias("descendant"))
+    start = edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("val")).distinct()
+    pairs = _propagate(start, _downward(edges), lambda top, _: top, "distinct").distinct()
+    return pairs.select("query_id", F.col("val").alias("node"), F.col("node").alias("descendant"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node the length of its longest path from a leaf."""
-    start = leaves(nodes, edges).select("query_id", "node", F.lit(0).alias("level"))
-
-    def step(level: DataFrame) -> DataFrame:
-        return level.join(_upward(edges), ["query_id", "node"]).select(
-            "query_id", F.col("_next").alias("node"), (F.col("level") + 1).alias("level")
-        ).distinct()
-
-    return _spread(start, step).groupBy("query_id", "node").agg(F.max("level").alias("level"))
+    start = leaves(nodes, edges).select("query_id", "node", F.lit(0).alias("val"))
+    steps = _propagate(start, _upward(edges), lambda level, _: level + 1, "distinct")
+    return steps.groupBy("query_id", "node").agg(F.max("val").alias("level"))
 
 
 def use_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node the number of paths from the root, which is how often it is evaluated."""
-    start = roots(nodes, edges).select("query_id", "node", F.lit(1).cast("bigint").alias("uses"))
-
-    def step(level: DataFrame) -> DataFrame:
-        return level.join(_downward(edges), ["query_id", "node"]).groupBy(
-            "query_id", F.col("_next").alias("node")
-        ).agg(F.sum("uses").alias("uses"))
-
-    return _spread(start, step).groupBy("query_id", "node").agg(F.sum("uses").alias("uses"))
+    start = roots(nodes, edges).select("query_id", "node", F.lit(1).cast("bigint").alias("val"))
+    steps = _propagate(start, _downward(edges), lambda uses, _: uses, "sum")
+    return steps.groupBy("query_id", "node").agg(F.sum("val").alias("uses"))
 
 
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every path from a root to a node as a text; text order is preorder."""
-    start = roots(nodes, edges).select("query_id", "node", F.lit("").alias("path"))
+    start = roots(nodes, edges).select("query_id", "node", F.lit("").alias("val"))
 
-    def step(level: DataFrame) -> DataFrame:
-        place = F.lpad(F.col("place").cast("string"), 4, "0")
-        return level.join(_downward(edges), ["query_id", "node"]).select(
-            "query_id", F.col("_next").alias("node"), F.concat("path", place).alias("path")
-        )
+    def extend(path: Column, place: Column) -> Column:
+        return F.concat(path, F.lpad(place.cast("string"), 4, "0"))
 
-    return _spread(start, step)
+    return _propagate(start, _downward(edges), extend, None).withColumnRenamed("val", "path")
 
 
 def _kind_bit(kind: Column) -> Column:
@@ -124,17 +194,12 @@ def _bits(kinds: Sequence[str]) -> int:
 def kind_masks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node one bit set: its own kind and the kinds of all its descendants.
 
-    The bits travel upwards level by level, one row per node and level, so shared
-    nodes do not multiply rows.
+    The bits travel upwards, one value per node and level, so shared nodes do not
+    multiply them.
     """
-    start = nodes.select("query_id", "node", _kind_bit(F.col("kind")).alias("mask"))
-
-    def step(level: DataFrame) -> DataFrame:
-        return level.join(_upward(edges), ["query_id", "node"]).groupBy(
-            "query_id", F.col("_next").alias("node")
-        ).agg(F.bit_or("mask").alias("mask"))
-
-    return _spread(start, step).groupBy("query_id", "node").agg(F.bit_or("mask").alias("mask"))
+    start = nodes.select("query_id", "node", _kind_bit(F.col("kind")).cast("bigint").alias("val"))
+    masks = _propagate(start, _upward(edges), lambda mask, _: mask, "bit_or")
+    return masks.groupBy("query_id", "node").agg(F.bit_or("val").alias("mask"))
 
 
 def exec_status(
@@ -157,10 +222,11 @@ def exec_status(
         ]
         return reduce(Column.bitwiseOR, flags)
 
-    states = masks.select("query_id", "node", open_in(F.col("mask")).alias("open"))
+    # Written once: both the nodes and their consumers read it.
+    states = durable(masks.select("query_id", "node", open_in(F.col("mask")).alias("open")))
     consumers = (
         states.join(_downward(edges), ["query_id", "node"])
-        .groupBy("query_id", F.col("_next").alias("node"))
+        .groupBy("query_id", F.col("next").alias("node"))
         .agg(F.bit_or("open").alias("needed"))
     )
     everywhere = F.lit((1 << len(names)) - 1)

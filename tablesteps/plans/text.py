@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import let, null_false
 from ..operators.datasets import SUBSETS
+from ..session import durable
 from .graph import exec_status, merge_equal, paths
 
 # The words of each operator kind.
@@ -170,7 +171,7 @@ def to_text(
     (``alias='end'``).
     """
     first = order == "preorder"
-    status = exec_status(nodes, edges, subsets).filter(F.col("status") != "1")
+    status = durable(exec_status(nodes, edges, subsets).filter(F.col("status") != "1"))
     places = paths(nodes, edges)
     described = status.join(nodes.select("query_id", "node", "parameter", "result"), ["query_id", "node"])
     needed = F.col("status") == "last"
