@@ -123,7 +123,7 @@ def _decimal_form(number: Column) -> Column:
     mantissa = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", "")
     power = F.substring_index(plain, "E", -1).try_cast("int")
     exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0")
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(power))
     )
     return (
         F.when(~plain.contains("E"), plain)
