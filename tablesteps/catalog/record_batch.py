@@ -67,7 +67,7 @@ m AS (
                  ELSE false END)"""
 
 _TOTALS_SQL = _BATCH_SQL + """,
-g AS (SELECT query_id, count(*) AS n, bool_and(num IS NOT NULL) AS is_real, round(sum(num), 6) AS total, round(avg(num), 6) AS mean,
+g AS (SELECT query_id, count(*) AS n, bool_and(num IS NOT NULL) AS is_real, round(sum(num), 6) AS total, round(sum(num), 6) / count(*) AS mean,
              max(struct_pack(a := num, b := CASE WHEN sel <> 2 THEN cell END, r := row_id)) AS hi,
              min(struct_pack(a := num, b := CASE WHEN sel <> 2 THEN cell END, r := row_id)) AS lo
       FROM m GROUP BY query_id),

@@ -94,7 +94,8 @@ def _value_texts(t):
         .when(variant == 4, F.concat("o_custkey", F.lit(".0")))
         .otherwise(F.concat(F.year(day), F.lit("-13-"), "o_orderpriority"))
     )
-    return t.orders.select(F.col("o_orderkey").alias("id"), text.alias("s"))
+    rows = t.spread("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return rows.select(F.col("o_orderkey").alias("id"), text.alias("s"))
 
 
 @query("typed_value", f"""

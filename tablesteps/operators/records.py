@@ -133,13 +133,12 @@ def numbers(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.bool_and(F.col("cell.kind") == "real").alias("_real"),
         F.round(F.sum("cell.num"), 6).alias("_sum"),
-        F.round(F.avg("cell.num"), 6).alias("_avg"),
     )
     count = F.coalesce("rows", F.lit(0))
     value = (
         F.when(F.col("agg") == COUNT, count.cast("double"))
         .when((F.col("agg") == SUM) & F.col("_real"), F.col("_sum"))
-        .when((F.col("agg") == AVG) & F.col("_real"), F.col("_avg"))
+        .when((F.col("agg") == AVG) & F.col("_real"), F.col("_sum") / F.col("rows"))
     )
     joined = wanted.select("query_id", "agg").join(per_record, "query_id", "left")
     return joined.select("query_id", "agg", count.alias("rows"), value.alias("value"))

@@ -29,6 +29,11 @@ GATHERED = 256  # rows of one plan that may meet in one row
 MAX_LEVELS = 100_000  # deeper than any plan; reaching it means the edges form a cycle
 
 
+def plan_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two plan tables. Both grow with the corpus, so neither side is ever broadcast."""
+    return left.join(right.hint("merge"), list(keys), how)
+
+
 def _upward(edges: DataFrame) -> DataFrame:
     return edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("next"), "place")
 
@@ -52,11 +57,16 @@ def _combine_local(level: Column, how: str | None) -> Column:
         vals = F.transform(F.filter(items, lambda x: x["node"] == node), lambda x: x["val"])
         return F.struct(node.alias("node"), F.reduce(vals, F.lit(0).cast("bigint"), plus).alias("val"))
 
-    def per_node(items: Column) -> Column:
-        names = F.array_distinct(F.transform(items, lambda x: x["node"]))
-        return F.transform(names, lambda node: total(items, node))
+    def per_node(items: Column, names: Column) -> Column:
+        met = F.transform(names, lambda node: total(items, node))
+        return F.when(F.size(names) == F.size(items), items).otherwise(met)
 
-    return let(level, per_node)
+    return let(
+        level,
+        lambda items: let(
+            F.array_distinct(F.transform(items, lambda x: x["node"])), lambda names: per_node(items, names)
+        ),
+    )
 
 
 def _combine_rows(level: DataFrame, how: str | None) -> DataFrame:
@@ -81,20 +91,31 @@ def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) ->
         "query_id", first.alias("first"), F.filter("items", lambda x: x["next"].isNotNull()).alias("arcs")
     )
 
-    def follow(level: Column) -> Column:
-        return F.flatten(F.transform(level, lambda x: F.transform(
-            F.filter("arcs", lambda a: a["node"] == x["node"]),
+    def outgoing(arcs: Column) -> Column:
+        """Arcs of each node, looked up once per value instead of searched."""
+        starts = F.array_distinct(F.transform(arcs, lambda a: a["node"]))
+        return F.map_from_entries(
+            F.transform(starts, lambda n: F.struct(n.alias("k"), F.filter(arcs, lambda a: a["node"] == n).alias("v")))
+        )
+
+    def follow(level: Column, arcs_of: Column) -> Column:
+        led = F.transform(level, lambda x: F.transform(
+            F.try_element_at(arcs_of, x["node"]),
             lambda a: F.struct(a["next"].alias("node"), advance(x["val"], a["place"]).alias("val")),
-        )))
+        ))
+        return F.flatten(F.filter(led, lambda arcs: arcs.isNotNull()))
 
-    def step(state: Column, _: Column) -> Column:
-        following = _combine_local(follow(state["level"]), how)
-        return F.when(F.size(state["level"]) == 0, state).otherwise(
-            let(following, lambda f: F.struct(f.alias("level"), F.concat(state["seen"], f).alias("seen")))
-        )
+    def fold(arcs_of: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            following = _combine_local(follow(state["level"], arcs_of), how)
+            return F.when(F.size(state["level"]) == 0, state).otherwise(
+                let(following, lambda f: F.struct(f.alias("level"), F.concat(state["seen"], f).alias("seen")))
+            )
+
+        zero = F.struct(F.col("first").alias("level"), F.col("first").alias("seen"))
+        return F.aggregate("arcs", zero, step, lambda state: state["seen"])
 
-    zero = F.struct(F.col("first").alias("level"), F.col("first").alias("seen"))
-    folded = F.aggregate("arcs", zero, step, lambda state: state["seen"])
+    folded = let(outgoing(F.col("arcs")), fold)
     # The outer form, because the plain one would evaluate the fold once more to drop empty lists.
     return plans.select("query_id", folded.alias("seen")).select("query_id", F.inline_outer("seen"))
 
@@ -136,13 +157,13 @@ def _propagate(
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no other node consumes."""
     used = edges.select("query_id", F.col("child").alias("node"))
-    return nodes.join(used, ["query_id", "node"], "left_anti")
+    return plan_join(nodes, used, ["query_id", "node"], "left_anti")
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without operands."""
     fed = edges.select("query_id", F.col("parent").alias("node"))
-    return nodes.join(fed, ["query_id", "node"], "left_anti")
+    return plan_join(nodes, fed, ["query_id", "node"], "left_anti")
 
 
 def first_consumers(edges: DataFrame) -> DataFrame:
@@ -225,12 +246,12 @@ def exec_status(
     # Written once: both the nodes and their consumers read it.
     states = durable(masks.select("query_id", "node", open_in(F.col("mask")).alias("open")))
     consumers = (
-        states.join(_downward(edges), ["query_id", "node"])
+        plan_join(states, _downward(edges), ["query_id", "node"])
         .groupBy("query_id", F.col("next").alias("node"))
         .agg(F.bit_or("open").alias("needed"))
     )
     everywhere = F.lit((1 << len(names)) - 1)
-    joined = states.join(consumers, ["query_id", "node"], "left").withColumn(
+    joined = plan_join(states, consumers, ["query_id", "node"], "left").withColumn(
         "needed", F.coalesce("needed", everywhere)
     )
     subset = F.explode(F.array(*[
@@ -255,17 +276,17 @@ def residual(status: DataFrame) -> DataFrame:
 def merge_equal(nodes: DataFrame, status: DataFrame) -> DataFrame:
     """Shared name for needed nodes of one plan and subset whose results are equal."""
     results = nodes.select("query_id", "node", "result")
-    needed = status.filter(F.col("status") == "last").join(results, ["query_id", "node"])
+    needed = plan_join(status.filter(F.col("status") == "last"), results, ["query_id", "node"])
     keys = ["query_id", "omega", "result"]
     names = needed.groupBy(*keys).agg(F.min("node").alias("shared"))
-    return needed.join(names, keys).select("query_id", "omega", "node", "shared")
+    return plan_join(needed, names, keys).select("query_id", "omega", "node", "shared")
 
 
 def _kind_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kinds = nodes.select("query_id", "node", "kind")
     child = kinds.withColumnsRenamed({"node": "child", "kind": "child_kind"})
     parent = kinds.withColumnsRenamed({"node": "parent", "kind": "parent_kind"})
-    return edges.join(child, ["query_id", "child"]).join(parent, ["query_id", "parent"])
+    return plan_join(plan_join(edges, child, ["query_id", "child"]), parent, ["query_id", "parent"])
 
 
 # The kinds that a node of each kind may feed.

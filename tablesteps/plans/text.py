@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.values import let, null_false
 from ..operators.datasets import SUBSETS
 from ..session import durable
-from .graph import exec_status, merge_equal, paths
+from .graph import exec_status, merge_equal, paths, plan_join
 
 # The words of each operator kind.
 COMPARISONS = [">", ">=", "<=", "<", "=", "!=", "in", "is", "intersect", "union", ","]
@@ -171,24 +171,27 @@ def to_text(
     (``alias='end'``).
     """
     first = order == "preorder"
-    status = durable(exec_status(nodes, edges, subsets).filter(F.col("status") != "1"))
+    status = exec_status(nodes, edges, subsets).filter(F.col("status") != "1")
     places = paths(nodes, edges)
-    described = status.join(nodes.select("query_id", "node", "parameter", "result"), ["query_id", "node"])
+    described = plan_join(status, nodes.select("query_id", "node", "parameter", "result"), ["query_id", "node"])
     needed = F.col("status") == "last"
     if alias is None:
         text = F.concat(F.when(needed, F.col("result")).otherwise(F.col("parameter")), F.lit(" ||"))
-        written = described.join(places, ["query_id", "node"]).groupBy("query_id", "omega")
+        written = plan_join(described, places, ["query_id", "node"]).groupBy("query_id", "omega")
         items = F.collect_list(F.struct("path", text.alias("text")))
         return written.agg(_joined(items, first).alias("text"))
     visit = (F.min if first else F.max)("path").alias("path")
     visited = places.groupBy("query_id", "node").agg(visit)
     shared = merge_equal(nodes, status)
-    named = described.join(shared, ["query_id", "omega", "node"], "left").withColumn(
+    # Written once: operand lists and lines both read it.
+    named = durable(plan_join(described, shared, ["query_id", "omega", "node"], "left").withColumn(
         "name", F.coalesce("shared", "node")
-    )
+    ))
     operands = (
-        edges.select("query_id", F.col("child").alias("node"), "parent", "place")
-        .join(named.select("query_id", "omega", "node", "name"), ["query_id", "node"])
+        plan_join(
+            edges.select("query_id", F.col("child").alias("node"), "parent", "place"),
+            named.select("query_id", "omega", "node", "name"), ["query_id", "node"],
+        )
         .groupBy("query_id", "omega", F.col("parent").alias("node"))
         .agg(F.sort_array(F.collect_list(F.struct("place", F.col("name").alias("text")))).alias("_operands"))
     )
@@ -196,8 +199,7 @@ def to_text(
     open_text = F.concat_ws(" ", "name", "parameter", listed, F.lit("||"))
     done_text = F.concat_ws(" ", "name", "result", F.lit("||"))
     lines = (
-        named.join(visited, ["query_id", "node"])
-        .join(operands, ["query_id", "omega", "node"], "left")
+        plan_join(plan_join(named, visited, ["query_id", "node"]), operands, ["query_id", "omega", "node"], "left")
         .groupBy("query_id", "omega", "name", "status")
         .agg((F.min if first else F.max)(F.struct(
             "path", F.when(needed, done_text).otherwise(open_text).alias("text"), "result"
