@@ -63,10 +63,14 @@ def map_header(header: Column, names: Column) -> Column:
 
 def checked_ids(checks: DataFrame) -> DataFrame:
     """Per id whether each operator subset reproduced the answer: (id, kept)."""
+    bits = F.create_map(*[F.lit(v) for i, name in enumerate(SUBSETS) for v in (name, 1 << i)])
+    passed = F.when(F.col("ok"), F.try_element_at(bits, F.col("omega"))).otherwise(0)
     per_id = checks.groupBy("id").agg(
-        F.bool_and(F.coalesce("ok", F.lit(False))).alias("_all"), F.count_distinct("omega").alias("_forms")
+        F.bit_or(F.coalesce(passed, F.lit(0))).alias("_passed"),
+        F.bool_and(F.coalesce("ok", F.lit(False))).alias("_all"),
     )
-    return per_id.select("id", (F.col("_all") & (F.col("_forms") == len(SUBSETS))).alias("kept"))
+    complete = F.col("_passed") == (1 << len(SUBSETS)) - 1
+    return per_id.select("id", (F.col("_all") & complete).alias("kept"))
 
 
 def build_stats(checked: DataFrame) -> DataFrame:

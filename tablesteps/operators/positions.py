@@ -78,19 +78,3 @@ def chunked_lists(
         .agg(pairs.alias("_pairs"))
         .select(*keys, "part", F.transform("_pairs", lambda p: p["v"]).alias("values"))
     )
-
-
-def first_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread_on: str, splits: int = 64
-) -> DataFrame:
-    """First ``n`` rows of each key; hot keys are cut to ``n`` rows per salt before they meet."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(splits)))
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_r", F.row_number().over(local))
-        .filter(F.col("_r") <= n)
-        .withColumn("_r", F.row_number().over(whole))
-        .filter(F.col("_r") <= n)
-        .drop("_r", "_salt")
-    )

@@ -13,6 +13,8 @@ them, which keeps a table with a large share of all rows from becoming one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ OPERATORS = ["=", ">", "<", "OP"]
 MAX, MIN, COUNT, SUM, AVG = 1, 2, 3, 4, 5
 EMPTY_ANSWER = "none"
 
+SPLITS = 32  # tasks that share the rows of one table
+
 
 def conditions(column_index: Column, operator_index: Column, condition: Column) -> Column:
     """Three parallel arrays as one array of triples; the shortest array decides the length."""
@@ -75,8 +79,11 @@ def _satisfies(cell: Column, cond: Column) -> Column:
     )
 
 
-def matching_rows(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
-    """(query_id, agg, row_id, cell) for every row that satisfies all conditions of a record."""
+def matching_rows(records: DataFrame, rows: DataFrame, splits: int = SPLITS, carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, agg, row_id, cell) for every row that satisfies all conditions of a record.
+
+    Columns of the records named in ``carry`` come along.
+    """
     salt = F.pmod(F.xxhash64("row_id"), F.lit(splits)).cast("int")
     left = typed_rows(rows).select(F.col("table_id").alias("_table"), salt.alias("_salt"), "row_id", "cells")
     prepared = F.transform(
@@ -87,10 +94,13 @@ def matching_rows(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataF
         ),
     )
     copies = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_copy")
-    right = records.select("query_id", "table_id", "sel", "agg", prepared.alias("conds")).select("*", copies)
+    right = records.select(
+        "query_id", "table_id", "sel", "agg", *carry, prepared.alias("conds")
+    ).select("*", copies)
     pairs = left.join(right, (F.col("_table") == F.col("table_id")) & (F.col("_salt") == F.col("_copy")))
     ok = F.forall("conds", lambda c: _satisfies(F.get("cells", c["col"]), c))
-    return pairs.filter(ok).select("query_id", "agg", "row_id", F.get("cells", F.col("sel")).alias("cell"))
+    cell = F.get("cells", F.col("sel")).alias("cell")
+    return pairs.filter(ok).select("query_id", "agg", *carry, "row_id", cell)
 
 
 def type_errors(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -102,7 +112,7 @@ def type_errors(records: DataFrame, rows: DataFrame) -> DataFrame:
     return records.join(kinds, "table_id").select("query_id", F.size(bad).cast("bigint").alias("type_errors"))
 
 
-def extremes(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
+def extremes(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
     """Per max or min record: rows matched and the one row it selects.
 
     Of equal values a max takes the last row and a min the first one.
@@ -123,7 +133,7 @@ def extremes(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
     )
 
 
-def numbers(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
+def numbers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
     """Per other record: rows matched, and the number a count, sum or mean answers with.
 
     Sums and means over text columns have no number.
@@ -150,7 +160,7 @@ def _with_number_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     return numbered.withColumn(out, F.coalesce(float_text(F.col("_number")), text)).drop("_number")
 
 
-def answers(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
+def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
     """Answers in long form: (query_id, row_id, answer).
 
     A number answers with one line and no ``row_id``; cell answers keep one line
@@ -172,8 +182,8 @@ def answers(records: DataFrame, rows: DataFrame, splits: int = 8) -> DataFrame:
         F.coalesce(empty, float_text(F.col("value"))).alias("answer"),
     )
     open_ids = settled.filter(F.col("answer").isNull()).select("query_id", "rows")
-    open_matches = matching_rows(records.join(open_ids.select("query_id"), "query_id", "left_semi"), rows, splits)
-    cells = _with_number_text(open_matches.join(open_ids, "query_id"), F.col("cell.text"), "_shown")
+    open_matches = matching_rows(records.join(open_ids, "query_id"), rows, splits, carry=["rows"])
+    cells = _with_number_text(open_matches, F.col("cell.text"), "_shown")
     shown = F.when(F.col("rows") == 1, F.col("_shown")).otherwise(F.col("cell.text"))
     one_line = settled.filter(F.col("answer").isNotNull()).unionByName(picked).drop("rows")
     return one_line.unionByName(cells.select("query_id", "row_id", shown.alias("answer")))

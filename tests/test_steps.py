@@ -98,12 +98,6 @@ def test_chunked_lists_stay_bounded_and_whole(spark):
     assert [v for p in parts for v in p["values"]] == [i if i % 7 else None for i in range(1000)]
 
 
-def test_first_per_group(spark):
-    rows = spark.range(900).select((F.col("id") % 2).alias("k"), "id")
-    got = P.first_per_group(rows, ["k"], [F.col("id").desc()], 3, spread_on="id")
-    assert ids(got) == [894, 895, 896, 897, 898, 899]
-
-
 def test_column_conversions(spark, cells):
     number, text = V.numeric_or_text(cells, "t")
     assert [r[0] for r in cells.select(text).collect()] == ["10", "9", None, "abc"]
