@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .evaluation import with_typed_sets
-from .positions import positions
+from .positions import part_of, positions
 
 # Operator subsets, from projections only to all kinds, and the
 # longest target text in tokens that training accepts for each.
@@ -130,8 +130,7 @@ def nest_rows(df: DataFrame, keys: Sequence[str], pos: str, cells: Column, size:
     ``pos`` counts a table's rows from 0, so no part can hold more than ``size``.
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), cells.alias("cells"))))
-    part = F.floor(F.col(pos) / F.lit(size)).cast("bigint").alias("part")
-    parts = df.groupBy(*keys, part).agg(ordered.alias("rows"))
+    parts = df.groupBy(*keys, part_of(pos, size).alias("part")).agg(ordered.alias("rows"))
     return parts.withColumn("rows", F.transform("rows", lambda r: r["cells"]))
 
 
@@ -153,9 +152,8 @@ def serialize(
     line = F.concat(F.lit(" row "), (F.col(pos) + 1).cast("string"), F.lit(" : "), cells)
     head = F.concat(question, F.lit(" col : " + " | ".join(header)))
     lined = df.select(*keys, F.col(pos).alias("_pos"), F.when(F.col(pos) == 0, F.concat(head, line)).otherwise(line).alias("_line"))
-    part = F.floor(F.col("_pos") / F.lit(size)).cast("bigint").alias("part")
     lines = F.array_sort(F.collect_list(F.struct("_pos", "_line")))
-    texts = lined.groupBy(*keys, part).agg(lines.alias("_lines"))
+    texts = lined.groupBy(*keys, part_of("_pos", size).alias("part")).agg(lines.alias("_lines"))
     return texts.select(*keys, "part", F.array_join(F.transform("_lines", lambda x: x["_line"]), "").alias("text"))
 
 

@@ -62,6 +62,11 @@ def positions(
     )
 
 
+def part_of(name: str, size: int) -> Column:
+    """Which range of ``size`` whole numbers a value falls in, by whole-number division."""
+    return F.expr(f"`{name}` div {size}L")
+
+
 def chunked_lists(
     df: DataFrame, keys: Sequence[str], order_id: str, value: str, size: int = 4096
 ) -> DataFrame:
@@ -71,10 +76,9 @@ def chunked_lists(
     ``size`` rows; a key's whole list is its parts joined in ``part`` order.
     Null values keep their place.
     """
-    part = F.floor(F.col(order_id) / F.lit(size)).cast("bigint")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order_id).alias("i"), F.col(value).alias("v"))))
     return (
-        df.groupBy(*keys, part.alias("part"))
+        df.groupBy(*keys, part_of(order_id, size).alias("part"))
         .agg(pairs.alias("_pairs"))
         .select(*keys, "part", F.transform("_pairs", lambda p: p["v"]).alias("values"))
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import float_text, locale_float, null_false
+from .positions import part_of
 
 # Aggregate and operator codes and their words.
 AGGREGATES = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
@@ -191,7 +192,7 @@ def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFr
 
 def answer_texts(long_answers: DataFrame, size: int = 4096) -> DataFrame:
     """Answers joined by ``, `` in parts of a bounded row range: (query_id, part, answer)."""
-    part = F.coalesce(F.floor(F.col("row_id") / F.lit(size)), F.lit(0)).cast("bigint")
+    part = F.coalesce(part_of("row_id", size), F.lit(0))
     pairs = F.array_sort(F.collect_list(F.struct("row_id", "answer")))
     return (
         long_answers.groupBy("query_id", part.alias("part"))
