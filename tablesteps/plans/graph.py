@@ -77,7 +77,7 @@ def _combine_rows(level: DataFrame, how: str | None) -> DataFrame:
     return level.groupBy("query_id", "node").agg({"sum": F.sum, "bit_or": F.bit_or}[how]("val").alias("val"))
 
 
-def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) -> DataFrame:
+def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None, from_ends: bool) -> DataFrame:
     """All levels of plans that fit in one row; first values and arcs are gathered together."""
     kind = start.schema["val"].dataType
     both = start.select("query_id", "node", "val", F.lit(None).cast("string").alias("next"), F.lit(None).cast("int").alias("place"))
@@ -90,6 +90,12 @@ def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) ->
     plans = plans.select(
         "query_id", first.alias("first"), F.filter("items", lambda x: x["next"].isNotNull()).alias("arcs")
     )
+    begin = F.col("first")
+    if from_ends:
+        begin = let(
+            F.transform("arcs", lambda a: a["next"]),
+            lambda reached: F.filter("first", lambda x: ~F.array_contains(reached, x["node"])),
+        )
 
     def outgoing(arcs: Column) -> Column:
         """Arcs of each node, looked up once per value instead of searched."""
@@ -105,24 +111,27 @@ def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) ->
         ))
         return F.flatten(F.filter(led, lambda arcs: arcs.isNotNull()))
 
-    def fold(arcs_of: Column) -> Column:
+    def fold(start: Column, arcs_of: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
             following = _combine_local(follow(state["level"], arcs_of), how)
             return F.when(F.size(state["level"]) == 0, state).otherwise(
                 let(following, lambda f: F.struct(f.alias("level"), F.concat(state["seen"], f).alias("seen")))
             )
 
-        zero = F.struct(F.col("first").alias("level"), F.col("first").alias("seen"))
+        zero = F.struct(start.alias("level"), start.alias("seen"))
         return F.aggregate("arcs", zero, step, lambda state: state["seen"])
 
-    folded = let(outgoing(F.col("arcs")), fold)
+    folded = let(begin, lambda start: let(outgoing(F.col("arcs")), lambda arcs_of: fold(start, arcs_of)))
     # The outer form, because the plain one would evaluate the fold once more to drop empty lists.
     return plans.select("query_id", folded.alias("seen")).select("query_id", F.inline_outer("seen"))
 
 
-def _loop_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) -> DataFrame:
+def _loop_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None, from_ends: bool) -> DataFrame:
     """All levels of plans of any size, one join per level."""
     arcs = durable(arcs)
+    if from_ends:
+        reached = arcs.select("query_id", F.col("next").alias("node"))
+        start = plan_join(start, reached, ["query_id", "node"], "left_anti")
     level = durable(start.select("query_id", "node", "val"))
     levels = [level]
     while not level.isEmpty():
@@ -137,21 +146,24 @@ def _loop_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None) ->
 
 
 def _propagate(
-    start: DataFrame, arcs: DataFrame, advance: Callable[[Column, Column], Column], how: str | None
+    start: DataFrame, arcs: DataFrame, advance: Callable[[Column, Column], Column], how: str | None,
+    from_ends: bool = False,
 ) -> DataFrame:
     """Every value of every level: (query_id, node, val).
 
-    ``start`` holds the first level. A value moves along the arcs of its node and
+    ``start`` holds the first level; with ``from_ends`` only its nodes that no arc
+    leads to count, which are the roots going down and the leaves going up. A value moves along the arcs of its node and
     changes by ``advance(value, place)``; values that meet combine by ``how``.
     """
     sizes = start.select("query_id").unionAll(arcs.select("query_id")).groupBy("query_id").count()
     crowded = sizes.filter(F.col("count") > GATHERED).select("query_id")
     if crowded.isEmpty():
-        return _fold_plans(start, arcs, advance, how)
+        return _fold_plans(start, arcs, advance, how, from_ends)
     crowded = durable(crowded)
     few = [d.join(crowded, "query_id", "left_anti") for d in (start, arcs)]
     many = [d.join(crowded, "query_id", "left_semi") for d in (start, arcs)]
-    return _fold_plans(*few, advance, how).unionByName(_loop_plans(*many, advance, how))
+    folded = _fold_plans(*few, advance, how, from_ends)
+    return folded.unionByName(_loop_plans(*many, advance, how, from_ends))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,26 +193,26 @@ def descendants(edges: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node the length of its longest path from a leaf."""
-    start = leaves(nodes, edges).select("query_id", "node", F.lit(0).alias("val"))
-    steps = _propagate(start, _upward(edges), lambda level, _: level + 1, "distinct")
+    start = nodes.select("query_id", "node", F.lit(0).alias("val"))
+    steps = _propagate(start, _upward(edges), lambda level, _: level + 1, "distinct", from_ends=True)
     return steps.groupBy("query_id", "node").agg(F.max("val").alias("level"))
 
 
 def use_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node the number of paths from the root, which is how often it is evaluated."""
-    start = roots(nodes, edges).select("query_id", "node", F.lit(1).cast("bigint").alias("val"))
-    steps = _propagate(start, _downward(edges), lambda uses, _: uses, "sum")
+    start = nodes.select("query_id", "node", F.lit(1).cast("bigint").alias("val"))
+    steps = _propagate(start, _downward(edges), lambda uses, _: uses, "sum", from_ends=True)
     return steps.groupBy("query_id", "node").agg(F.sum("val").alias("uses"))
 
 
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every path from a root to a node as a text; text order is preorder."""
-    start = roots(nodes, edges).select("query_id", "node", F.lit("").alias("val"))
+    start = nodes.select("query_id", "node", F.lit("").alias("val"))
 
     def extend(path: Column, place: Column) -> Column:
         return F.concat(path, F.lpad(place.cast("string"), 4, "0"))
 
-    return _propagate(start, _downward(edges), extend, None).withColumnRenamed("val", "path")
+    return _propagate(start, _downward(edges), extend, None, from_ends=True).withColumnRenamed("val", "path")
 
 
 def _kind_bit(kind: Column) -> Column:
