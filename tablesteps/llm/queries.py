@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard import link_components
+from .packing import packed_sequences
+from .tokens import encode_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +31,19 @@ def query(name: str, table: str, sql: str | None = None):
 @query("op5_ngram_jaccard_join", "documents")
 def op5(documents):
     return link_components(documents, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_token_id_store", "documents")
+def op1(documents):
+    read = encode_store(documents, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op8_best_fit_packing", "documents")
+def op8(documents):
+    pieces = packed_sequences(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
