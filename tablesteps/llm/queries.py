@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard import link_components
+from .langid import held_out, predict, train
+from .mixing import mix
 from .packing import packed_sequences
+from .quality_rules import judge
 from .tokens import encode_store
+from .warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +51,79 @@ def op8(documents):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+_SIZES_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, text, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS most,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, row_number() OVER o AS nth,
+         ((SELECT sum(source_size) FROM sources) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+targets AS (
+  SELECT source, source_size,
+         least(weight * (SELECT arg_min(level, nth) FROM levels WHERE weight * level <= most), CAST(most AS DOUBLE)) AS target
+  FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2 AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * ((CASE WHEN middle / target < 1 THEN 1 ELSE 0 END)
+                  + (CASE WHEN (middle + source_size) / target < 1 THEN 1 ELSE 0 END)
+                  + (CASE WHEN (middle + 2 * source_size) / target < 1 THEN 1 ELSE 0 END)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@query("op3_curriculum_mix", "documents", _SIZES_SQL)
+def op3(documents):
+    return mix(documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_language_id", "documents")
+def op4(documents):
+    model = train(documents.where(~held_out()))
+    return predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+_WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+keepers AS (SELECT hex, max(page_id) AS keeper FROM hashed GROUP BY hex),
+digits AS (
+  SELECT hex, keeper, list_transform(range(8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT)) AS fives
+  FROM keepers),
+named AS (
+  SELECT hex, keeper, array_to_string(list_transform(fives, lambda v:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v // 32768), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v // 1024) % 32, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v // 32) % 32, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + v % 32, 1)), '') AS digest
+  FROM digits)
+SELECT page_id, payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM hashed JOIN named USING (hex)
+"""
+
+
+@query("op6_warc_round_trip", "pages", _WARC_SQL)
+def op6(pages):
+    return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_quality_rules", "documents")
+def op7(documents):
+    return judge(documents.select("doc_id", "lang", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
