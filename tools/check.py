@@ -25,6 +25,7 @@ def spark_session(cores: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tablesteps")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
