@@ -13,6 +13,7 @@ from .langid import held_out, predict, train
 from .mixing import mix
 from .packing import packed_sequences
 from .quality_rules import judge
+from .secrets import BASE_RULES, MORE_RULES, scan, span_text
 from .tokens import encode_store
 from .warc import archive
 
@@ -127,3 +128,45 @@ def op7(documents):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance",
     )
+
+
+def _secrets_sql() -> str:
+    """The same rules over text split at their matches; the place of a match is the length of all before it."""
+    parts = []
+    for place, rule in enumerate(BASE_RULES + MORE_RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, i,
+         CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0) AS BIGINT) AS first,
+         length(hits[i]) AS size, length(kept[i]) >= {rule.least} AS good
+  FROM (SELECT doc_id, gaps, hits, kept, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS hits,
+                     regexp_extract_all(text, '{pattern}', {rule.group}) AS kept
+              FROM documents WHERE regexp_matches(text, '{pattern}')))""")
+    return f"""
+WITH found AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE good),
+spans AS (SELECT doc_id, place, kind, first, kind || ':' || first || ':' || (first + size) AS span FROM found),
+joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY first, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY first, place) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
+
+@query("op10_secret_scan", "documents", _secrets_sql())
+def op10(documents):
+    found = scan(documents.select("doc_id", "text"))
+    kinds = F.col("secrets")
+
+    def count(kind):
+        return F.size(F.filter(kinds, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(kinds, lambda s: s["place"] < len(BASE_RULES))
+    return found.select(
+        "doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(kinds).alias("spans"),
+    )
