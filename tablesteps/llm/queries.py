@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cotrain import learn, score
 from .jaccard import link_components
 from .langid import held_out, predict, train
 from .mixing import mix
+from .neighbours import nearest
 from .packing import packed_sequences
 from .quality_rules import judge
 from .secrets import BASE_RULES, MORE_RULES, scan, span_text
@@ -21,11 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register a function of one table under a name, with its SQL equivalent."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register a function of some tables under a name, with its SQL equivalent."""
 
     def keep(build):
-        QUERIES[name] = lambda spark, folder: build(spark.read.parquet(f"{folder}/{table}.parquet"))
+        def run(spark, folder):
+            return build(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in tables.split()])
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return build
@@ -170,3 +175,13 @@ def op10(documents):
         "doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES],
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(kinds).alias("spans"),
     )
+
+
+@query("op9_nearest_neighbours", "embeddings")
+def op9(embeddings):
+    return nearest(embeddings)
+
+
+@query("op2_co_trained_quality", "documents labels")
+def op2(documents, labels):
+    return score(documents, learn(documents, labels)).select("doc_id", "text_score", "meta_score", "score", "kept")
