@@ -305,13 +305,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Component of every document: (doc_id, *carry, n_shingles, set_key, component_id).
+    """Component of every document: (doc_id, *carry, n_shingles, set_key, component_key, component_id).
 
     Words are runs of anything but space and 0x09-0x0D, with A-Z lower-cased. Two documents are
     linked when their distinct ``words``-word shingles have a Jaccard similarity of ``percent``
-    per cent or more; ``component_id`` is the smallest doc_id reachable over links.
+    per cent or more; ``component_id`` is the smallest doc_id reachable over links, and
+    ``component_key`` is equal for the documents of a component alone.
 
-    A null or empty text, or one without words, has no shingles, set_key null, is linked with
+    A null or empty text, or one without words, has no shingles, both keys null, is linked with
     nothing and is its own component. Repeated rows and repeated ids are rows of their own. A null
     doc_id counts for a component only if all ids in it are null. Of other columns only those in
     ``carry`` are read; an empty table gives an empty result.
@@ -366,11 +367,14 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
     # Smallest id of each component; a component of one set has no row in ``roots``.
     linked = roots.union(roots.select("b", "b").distinct()).toDF("set_key", "root")
     least = linked.join(sets, "set_key").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(least, "root").select("set_key", "component_id")
+    named = linked.join(least, "root").select("set_key", "root", "component_id")
     final = durable(
-        sets.join(named, "set_key", "left")
-        .select(F.col("set_key").alias("_set"), F.coalesce("component_id", "first_id").alias("component_id"))
+        sets.join(named, "set_key", "left").select(
+            F.col("set_key").alias("_set"),
+            F.coalesce("root", "set_key").alias("component_key"),
+            F.coalesce("component_id", "first_id").alias("component_id"),
+        )
     )
     return keyed.join(final, F.col("set_key") == F.col("_set"), "left").select(
-        "doc_id", *carry, "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", *carry, "n_shingles", "set_key", "component_key", F.coalesce("component_id", "doc_id").alias("component_id")
     )
