@@ -16,6 +16,7 @@ from tablesteps.llm.files import new_folder
 from tablesteps.llm.jaccard import link_components
 from tablesteps.llm.langid import predict, train
 from tablesteps.llm.mixing import curriculum
+from tablesteps.llm.names import free_prefix
 from tablesteps.llm.packing import packed_sequences
 from tablesteps.llm.secrets import redacted, scan
 
@@ -33,8 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     and all go.
     """
     model = train(docs)
-    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    x = free_prefix(docs.columns)
+    named = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else x + c) for c in docs.columns])
+    known = predict(named, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    values = {x + "lang": F.col("lang_pred")}
+    return known.select(*[values.get(c, F.col(c)).alias(c) for c in named.columns]).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,33 +47,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The one with the smallest doc_id stays; of rows that repeat that id and belong to the group, one stays. Texts without
     words are in no group and all stay.
     """
-    columns = docs.columns
-    rows = docs.withColumn("_row", F.xxhash64(*columns))
-    linked = link_components(rows, words=5, percent=80, carry=("_row",))
+    x = free_prefix(docs.columns)
+    row, first_id, place = x + "row", x + "id", x + "n"
+    rows = docs.withColumn(row, F.xxhash64(*docs.columns))
+    linked = link_components(rows, words=5, percent=80, carry=(row,))
     # Per group the smallest id, and of the rows with that id the smallest hash; the hash covers the id.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
     kept = (
         linked.where("set_key is not null").groupBy("component_key").agg(first.alias("k"))
-        .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_row"))
+        .select(F.col("k.id").alias(first_id), F.col("k.row").alias(row))
     )
     # Wholly equal rows share id and hash; one of them stays.
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    stays = rows.join(kept, "_row").where(F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_n", nth).where("_n = 1")
+    nth = F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))
+    stays = rows.join(kept, row).where(F.col("doc_id").eqNullSafe(F.col(first_id))).withColumn(place, nth).where(F.col(place) == 1)
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return stays.select(*columns).union(docs.where(wordless))
+    return stays.select(*docs.columns).union(docs.where(wordless))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced by [SECRET] and n_chars follows."""
-    found = scan(docs)
-    masked = redacted(F.col("text"), F.col("secrets"))
-    changed = F.size("secrets") > 0
-    out = found.withColumn("_text", masked)
-    values = {
-        "text": F.col("_text"),
-        "n_chars": F.when(changed, F.length("_text")).otherwise(F.col("n_chars")).cast("long"),
-    }
-    return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+    x = free_prefix(docs.columns)
+    named = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else x + c) for c in docs.columns])
+    found = scan(named)
+    masked = F.when(F.size("secrets") > 0, redacted(F.col("text"), F.col("secrets")))
+    found = found.withColumn(x + "_masked", masked)
+    masked, length = F.col(x + "_masked"), x + "n_chars"
+    values = {"text": F.coalesce(masked, F.col("text"))}
+    if length in named.columns:
+        values[length] = F.coalesce(F.length(masked).cast(named.schema[length].dataType), F.col(length))
+    return found.select(*[values.get(c, F.col(c)).alias(c) for c in named.columns]).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

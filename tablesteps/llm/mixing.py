@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .names import free_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -64,49 +65,51 @@ def mix(
     """
     added = ["size", "source_size", "target", "copies", "taken", "positions", "position"]
     docs = docs.drop(*added)
-    if "text" not in docs.columns or "source" not in docs.columns:
-        raise ValueError("documents need text and source")
+    x = free_prefix(docs.columns)
+    col = lambda name: F.col(x + name)
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = durable(docs.select("source", order.alias("_order"), size.alias("size")))
+    narrow = durable(docs.select("source", order.alias(x + "order"), size.alias("size")))
     totals = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
-    tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), F.col("weight").cast("int"))
     if len(tilts) < max(weights):
         raise ValueError("one tilt for each weight")
+    tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), F.col("weight").cast("int"))
     sources = durable(
-        source_targets(totals, weights)
-        .withColumn("_bins", F.ceil(F.col("rows") / BIN_ROWS))
-        .select(F.col("source").alias("_source"), "source_size", "target", "_bins", tilt.alias("_tilt"))
+        source_targets(totals, weights).select(
+            F.col("source").alias(x + "source"), "source_size", "target",
+            F.ceil(F.col("rows") / BIN_ROWS).alias(x + "bins"), tilt.alias(x + "tilt"),
+        )
     )
-    same_source = F.col("source").eqNullSafe(F.col("_source"))
-    share = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    bin_of = F.floor(share * F.col("_bins"))
+    same_source = F.col("source").eqNullSafe(col("source"))
+    share = F.conv(F.substring(col("order"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    bin_of = F.floor(share * col("bins"))
 
-    binned = narrow.join(sources, same_source).groupBy("_source", bin_of.alias("_bin")).agg(F.sum("size").alias("_words"))
-    before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    binned = narrow.join(sources, same_source).groupBy(x + "source", bin_of.alias(x + "b")).agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy(x + "source").orderBy(x + "b").rowsBetween(Window.unboundedPreceding, -1)
     starts = durable(
-        binned.select(F.col("_source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
+        binned.select(
+            col("source").alias(x + "s"), x + "b", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias(x + "start")
+        )
     )
 
-    rows = docs.withColumn("_order", order).withColumn("size", size)
-    rows = rows.join(sources, same_source).withColumn("_bin", bin_of).drop("_source")
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).drop("_s", "_b")
-    within = Window.partitionBy("source", "_bin").orderBy("_order", "doc_id", "size", F.xxhash64("text"))
+    rows = docs.withColumns({x + "order": order, "size": size}).join(sources, same_source).withColumn(x + "bin", bin_of)
+    rows = rows.join(starts, F.col("source").eqNullSafe(col("s")) & (col("bin") == col("b")))
+    within = Window.partitionBy("source", x + "bin").orderBy(x + "order", "doc_id", "size", F.xxhash64("text"))
     running = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = F.col("_start") + running + F.col("size") / 2
-    rows = rows.withColumn("_middle", middle)
+    rows = rows.withColumn(x + "middle", col("start") + running + F.col("size") / 2)
     shares = F.transform(
         F.array(*[F.lit(i) for i in range(MOST_COPIES)]),
-        lambda i: (F.col("_middle") + i * F.col("source_size")) / F.col("target"),
+        lambda i: (col("middle") + i * F.col("source_size")) / F.col("target"),
     )
-    rows = rows.withColumn("_shares", F.filter(shares, lambda x: x < 1))
-    rows = rows.withColumn("positions", F.transform("_shares", lambda x: _inverse_demand(x, F.col("_tilt"))))
+    rows = rows.withColumn(x + "shares", F.filter(shares, lambda s: s < 1))
+    rows = rows.withColumn("positions", F.transform(x + "shares", lambda s: _inverse_demand(s, col("tilt"))))
     copies = F.size("positions")
-    first = F.when(copies > 0, F.element_at("positions", 1))
     return (
-        rows.withColumn("copies", copies)
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .withColumn("position", first)
+        rows.withColumns({
+            "copies": copies,
+            "taken": F.col("size") * copies,
+            "position": F.when(copies > 0, F.element_at("positions", 1)),
+        })
         .select(*docs.columns, *added)
         .repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id"))
         .sortWithinPartitions(F.col("position").asc_nulls_last(), F.col("doc_id"))
@@ -114,6 +117,14 @@ def mix(
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The taken documents in training order, one row per copy, with the columns of ``docs``."""
-    copies = mix(docs, **options).select(*docs.columns, F.explode("positions").alias("_at"))
-    return copies.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
+    """The taken documents in training order, one row per copy, with the columns of ``docs``.
+
+    Columns of ``docs`` that share a name with one that ``mix`` adds are kept as they are.
+    """
+    x = free_prefix(docs.columns)
+    named = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"{x}{c}") for c in docs.columns])
+    mixed = mix(named, **options)
+    at = free_prefix(mixed.columns) + "at"
+    copies = mixed.select(*named.columns, F.explode("positions").alias(at))
+    ordered = copies.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id")
+    return ordered.select(*named.columns).toDF(*docs.columns)

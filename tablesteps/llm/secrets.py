@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .files import new_folder
+from .names import free_prefix
 
 _MOST_STRINGS = 64  # strings that an exactly known stretch of a pattern may stand for
 _MASK_BITS = 62
@@ -174,14 +175,14 @@ def build_index(docs: DataFrame, trigrams: Sequence[str], folder: str) -> DataFr
 
 
 def candidates(postings: DataFrame, trigrams: Sequence[str], queries: dict[int, Query]) -> DataFrame:
-    """(_id, _rules): documents for which some query holds, with one bit per rule.
+    """(candidate, rules): documents for which some query holds, with one bit per rule.
 
     The lists are intersected in one aggregate per document: a bit per trigram, summed up on the map side.
     """
     place = F.create_map(*[F.lit(x) for i, t in enumerate(trigrams) for x in (t, i)])[F.col("trigram")]
     words = range(-(-len(trigrams) // _MASK_BITS))
     bit = F.expr(f"shiftleft(1L, CAST(_place % {_MASK_BITS} AS INT))")
-    masks = postings.withColumn("_place", place).groupBy(F.col("doc_id").alias("_id")).agg(
+    masks = postings.withColumn("_place", place).groupBy(F.col("doc_id").alias("candidate")).agg(
         *[F.bit_or(F.when(F.floor(F.col("_place") / _MASK_BITS) == w, bit).otherwise(0)).alias(f"_m{w}") for w in words]
     )
     rules = F.lit(0).cast("long")
@@ -194,7 +195,7 @@ def candidates(postings: DataFrame, trigrams: Sequence[str], queries: dict[int,
                 inside &= F.col(f"_m{w}").bitwiseAND(F.lit(need).cast("long")) == need
             holds |= inside
         rules = rules + F.when(holds, F.lit(1 << rule)).otherwise(0)
-    return masks.select("_id", rules.alias("_rules")).where("_rules <> 0")
+    return masks.select("candidate", rules.alias("rules")).where("rules <> 0")
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
@@ -226,6 +227,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> Da
     and are verified one by one. Other columns pass through; an equal name is replaced.
     """
     docs = docs.drop("secrets")
+    x = free_prefix(docs.columns)
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
     text = F.coalesce("text", F.lit(""))
@@ -234,14 +236,14 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> Da
         # Written, so that the join knows its size and broadcasts it only below Spark's threshold.
         folder = new_folder(docs.sparkSession, "candidates")
         candidates(postings, trigrams, queries).write.parquet(folder)
-        named = docs.sparkSession.read.parquet(folder)
-        rows = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        named = docs.sparkSession.read.parquet(folder).toDF(x + "id", x + "rules")
+        rows = docs.join(named, F.col("doc_id").eqNullSafe(F.col(x + "id")), "left")
     else:
-        rows = docs.withColumn("_rules", F.lit(0).cast("long"))
+        rows = docs.withColumn(x + "rules", F.lit(0).cast("long"))
     found = []
     for i, rule in enumerate(rules):
         if i in queries:
-            asked = F.col("_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+            asked = F.col(x + "rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
         else:
             asked = text.rlike(rule.pattern)
         spans = _spans(text, rule, i)
