@@ -46,7 +46,9 @@ class Classes:
     """Size classes and the number of column groups in each, for a threshold in per cent."""
 
     def __init__(self, percent: int):
-        self.percent, self.ends, self.groups = percent, [0, 1], [(1, 0), (1, 0)]
+        if not 60 <= percent <= 100:  # below, the columns of a small set may not outnumber the differences
+            raise ValueError("the threshold has to be 60 to 100 per cent")
+        self.percent, self.ends, self.groups = percent, [0, 1], [1, 1]
 
     def reach(self, size: int) -> range:
         """The classes of all partners that are at least as large as a set of ``size``."""
@@ -63,21 +65,25 @@ class Classes:
                     empty = n * math.exp(-least / n)
                     spare = math.ceil(empty + 2 * math.sqrt(empty))
             self.ends.append(end)
-            self.groups.append((differ + 1 + spare, spare))
+            self.groups.append(differ + 1 + spare)
         low = int(np.searchsorted(self.ends, size))
         return range(low, int(np.searchsorted(self.ends, largest)) + 1)
 
     def signatures(self, cells: np.ndarray) -> np.ndarray:
         """One hash per class in reach and non-empty column group of a set.
 
-        If more groups of the set are empty than the class has to spare, the columns are
-        dealt again under the next seed as well. Two sets that both have too many empty groups
-        both do so, and otherwise they agree on a group that is not empty.
+        If the set fills no more groups than it may differ in from a partner, they might agree on
+        empty groups alone, so the columns are dealt again under the next seed as well. Of two
+        linked sets, the one that stops first has filled enough groups under its last seed, and the other has
+        signatures under that seed too.
         """
         found = []
         content = mix(cells + U64(0x9D2C5680))
-        for c in self.reach(len(cells)):
-            groups, spare = self.groups[c]
+        size = len(cells)
+        for c in self.reach(size):
+            groups = self.groups[c]
+            partner = min(self.ends[c], size * 100 // self.percent)
+            differ = (size + partner) * (100 - self.percent) // (100 + self.percent)
             seed = 0
             while True:
                 dealt = (mix(cells ^ U64(0xA0761D6478BD642F * (seed + 1) % (1 << 64))) >> U64(32)) * U64(groups) >> U64(32)
@@ -87,7 +93,7 @@ class Classes:
                 sums = np.add.reduceat(content[order], first)
                 tag = U64((c << 48) + (seed << 32)) + dealt[first]
                 found.append(mix(sums ^ mix(tag + U64(0x632BE59BD9B4E019))))
-                if groups - len(first) <= spare:
+                if len(first) > differ:
                     break
                 seed += 1
         return np.concatenate(found) if found else np.zeros(0, U64)

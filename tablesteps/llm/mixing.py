@@ -60,7 +60,8 @@ def mix(
     ``positions`` has one time in 0..1 per copy, ``position`` is the first, null for a document
     that is not taken; those come last. A null source is a source of its own. The order within a source
     is by md5 of seed and doc_id, then size and text, so reruns agree; rows equal in all of these are
-    interchangeable. Empty documents get copies by their place like others. All columns of ``docs`` are
+    interchangeable. Empty documents get copies by their place like others, but a
+    source of empty documents alone has target 0 and is not taken. All columns of ``docs`` are
     kept; the names added here replace equal ones. An empty table gives an empty result.
     """
     added = ["size", "source_size", "target", "copies", "taken", "positions", "position"]
@@ -99,7 +100,7 @@ def mix(
     rows = rows.withColumn(x + "middle", col("start") + running + F.col("size") / 2)
     shares = F.transform(
         F.array(*[F.lit(i) for i in range(MOST_COPIES)]),
-        lambda i: (col("middle") + i * F.col("source_size")) / F.col("target"),
+        lambda i: F.try_divide(col("middle") + i * F.col("source_size"), F.col("target")),
     )
     rows = rows.withColumn(x + "shares", F.filter(shares, lambda s: s < 1))
     rows = rows.withColumn("positions", F.transform(x + "shares", lambda s: _inverse_demand(s, col("tilt"))))
