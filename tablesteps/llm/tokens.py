@@ -12,6 +12,7 @@ the slot, the stored fingerprint tells a foreign key, and the slot holds offset
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -99,6 +100,16 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # Millions of pieces, none in a cycle: looking for cycles among them takes a fifth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
         pieces, cores = self._tables
         distinct = set().union(*[c for c in cut if c is not None])
