@@ -54,7 +54,7 @@ def _plans(t):
         items = F.array(*[_struct(edge=i, child=c, parent=p, place=s) for i, (c, p, s) in enumerate(edges)])
         return items if edges else F.array().cast("array<struct<edge:int,child:string,parent:string,place:int>>")
 
-    rows = t.spread("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    rows = t.columns("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
     orders = rows.select(
         F.col("o_orderkey").alias("query_id"), "o_orderpriority", F.lower("o_orderstatus").alias("x"), "o_custkey"
     )
@@ -127,11 +127,6 @@ def plan_levels(t):
     return G.levels(*_plans(t))
 
 
-@query("plan_use_count", _sql(_PLANS_SQL + "," + _PATHS_SQL, "SELECT query_id, node, count(*) AS uses FROM paths GROUP BY query_id, node"))
-def plan_use_count(t):
-    return G.use_counts(*_plans(t))
-
-
 @query("plan_exec_status", _sql(_STATUS_SQL, "SELECT query_id, node, omega, status FROM status"))
 def plan_exec_status(t):
     return G.exec_status(*_plans(t))
@@ -146,8 +141,7 @@ def plan_residual(t):
 SELECT s.query_id, s.omega, s.node, min(s.node) OVER (PARTITION BY s.query_id, s.omega, n.result) AS shared
 FROM status s JOIN nodes n ON n.query_id = s.query_id AND n.node = s.node WHERE s.status = 'last'"""))
 def plan_merge_equal(t):
-    nodes, edges = _plans(t)
-    return G.merge_equal(nodes, G.exec_status(nodes, edges))
+    return G.merge_equal(*_plans(t))
 
 
 @query("plan_shape_counts", _sql(_PLANS_SQL, """
@@ -158,42 +152,65 @@ def plan_shape_counts(t):
 
 
 def _miswired(t):
-    """The corpus with every limit turned into a column read, which may not have operands."""
+    """The corpus with a back edge in a plan of every third order and an edge from nowhere in every fifth."""
     nodes, edges = _plans(t)
-    return nodes.withColumn("kind", F.when(F.col("kind") == "L", "P").otherwise(F.col("kind"))), edges
+    orders = t.orders.select(F.col("o_orderkey").alias("query_id"))
 
+    def extra(every, child, parent):
+        return orders.filter(F.col("query_id") % every == 0).select(
+            "query_id", F.lit(90).alias("edge"), F.lit(child).alias("child"), F.lit(parent).alias("parent"), F.lit(0).alias("place")
+        )
 
-@query("plan_illegal_edges", _sql(_PLANS_SQL + f""",
-legal(child_kind, parent_kind) AS (VALUES {_values([(c, p) for c, ps in G.LEGAL_CONSUMERS.items() for p in ps])}),
-wrong AS (SELECT query_id, node, CASE kind WHEN 'L' THEN 'P' ELSE kind END AS kind FROM nodes)""", """
-SELECT e.query_id, e.child, e.parent, c.kind AS child_kind, p.kind AS parent_kind FROM edges e
-JOIN wrong c ON c.query_id = e.query_id AND c.node = e.child JOIN wrong p ON p.query_id = e.query_id AND p.node = e.parent
-WHERE (c.kind, p.kind) NOT IN (SELECT child_kind, parent_kind FROM legal)"""))
-def plan_illegal_edges(t):
-    return G.illegal_edges(*_miswired(t))
+    return nodes, edges.unionByName(extra(3, "n1", "n3")).unionByName(extra(5, None, "n1"))
 
 
-# ---- texts --------------------------------------------------------------------
+_MISWIRED_SQL = _PLANS_SQL + """,
+wired AS (SELECT * FROM edges UNION ALL SELECT o_orderkey, 90, 'n1', 'n3', 0 FROM orders WHERE o_orderkey % 3 = 0
+          UNION ALL SELECT o_orderkey, 90, NULL, 'n1', 0 FROM orders WHERE o_orderkey % 5 = 0),
+good AS (SELECT e.* FROM wired e WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.query_id = e.query_id AND n.node = e.child)
+         AND EXISTS (SELECT 1 FROM nodes n WHERE n.query_id = e.query_id AND n.node = e.parent)),
+reach AS (SELECT query_id, parent AS node, child AS descendant FROM good
+          UNION SELECT r.query_id, r.node, e.child FROM reach r JOIN good e ON e.query_id = r.query_id AND e.parent = r.descendant),
+stuck AS (SELECT DISTINCT query_id, node FROM reach r WHERE EXISTS (
+            SELECT 1 FROM reach c WHERE c.query_id = r.query_id AND c.node = c.descendant AND (c.node = r.node OR c.node = r.descendant)))"""
+
 
-_TWO = {name: SUBSETS[name] for name in ("p", "pcs")}
-_ALL_TWO = {name: SUBSETS[name] for name in ("pc", "pcsgbhobaopl")}
+@query("plan_problems", _sql(_MISWIRED_SQL, """
+SELECT query_id, 'cycle' AS problem, count(*) AS n FROM stuck GROUP BY query_id
+UNION ALL SELECT w.query_id, 'dangling edge', count(*) FROM wired w
+WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.query_id = w.query_id AND g.edge = w.edge AND g.child IS NOT DISTINCT FROM w.child AND g.parent IS NOT DISTINCT FROM w.parent)
+GROUP BY w.query_id"""))
+def plan_problems(t):
+    return G.problems(*_miswired(t))
 
 
+@query("plan_levels_miswired", _sql(_MISWIRED_SQL + """,
+free AS (SELECT query_id, node FROM nodes EXCEPT SELECT query_id, node FROM stuck),
+up AS (SELECT query_id, node, 0 AS level FROM free f WHERE NOT EXISTS (SELECT 1 FROM good e WHERE e.query_id = f.query_id AND e.parent = f.node)
+       UNION SELECT u.query_id, e.parent, u.level + 1 FROM up u JOIN good e ON e.query_id = u.query_id AND e.child = u.node
+             JOIN free f ON f.query_id = e.query_id AND f.node = e.parent)""", """
+SELECT n.query_id, n.node, max(u.level) AS level FROM nodes n LEFT JOIN up u ON u.query_id = n.query_id AND u.node = n.node GROUP BY ALL"""))
+def plan_levels_miswired(t):
+    return G.levels(*_miswired(t))
+
+
+# ---- texts --------------------------------------------------------------------
+
 def _plain_sql(direction):
     return _sql(_STATUS_SQL + "," + _PATHS_SQL, f"""
 SELECT s.query_id, s.omega, string_agg(concat(CASE s.status WHEN 'last' THEN n.result ELSE n.parameter END, ' ||'), '' ORDER BY p.path {direction}) AS text
 FROM status s JOIN nodes n ON n.query_id = s.query_id AND n.node = s.node JOIN paths p ON p.query_id = s.query_id AND p.node = s.node
-WHERE s.status <> '1' AND s.omega IN ('p', 'pcs') GROUP BY s.query_id, s.omega""")
+WHERE s.status <> '1' GROUP BY s.query_id, s.omega""")
 
 
 @query("plan_text_preorder", _plain_sql("ASC"))
 def plan_text_preorder(t):
-    return X.to_text(*_plans(t), "preorder", subsets=_TWO)
+    return X.to_text(*_plans(t), "preorder")
 
 
 @query("plan_text_postorder", _plain_sql("DESC"))
 def plan_text_postorder(t):
-    return X.to_text(*_plans(t), "postorder", subsets=_TWO)
+    return X.to_text(*_plans(t), "postorder")
 
 
 def _alias_sql(pick, direction, results_first):
@@ -204,7 +221,7 @@ visited AS (SELECT query_id, node, {pick}(path) AS path FROM paths GROUP BY ALL)
 named AS (SELECT s.query_id, s.omega, s.node, s.status, n.parameter, n.result, v.path,
             CASE s.status WHEN 'last' THEN min(s.node) OVER (PARTITION BY s.query_id, s.omega, s.status, CASE s.status WHEN 'last' THEN n.result ELSE s.node END) ELSE s.node END AS name
           FROM status s JOIN nodes n ON n.query_id = s.query_id AND n.node = s.node JOIN visited v ON v.query_id = s.query_id AND v.node = s.node
-          WHERE s.omega IN ('pc', 'pcsgbhobaopl') AND s.status <> '1'),
+          WHERE s.status <> '1'),
 operands AS (SELECT e.query_id, c.omega, e.parent AS node, string_agg(c.name, ' ' ORDER BY e.place) AS names
              FROM edges e JOIN named c ON c.query_id = e.query_id AND c.node = e.child GROUP BY ALL),
 lines AS (SELECT n.query_id, n.omega, n.name, n.status, {pick}(n.path) AS path, any_value(n.result) AS result,
@@ -218,12 +235,12 @@ texts AS (SELECT query_id, omega, string_agg(line, '' ORDER BY path {direction})
 
 @query("plan_text_alias_start", _alias_sql("min", "ASC", True))
 def plan_text_alias_start(t):
-    return X.to_text(*_plans(t), "preorder", alias="start", subsets=_ALL_TWO)
+    return X.to_text(*_plans(t), "preorder", alias="start")
 
 
 @query("plan_text_alias_end", _alias_sql("max", "DESC", False))
 def plan_text_alias_end(t):
-    return X.to_text(*_plans(t), "postorder", alias="end", subsets=_ALL_TWO)
+    return X.to_text(*_plans(t), "postorder", alias="end")
 
 
 def _plan_texts(t):
@@ -237,7 +254,7 @@ def _plan_texts(t):
         .otherwise(F.concat("o_custkey", F.lit(" ||")))
     )
     header = F.array(*[F.lit(c) for c in ("c1", "c2", "c3")])
-    orders = t.spread("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    orders = t.columns("orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
     return orders.select(F.col("o_orderkey").alias("query_id"), text.alias("text"), header.alias("header"))
 
 

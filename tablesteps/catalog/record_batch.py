@@ -22,7 +22,7 @@ _SELECTED = [0, 2, 1, 0, 2, 2]
 
 def _rows(t):
     """One table per nation, one row per customer, three cells."""
-    rows = t.spread("customer", "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    rows = t.columns("customer", "c_nationkey", "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     return rows.select(
         F.col("c_nationkey").alias("table_id"),
         F.col("c_custkey").alias("row_id"),

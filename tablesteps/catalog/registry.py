@@ -23,15 +23,9 @@ class Tables:
         setattr(self, name, table)
         return table
 
-    def spread(self, name: str, *columns: str) -> DataFrame:
-        """Some columns of a table, dealt out to all cores when it is read in fewer splits.
-
-        For queries whose work per row is heavy. A large table has more splits than
-        cores and is read as it is.
-        """
-        table = getattr(self, name).select(*columns)
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    def columns(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a table."""
+        return getattr(self, name).select(*columns)
 
     @cached_property
     def w(self) -> DataFrame:

@@ -35,7 +35,7 @@ def _pairs(t):
         .otherwise(F.array("p_brand"))
     )
     step = ((F.col("p_partkey") % 4 + 1) * 1000).cast("string")
-    return t.spread("part", "p_partkey", "p_name", "p_brand", "p_size").select(
+    return t.columns("part", "p_partkey", "p_name", "p_brand", "p_size").select(
         F.col("p_partkey").alias("id"),
         target.alias("target"),
         prediction.alias("prediction"),
@@ -66,7 +66,7 @@ scored AS (SELECT id, checkpoint, {_STRICT} AS strict, {_FLEXIBLE} AS flexible,
 @query("normalize_answer")
 def normalize_answer(t):
     """Whole document texts in every language; checked against a brute-force loop in the tests."""
-    return t.spread("documents", "doc_id", "text").select("doc_id", S.normalize(F.col("text")).alias("answer"))
+    return t.columns("documents", "doc_id", "text").select("doc_id", S.normalize(F.col("text")).alias("answer"))
 
 
 @query("normalize_answer_ascii", """
@@ -94,7 +94,7 @@ def _value_texts(t):
         .when(variant == 4, F.concat("o_custkey", F.lit(".0")))
         .otherwise(F.concat(F.year(day), F.lit("-13-"), "o_orderpriority"))
     )
-    rows = t.spread("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    rows = t.columns("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     return rows.select(F.col("o_orderkey").alias("id"), text.alias("s"))
 
 

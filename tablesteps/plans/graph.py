@@ -6,27 +6,22 @@
 ``edge`` numbers a plan's edges, ``place`` is 0 for a parent's first operand and 1
 for its second.
 
-Values travel along edges level by level (``_propagate``). Plans of ordinary size
-are gathered into one row each and folded there, which costs one shuffle for all
-levels. Plans with more than ``GATHERED`` rows are never gathered: for them every
-level is a join, and each level is written to the checkpoint folder.
+Jobs that follow edges gather each plan once: nodes and edges are dealt by query_id and
+sorted, and a task holds one plan at a time, whatever its size. Plans are walked in
+linear time. An edge with a null end or an end that is no node is left out of every walk; of a plan
+with a cycle the walks return what does not depend on the cycle. ``problems`` lists both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import let
 from ..operators.datasets import SUBSETS
 from ..operators.evaluation import KINDS
-from ..session import durable
-
-GATHERED = 256  # rows of one plan that may meet in one row
-MAX_LEVELS = 100_000  # deeper than any plan; reaching it means the edges form a cycle
 
 
 def plan_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,136 +29,163 @@ def plan_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(right.hint("merge"), list(keys), how)
 
 
-def _upward(edges: DataFrame) -> DataFrame:
-    return edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("next"), "place")
-
-
-def _downward(edges: DataFrame) -> DataFrame:
-    return edges.select("query_id", F.col("parent").alias("node"), F.col("child").alias("next"), "place")
-
-
-# How values that reach one node in the same level become one: in an array of
-# (node, val) and as an aggregate over rows.
-
-
-def _combine_local(level: Column, how: str | None) -> Column:
-    if how is None:
+class Plan:
+    """One plan: its nodes, and its edges as operands and consumers of each node."""
+
+    def __init__(self, nodes: list[tuple], edges: list[tuple], named: bool):
+        """``nodes`` as (node, kind, parameter, result), ``edges`` as (child, parent, place) in edge order.
+
+        Without ``named`` the ends of the edges are the nodes.
+        """
+        if not named:
+            nodes = [(n, None, None, None) for n in dict.fromkeys(x for e in edges for x in e[:2] if x is not None)]
+        self.nodes = {n[0]: n for n in nodes}
+        self.operands: dict[str, list[str]] = {n: [] for n in self.nodes}
+        self.consumers: dict[str, list[str]] = {n: [] for n in self.nodes}
+        self.places: dict[str, list[tuple[int, str]]] = {n: [] for n in self.nodes}
+        self.dangling = 0
+        for child, parent, place in edges:
+            if child in self.nodes and parent in self.nodes:
+                self.consumers[child].append(parent)
+                self.places[parent].append((place, child))
+            else:
+                self.dangling += 1
+        for parent, held in self.places.items():
+            held.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+            self.operands[parent] = [child for _, child in held]
+        # Operands before consumers; what is on a cycle or above one is never ready.
+        waiting = {n: len(held) for n, held in self.operands.items()}
+        self.order = [n for n, left in waiting.items() if not left]
+        for node in self.order:
+            for parent in self.consumers[node]:
+                waiting[parent] -= 1
+                if not waiting[parent]:
+                    self.order.append(parent)
+        self.cyclic = len(self.order) < len(self.nodes)
+
+    def levels(self) -> dict[str, int | None]:
+        """Longest path from a leaf; None for a node on or above a cycle."""
+        level: dict[str, int | None] = dict.fromkeys(self.nodes)
+        for node in self.order:
+            level[node] = max((level[c] + 1 for c in self.operands[node]), default=0)
         return level
-    if how == "distinct":
-        return F.array_distinct(level)
-    plus = {"sum": lambda a, b: a + b, "bit_or": lambda a, b: a.bitwiseOR(b)}[how]
-
-    def total(items: Column, node: Column) -> Column:
-        vals = F.transform(F.filter(items, lambda x: x["node"] == node), lambda x: x["val"])
-        return F.struct(node.alias("node"), F.reduce(vals, F.lit(0).cast("bigint"), plus).alias("val"))
-
-    def per_node(items: Column, names: Column) -> Column:
-        met = F.transform(names, lambda node: total(items, node))
-        return F.when(F.size(names) == F.size(items), items).otherwise(met)
-
-    return let(
-        level,
-        lambda items: let(
-            F.array_distinct(F.transform(items, lambda x: x["node"])), lambda names: per_node(items, names)
-        ),
-    )
-
 
-def _combine_rows(level: DataFrame, how: str | None) -> DataFrame:
-    if how is None:
-        return level
-    if how == "distinct":
-        return level.distinct()
-    return level.groupBy("query_id", "node").agg({"sum": F.sum, "bit_or": F.bit_or}[how]("val").alias("val"))
-
-
-def _fold_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None, from_ends: bool) -> DataFrame:
-    """All levels of plans that fit in one row; first values and arcs are gathered together."""
-    kind = start.schema["val"].dataType
-    both = start.select("query_id", "node", "val", F.lit(None).cast("string").alias("next"), F.lit(None).cast("int").alias("place"))
-    both = both.unionByName(arcs.select("query_id", "node", F.lit(None).cast(kind).alias("val"), "next", "place"))
-    plans = both.groupBy("query_id").agg(F.collect_list(F.struct("node", "val", "next", "place")).alias("items"))
-    first = F.transform(
-        F.filter("items", lambda x: x["next"].isNull()),
-        lambda x: F.struct(x["node"].alias("node"), x["val"].alias("val")),
-    )
-    plans = plans.select(
-        "query_id", first.alias("first"), F.filter("items", lambda x: x["next"].isNotNull()).alias("arcs")
-    )
-    begin = F.col("first")
-    if from_ends:
-        begin = let(
-            F.transform("arcs", lambda a: a["next"]),
-            lambda reached: F.filter("first", lambda x: ~F.array_contains(reached, x["node"])),
-        )
-
-    def outgoing(arcs: Column) -> Column:
-        """Arcs of each node, looked up once per value instead of searched."""
-        starts = F.array_distinct(F.transform(arcs, lambda a: a["node"]))
-        return F.map_from_entries(
-            F.transform(starts, lambda n: F.struct(n.alias("k"), F.filter(arcs, lambda a: a["node"] == n).alias("v")))
-        )
-
-    def follow(level: Column, arcs_of: Column) -> Column:
-        led = F.transform(level, lambda x: F.transform(
-            F.try_element_at(arcs_of, x["node"]),
-            lambda a: F.struct(a["next"].alias("node"), advance(x["val"], a["place"]).alias("val")),
-        ))
-        return F.flatten(F.filter(led, lambda arcs: arcs.isNotNull()))
-
-    def fold(start: Column, arcs_of: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            following = _combine_local(follow(state["level"], arcs_of), how)
-            return F.when(F.size(state["level"]) == 0, state).otherwise(
-                let(following, lambda f: F.struct(f.alias("level"), F.concat(state["seen"], f).alias("seen")))
-            )
-
-        zero = F.struct(start.alias("level"), start.alias("seen"))
-        return F.aggregate("arcs", zero, step, lambda state: state["seen"])
-
-    folded = let(begin, lambda start: let(outgoing(F.col("arcs")), lambda arcs_of: fold(start, arcs_of)))
-    # The outer form, because the plain one would evaluate the fold once more to drop empty lists.
-    return plans.select("query_id", folded.alias("seen")).select("query_id", F.inline_outer("seen"))
-
-
-def _loop_plans(start: DataFrame, arcs: DataFrame, advance, how: str | None, from_ends: bool) -> DataFrame:
-    """All levels of plans of any size, one join per level."""
-    arcs = durable(arcs)
-    if from_ends:
-        reached = arcs.select("query_id", F.col("next").alias("node"))
-        start = plan_join(start, reached, ["query_id", "node"], "left_anti")
-    level = durable(start.select("query_id", "node", "val"))
-    levels = [level]
-    while not level.isEmpty():
-        if len(levels) > MAX_LEVELS:
-            raise ValueError("the edges of a plan form a cycle")
-        moved = level.join(arcs, ["query_id", "node"]).select(
-            "query_id", F.col("next").alias("node"), advance(F.col("val"), F.col("place")).alias("val")
-        )
-        level = durable(_combine_rows(moved, how))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
-
-def _propagate(
-    start: DataFrame, arcs: DataFrame, advance: Callable[[Column, Column], Column], how: str | None,
-    from_ends: bool = False,
+    def below(self, node: str) -> list[str]:
+        """All nodes that can be reached from a node over its operands."""
+        seen: dict[str, None] = {}
+        stack = [node]
+        while stack:
+            for child in self.operands[stack.pop()]:
+                if child not in seen:
+                    seen[child] = None
+                    stack.append(child)
+        return list(seen)
+
+    def masks(self) -> dict[str, int]:
+        """One bit for the kind of a node and of each node below it; cycles do not matter."""
+        mask = {n: 1 << (KINDS.index(x[1]) if x[1] in KINDS else len(KINDS)) for n, x in self.nodes.items()}
+        work = list(self.order) + [n for n in self.nodes if n not in set(self.order)]
+        while work:
+            changed = []
+            for node in work:
+                for parent in self.consumers[node]:
+                    if mask[parent] | mask[node] != mask[parent]:
+                        mask[parent] |= mask[node]
+                        changed.append(parent)
+            work = changed if self.cyclic else []
+        return mask
+
+    def status(self, masks: dict[str, int], kinds: Sequence[str]) -> dict[str, str]:
+        """Per node ``0`` open, ``1`` done, ``last`` done and still needed."""
+        missing = ~sum(1 << KINDS.index(k) for k in kinds)
+        is_open = {n: bool(m & missing) for n, m in masks.items()}
+        return {
+            n: "0" if is_open[n] else "last" if not self.consumers[n] or any(is_open[p] for p in self.consumers[n]) else "1"
+            for n in self.nodes
+        }
+
+    def shared(self, status: dict[str, str]) -> dict[str, str]:
+        """For needed nodes, the smallest of the needed nodes with an equal result."""
+        first: dict[str | None, str] = {}
+        needed = sorted(n for n, s in status.items() if s == "last")
+        return {n: first.setdefault(self.nodes[n][3], n) for n in needed if self.nodes[n][3] is not None}
+
+    def visits(self, preorder: bool) -> list[str]:
+        """Nodes by their first visit, a node before its operands; or by the reverse of their last visit."""
+        roots = sorted(n for n in self.nodes if not self.consumers[n])
+        out: dict[str, None] = {}
+        if preorder:
+            stack = roots[::-1]
+            while stack:
+                node = stack.pop()
+                if node not in out:
+                    out[node] = None
+                    stack += reversed(self.operands[node])
+            return list(out)
+        entered = set()
+        stack = [(n, False) for n in roots]
+        while stack:
+            node, left = stack.pop()
+            if left:
+                out.setdefault(node)
+            elif node not in entered:
+                entered.add(node)
+                stack.append((node, True))
+                stack += [(c, False) for c in self.operands[node]]
+        return list(out)
+
+
+def per_plan(
+    nodes: DataFrame | None, edges: DataFrame, schema: str, rows_of: Callable[[Plan], list[tuple]]
 ) -> DataFrame:
-    """Every value of every level: (query_id, node, val).
+    """(query_id, *schema): the rows that ``rows_of`` gives for each plan, after one shuffle by query_id.
 
-    ``start`` holds the first level; with ``from_ends`` only its nodes that no arc
-    leads to count, which are the roots going down and the leaves going up. A value moves along the arcs of its node and
-    changes by ``advance(value, place)``; values that meet combine by ``how``.
+    Without nodes a plan's nodes are the ends of its edges.
     """
-    sizes = start.select("query_id").unionAll(arcs.select("query_id")).groupBy("query_id").count()
-    crowded = sizes.filter(F.col("count") > GATHERED).select("query_id")
-    if crowded.isEmpty():
-        return _fold_plans(start, arcs, advance, how, from_ends)
-    crowded = durable(crowded)
-    few = [d.join(crowded, "query_id", "left_anti") for d in (start, arcs)]
-    many = [d.join(crowded, "query_id", "left_semi") for d in (start, arcs)]
-    folded = _fold_plans(*few, advance, how, from_ends)
-    return folded.unionByName(_loop_plans(*many, advance, how, from_ends))
+    none = F.lit(None).cast("string")
+    held = edges.select(
+        "query_id", F.lit(1).alias("_table"), F.col("edge").cast("long").alias("_edge"), F.col("child").alias("_a"),
+        F.col("parent").alias("_b"), F.col("place").cast("long").alias("_place"), none.alias("_c"), none.alias("_d"),
+    )
+    if nodes is not None:
+        zero = F.lit(None).cast("long")
+        held = held.unionAll(nodes.select("query_id", F.lit(0), zero, "node", "kind", zero, "parameter", "result"))
+    query_id = edges.schema["query_id"].dataType
+    named = nodes is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, own_nodes, own_edges, done = None, False, [], [], []
+
+        def close():
+            done.extend((at, *row) for row in rows_of(Plan(own_nodes, own_edges, named)))
+
+        def ready():
+            names = ["query_id", *(f.strip().split(" ")[0] for f in schema.split(","))]
+            kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+            types = [kind, *(kinds[f.strip().split(" ")[1]] for f in schema.split(","))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], names)
+
+        for batch in batches:
+            kind = batch.schema.field("query_id").type
+            for q, table, _, a, b, place, c, d in zip(*(x.to_pylist() for x in batch.columns)):
+                if not seen or q != at:
+                    if seen:
+                        close()
+                    at, seen, own_nodes, own_edges = q, True, [], []
+                if table:
+                    own_edges.append((a, b, place))
+                else:
+                    own_nodes.append((a, b, c, d))
+                if len(done) >= 10_000:
+                    yield ready()
+                    done = []
+        if seen:
+            close()
+        if done:
+            yield ready()
+
+    dealt = held.repartition("query_id").sortWithinPartitions("query_id", "_table", "_edge")
+    return dealt.mapInArrow(run, f"query_id {query_id.simpleString()}, {schema}")
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,55 +206,26 @@ def first_consumers(edges: DataFrame) -> DataFrame:
     return edges.groupBy("query_id", F.col("child").alias("node")).agg(first)
 
 
-def descendants(edges: DataFrame) -> DataFrame:
-    """All (node, descendant) pairs of every plan."""
-    start = edges.select("query_id", F.col("child").alias("node"), F.col("parent").alias("val")).distinct()
-    pairs = _propagate(start, _downward(edges), lambda top, _: top, "distinct").distinct()
-    return pairs.select("query_id", F.col("val").alias("node"), F.col("node").alias("descendant"))
-
-
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node the length of its longest path from a leaf."""
-    start = nodes.select("query_id", "node", F.lit(0).alias("val"))
-    steps = _propagate(start, _upward(edges), lambda level, _: level + 1, "distinct", from_ends=True)
-    return steps.groupBy("query_id", "node").agg(F.max("val").alias("level"))
-
-
-def use_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node the number of paths from the root, which is how often it is evaluated."""
-    start = nodes.select("query_id", "node", F.lit(1).cast("bigint").alias("val"))
-    steps = _propagate(start, _downward(edges), lambda uses, _: uses, "sum", from_ends=True)
-    return steps.groupBy("query_id", "node").agg(F.sum("val").alias("uses"))
-
-
-def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every path from a root to a node as a text; text order is preorder."""
-    start = nodes.select("query_id", "node", F.lit("").alias("val"))
-
-    def extend(path: Column, place: Column) -> Column:
-        return F.concat(path, F.lpad(place.cast("string"), 4, "0"))
+def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, problem, n): nodes on or above a cycle, and edges without a node at either end."""
 
-    return _propagate(start, _downward(edges), extend, None, from_ends=True).withColumnRenamed("val", "path")
+    def rows(plan: Plan) -> list[tuple]:
+        found = [("cycle", len(plan.nodes) - len(plan.order)), ("dangling edge", plan.dangling)]
+        return [x for x in found if x[1]]
 
+    return per_plan(nodes, edges, "problem string, n long", rows)
 
-def _kind_bit(kind: Column) -> Column:
-    bits = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, 1 << i)])
-    return F.coalesce(F.try_element_at(bits, kind), F.lit(1 << len(KINDS)))
-
-
-def _bits(kinds: Sequence[str]) -> int:
-    return sum(1 << KINDS.index(k) for k in kinds)
 
+def descendants(edges: DataFrame) -> DataFrame:
+    """All (node, descendant) pairs of every plan; a node on a cycle is its own descendant."""
+    return per_plan(
+        None, edges, "node string, descendant string", lambda plan: [(n, d) for n in plan.nodes for d in plan.below(n)]
+    )
 
-def kind_masks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node one bit set: its own kind and the kinds of all its descendants.
 
-    The bits travel upwards, one value per node and level, so shared nodes do not
-    multiply them.
-    """
-    start = nodes.select("query_id", "node", _kind_bit(F.col("kind")).cast("bigint").alias("val"))
-    masks = _propagate(start, _upward(edges), lambda mask, _: mask, "bit_or")
-    return masks.groupBy("query_id", "node").agg(F.bit_or("val").alias("mask"))
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node the length of its longest path from a leaf, null on and above a cycle."""
+    return per_plan(nodes, edges, "node string, level int", lambda plan: list(plan.levels().items()))
 
 
 def exec_status(
@@ -243,41 +236,12 @@ def exec_status(
     A node is done when its own kind and those of all its descendants are in the
     subset; it is still needed when a consumer is open or it has no consumer.
     """
-    masks = kind_masks(nodes, edges)
-    names = list(subsets)
-    missing = [~_bits(subsets[n]) & ((2 << len(KINDS)) - 1) for n in names]
-
-    def open_in(mask: Column) -> Column:
-        """One bit per subset in which a node with this mask is open."""
-        flags = [
-            F.when(mask.bitwiseAND(F.lit(bits)) != 0, F.lit(1 << i)).otherwise(F.lit(0))
-            for i, bits in enumerate(missing)
-        ]
-        return reduce(Column.bitwiseOR, flags)
-
-    # Written once: both the nodes and their consumers read it.
-    states = durable(masks.select("query_id", "node", open_in(F.col("mask")).alias("open")))
-    consumers = (
-        plan_join(states, _downward(edges), ["query_id", "node"])
-        .groupBy("query_id", F.col("next").alias("node"))
-        .agg(F.bit_or("open").alias("needed"))
-    )
-    everywhere = F.lit((1 << len(names)) - 1)
-    joined = plan_join(states, consumers, ["query_id", "node"], "left").withColumn(
-        "needed", F.coalesce("needed", everywhere)
-    )
-    subset = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("omega"), F.lit(1 << i).alias("bit")) for i, n in enumerate(names)
-    ])).alias("s")
-    bit = F.col("s.bit")
-    status = (
-        F.when(F.col("open").bitwiseAND(bit) != 0, F.lit("0"))
-        .when(F.col("needed").bitwiseAND(bit) != 0, F.lit("last"))
-        .otherwise(F.lit("1"))
-    )
-    return joined.select("query_id", "node", "open", "needed", subset).select(
-        "query_id", "node", "s.omega", status.alias("status")
-    )
+
+    def rows(plan: Plan) -> list[tuple]:
+        masks = plan.masks()
+        return [(n, omega, s) for omega, kinds in subsets.items() for n, s in plan.status(masks, kinds).items()]
+
+    return per_plan(nodes, edges, "node string, omega string, status string", rows)
 
 
 def residual(status: DataFrame) -> DataFrame:
@@ -285,13 +249,17 @@ def residual(status: DataFrame) -> DataFrame:
     return status.groupBy("query_id", "omega").agg(F.count_if(F.col("status") != "1").alias("tokens"))
 
 
-def merge_equal(nodes: DataFrame, status: DataFrame) -> DataFrame:
+def merge_equal(nodes: DataFrame, edges: DataFrame, subsets: Mapping[str, Sequence[str]] = SUBSETS) -> DataFrame:
     """Shared name for needed nodes of one plan and subset whose results are equal."""
-    results = nodes.select("query_id", "node", "result")
-    needed = plan_join(status.filter(F.col("status") == "last"), results, ["query_id", "node"])
-    keys = ["query_id", "omega", "result"]
-    names = needed.groupBy(*keys).agg(F.min("node").alias("shared"))
-    return plan_join(needed, names, keys).select("query_id", "omega", "node", "shared")
+
+    def rows(plan: Plan) -> list[tuple]:
+        masks = plan.masks()
+        return [
+            (omega, n, name)
+            for omega, kinds in subsets.items() for n, name in plan.shared(plan.status(masks, kinds)).items()
+        ]
+
+    return per_plan(nodes, edges, "omega string, node string, shared string", rows)
 
 
 def _kind_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -301,30 +269,6 @@ def _kind_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return plan_join(plan_join(edges, child, ["query_id", "child"]), parent, ["query_id", "parent"])
 
 
-# The kinds that a node of each kind may feed.
-LEGAL_CONSUMERS = {
-    "P": ["S", "GB", "A", "OP", "OB", "C"],
-    "C": ["S", "L", "H"],
-    "S": ["A", "OP", "GB", "OB", "C", "L", "S"],
-    "GB": ["H", "OB", "A"],
-    "H": ["H"],
-    "OB": ["C", "L", "A"],
-    "A": ["C", "OP", "L", "OB", "GB", "A"],
-    "OP": ["C", "A", "OP", "OB"],
-    "L": ["OP", "C"],
-}
-
-
 def shape_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """How often a node of one kind feeds a node of another."""
     return _kind_pairs(nodes, edges).groupBy("child_kind", "parent_kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def illegal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between kinds that do not go together."""
-    legal = F.lit(False)
-    for child, parents in LEGAL_CONSUMERS.items():
-        legal = legal | ((F.col("child_kind") == child) & F.col("parent_kind").isin(parents))
-    return _kind_pairs(nodes, edges).filter(~legal).select(
-        "query_id", "child", "parent", "child_kind", "parent_kind"
-    )

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import let, null_false
 from ..operators.datasets import SUBSETS
-from ..session import durable
-from .graph import exec_status, merge_equal, paths, plan_join
+from .graph import Plan, per_plan
 
 # The words of each operator kind.
 COMPARISONS = [">", ">=", "<=", "<", "=", "!=", "in", "is", "intersect", "union", ","]
@@ -154,9 +153,43 @@ def render_groups(groups: Column) -> Column:
     return F.lower(F.array_join(inner, "| ", "none"))
 
 
-def _joined(items: Column, ascending: bool) -> Column:
-    """Texts of (path, text) pairs in path order."""
-    return F.array_join(F.transform(F.sort_array(items, ascending), lambda x: x["text"]), "")
+def _plain(plan: Plan, status: dict[str, str], preorder: bool) -> str:
+    """A shared node is written once per use, so its text is put together once and used again."""
+    written: dict[str, str] = {}
+    for node in plan.order:
+        _, _, parameter, result = plan.nodes[node]
+        text = result if status[node] == "last" else parameter
+        own = f"{text} ||" if status[node] != "1" and text is not None else ""
+        below = [written[c] for c in plan.operands[node]]
+        written[node] = own + "".join(below) if preorder else "".join(below[::-1]) + own
+    tops = [written[n] for n in plan.order if not plan.consumers[n]]
+    return "".join(sorted(tops, reverse=not preorder))
+
+
+def _aliased(plan: Plan, status: dict[str, str], preorder: bool, results_first: bool) -> str:
+    """A shared node, and nodes with equal results, are written once, at their first place."""
+    shared = plan.shared(status)
+    lines: dict[tuple[str, str], str] = {}
+    only = ""
+    for node in plan.visits(preorder):
+        if status[node] == "1":
+            continue
+        name = shared.get(node, node)
+        _, _, parameter, result = plan.nodes[node]
+        if status[node] == "last":
+            only = max(only, result or "")
+            parts = [name, result, "||"]
+        else:
+            held = sorted(
+                (place or 0, shared.get(c, c)) for place, c in plan.places[node] if status[c] != "1"
+            )
+            parts = [name, parameter, " ".join(c for _, c in held), "||"]
+        lines.setdefault((status[node], name), " ".join(x for x in parts if x is not None))
+    operators = "".join(x for (s, _), x in lines.items() if s == "0")
+    results = "".join(x for (s, _), x in lines.items() if s == "last")
+    if not any(s == "0" for s, _ in lines):
+        return f"{only} ||"
+    return f"{results}|{operators}" if results_first else f"{operators}|{results}"
 
 
 def to_text(
@@ -168,49 +201,17 @@ def to_text(
     Finished nodes are silent, needed ones write their result, open ones their
     parameter. Plain texts write a shared node once per use; alias texts write it
     once, with the finished results in front (``alias='start'``) or behind
-    (``alias='end'``).
+    (``alias='end'``). A plan with a cycle has the text null.
     """
     first = order == "preorder"
-    status = exec_status(nodes, edges, subsets).filter(F.col("status") != "1")
-    places = paths(nodes, edges)
-    described = plan_join(status, nodes.select("query_id", "node", "parameter", "result"), ["query_id", "node"])
-    needed = F.col("status") == "last"
-    if alias is None:
-        text = F.concat(F.when(needed, F.col("result")).otherwise(F.col("parameter")), F.lit(" ||"))
-        written = plan_join(described, places, ["query_id", "node"]).groupBy("query_id", "omega")
-        items = F.collect_list(F.struct("path", text.alias("text")))
-        return written.agg(_joined(items, first).alias("text"))
-    visit = (F.min if first else F.max)("path").alias("path")
-    visited = places.groupBy("query_id", "node").agg(visit)
-    shared = merge_equal(nodes, status)
-    # Written once: operand lists and lines both read it.
-    named = durable(plan_join(described, shared, ["query_id", "omega", "node"], "left").withColumn(
-        "name", F.coalesce("shared", "node")
-    ))
-    operands = (
-        plan_join(
-            edges.select("query_id", F.col("child").alias("node"), "parent", "place"),
-            named.select("query_id", "omega", "node", "name"), ["query_id", "node"],
-        )
-        .groupBy("query_id", "omega", F.col("parent").alias("node"))
-        .agg(F.sort_array(F.collect_list(F.struct("place", F.col("name").alias("text")))).alias("_operands"))
-    )
-    listed = F.coalesce(F.array_join(F.transform("_operands", lambda o: o["text"]), " "), F.lit(""))
-    open_text = F.concat_ws(" ", "name", "parameter", listed, F.lit("||"))
-    done_text = F.concat_ws(" ", "name", "result", F.lit("||"))
-    lines = (
-        plan_join(plan_join(named, visited, ["query_id", "node"]), operands, ["query_id", "omega", "node"], "left")
-        .groupBy("query_id", "omega", "name", "status")
-        .agg((F.min if first else F.max)(F.struct(
-            "path", F.when(needed, done_text).otherwise(open_text).alias("text"), "result"
-        )).alias("line"))
-    )
-    per_plan = lines.groupBy("query_id", "omega").agg(
-        F.collect_list(F.when(~needed, F.col("line"))).alias("_open"),
-        F.collect_list(F.when(needed, F.col("line"))).alias("_done"),
-        F.max(F.when(needed, F.col("line.result"))).alias("_result"),
-    )
-    operators, results = _joined(F.col("_open"), first), _joined(F.col("_done"), first)
-    halves = [results, F.lit("|"), operators] if alias == "start" else [operators, F.lit("|"), results]
-    whole = F.when(F.size("_open") == 0, F.concat("_result", F.lit(" ||"))).otherwise(F.concat(*halves))
-    return per_plan.select("query_id", "omega", whole.alias("text"))
+
+    def rows(plan: Plan) -> list[tuple]:
+        if plan.cyclic:
+            return [(omega, None) for omega in subsets]
+        masks, out = plan.masks(), []
+        for omega, kinds in subsets.items():
+            status = plan.status(masks, kinds)
+            out.append((omega, _plain(plan, status, first) if alias is None else _aliased(plan, status, first, alias == "start")))
+        return out
+
+    return per_plan(nodes, edges, "omega string, text string", rows)

@@ -7,7 +7,6 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tablesteps.catalog import QUERIES
-from tablesteps.catalog import plan_corpus as C
 from tablesteps.functions.scoring import normalize_text
 from tablesteps.operators import datasets as D
 from tablesteps.plans import graph as G
@@ -157,14 +156,41 @@ def test_alias_text_round_trip(spark, plan):
     assert edges == set(EDGES)
 
 
-def test_huge_plans_take_the_other_way(spark, tables, monkeypatch):
-    """Folding and looping give the same rows, alone and mixed."""
-    nodes, edges = C._plans(tables)
-    jobs = [
-        lambda: G.descendants(edges), lambda: G.levels(nodes, edges), lambda: G.use_counts(nodes, edges),
-        lambda: G.paths(nodes, edges), lambda: G.kind_masks(nodes, edges),
-    ]
-    folded = [sorted(map(tuple, job().collect())) for job in jobs]
-    for limit in (0, 8):
-        monkeypatch.setattr(G, "GATHERED", limit)
-        assert [sorted(map(tuple, job().collect())) for job in jobs] == folded
+def _tables(spark, nodes, edges):
+    nodes = spark.createDataFrame([(q, n, "P", n, n + "!") for q, n in nodes], "query_id bigint, node string, kind string, parameter string, result string")
+    edges = spark.createDataFrame([(q, i, *e) for i, (q, *e) in enumerate(edges)], "query_id bigint, edge int, child string, parent string, place int")
+    return nodes, edges
+
+
+def test_cycles_and_dangling_edges_are_reported(spark):
+    nodes, edges = _tables(
+        spark, [(1, "n1"), (1, "n2"), (1, "n3"), (2, "a"), (2, "b")],
+        [(1, "n3", "n1", 0), (1, "n1", "n2", 0), (1, "n2", "n1", 1), (2, "a", None, 0), (2, "x", "b", 0), (2, "a", "b", 0), (3, "p", "q", 0)],
+    )
+    assert {tuple(r) for r in G.problems(nodes, edges).collect()} == {(1, "cycle", 2), (2, "dangling edge", 2), (3, "dangling edge", 1)}
+    assert {tuple(r) for r in G.levels(nodes, edges).collect()} == {(1, "n3", 0), (1, "n1", None), (1, "n2", None), (2, "a", 0), (2, "b", 1)}
+    assert {tuple(r)[1:] for r in G.descendants(edges).where("query_id = 1").collect()} == {
+        (a, b) for a in ("n1", "n2") for b in ("n1", "n2", "n3")
+    }
+    texts = {r["query_id"]: r["text"] for r in X.to_text(nodes, edges, subsets={"x": []}).collect()}
+    assert texts == {1: None, 2: "b ||a ||", 3: ""}
+
+
+def test_a_deep_plan_and_a_ladder_of_shared_nodes(spark):
+    chain = [(1, f"n{i:04d}") for i in range(3000)]
+    ladder = [(2, f"{s}{i:02d}") for i in range(30) for s in "ab"]
+    edges = [(1, b[1], a[1], 0) for a, b in zip(chain, chain[1:])]
+    edges += [(2, f"{s}{i + 1:02d}", f"{r}{i:02d}", int(s == "b")) for i in range(29) for r in "ab" for s in "ab"]
+    nodes, edges = _tables(spark, chain + ladder, edges)
+    assert G.levels(nodes, edges).agg(F.max("level")).first()[0] == 2999
+    texts = {r["query_id"]: r["text"] for r in X.to_text(nodes, edges, alias="end", subsets={"x": []}).collect()}
+    assert texts[1].count("||") == 3000 and texts[2].count("||") == 60
+    assert G.descendants(edges).where("query_id = 2").count() == sum(2 * 2 * (29 - i) for i in range(30))
+
+
+def test_operands_beyond_ten_thousand_keep_their_order(spark):
+    nodes, edges = _tables(
+        spark, [(1, "top")] + [(1, f"c{i}") for i in range(10_050)], [(1, f"c{i}", "top", i) for i in range(10_050)]
+    )
+    text = X.to_text(nodes, edges, subsets={"x": []}).first()["text"]
+    assert text == "top ||" + "".join(f"c{i} ||" for i in range(10_050))
