@@ -54,8 +54,8 @@ def count_subquery(t):
 
 
 @query("group_collect", on_w("""
-SELECT c4, id // 4096 AS part, count(*) AS n, string_agg(coalesce(c1, 'none'), '| ' ORDER BY id) AS cells
-FROM w WHERE c4 IS NOT NULL GROUP BY c4, id // 4096"""))
+SELECT c4, CAST(0 AS BIGINT) AS part, count(*) AS n, string_agg(coalesce(c1, 'none'), '| ' ORDER BY id) AS cells
+FROM w WHERE c4 IS NOT NULL GROUP BY c4"""))
 def group_collect(t):
     lists = P.chunked_lists(t.w.filter("c4 IS NOT NULL"), ["c4"], "id", "c1", size=4096)
     cells = F.array_join("values", "| ", "none")

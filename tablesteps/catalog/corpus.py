@@ -106,7 +106,7 @@ def attach_sql(t):
         F.concat(F.lit("select "), "c_mktsegment").alias("sql"),
     )
     questions = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("nt"))
-    return D.attach(questions, corpus, "nt").select("id", "tbl", "sql")
+    return D.attach(questions, corpus, "nt", order=["tbl", "sql"]).select("id", "tbl", "sql")
 
 
 @query("map_header", """
@@ -235,16 +235,30 @@ def prefix_budget(t):
     return D.prefix_budget(placed, ["lang"], "pos", "tokens", F.lit(12)).select("lang", "doc_id", "pos")
 
 
-# ---- permutation: the order comes from Spark's hash, so there is no SQL form ----
+# ---- permutation ----------------------------------------------------------------
 
 
-@query("permute_column")
+def _drawn_sql(column, table="r"):
+    """Where each row's value of a column moves to."""
+    return f"""SELECT table_id, {column} AS value, pos AS origin,
+  row_number() OVER (PARTITION BY table_id ORDER BY md5(concat_ws('|', '42', table_id, '{column}', pos)), pos) - 1 AS pos FROM {table}"""
+
+
+@query("permute_column", f"""
+WITH {_NATION_SQL}, d AS ({_drawn_sql("c_acctbal")})
+SELECT r.table_id, r.pos, r.c_custkey, d.value AS c_acctbal FROM r JOIN d ON d.table_id = r.table_id AND d.pos = r.pos""")
 def permute_column(t):
     rows = _nation_rows(t).select("table_id", "pos", "c_custkey", "c_acctbal")
     return D.permute(rows, ["table_id"], "pos", ["c_acctbal"])
 
 
-@query("permute_table")
+@query("permute_table", f"""
+WITH {_NATION_SQL}, z AS (SELECT table_id, floor(count(*) * 0.8) AS first FROM r GROUP BY table_id),
+moving AS (SELECT r.* FROM r JOIN z ON z.table_id = r.table_id WHERE r.pos < z.first),
+a AS ({_drawn_sql("c_name", "moving")}), b AS ({_drawn_sql("c_acctbal", "moving")})
+SELECT r.table_id, r.pos, CASE WHEN a.pos IS NULL THEN r.c_name ELSE a.value END AS c_name, r.c_mktsegment,
+       CASE WHEN b.pos IS NULL THEN r.c_acctbal ELSE b.value END AS c_acctbal
+FROM r LEFT JOIN a ON a.table_id = r.table_id AND a.pos = r.pos LEFT JOIN b ON b.table_id = r.table_id AND b.pos = r.pos""")
 def permute_table(t):
     """Two columns shuffled on their own among the rows that fit, the tail of each table fixed."""
     sizes = t.customer.groupBy(F.col("c_nationkey").alias("table_id")).agg(F.count(F.lit(1)).alias("_n"))
@@ -253,7 +267,13 @@ def permute_table(t):
     return shuffled.select("table_id", "pos", "c_name", "c_mktsegment", "c_acctbal")
 
 
-@query("permuted_or_original")
+@query("permuted_or_original", f"""
+WITH {_NATION_SQL}, d AS ({_drawn_sql("c_acctbal")}),
+m AS (SELECT r.table_id, r.pos, r.c_name, d.value AS c_acctbal FROM r JOIN d ON d.table_id = r.table_id AND d.pos = r.pos),
+x AS (SELECT table_id, arg_max(c_name, struct_pack(a := c_acctbal, b := pos)) AS before FROM r GROUP BY table_id),
+y AS (SELECT table_id, arg_max(c_name, struct_pack(a := c_acctbal, b := pos)) AS after FROM m GROUP BY table_id)
+SELECT table_id, CASE WHEN before <> after THEN 'permuted' ELSE 'original' END AS kept, CASE WHEN before <> after THEN after ELSE before END AS answer
+FROM x JOIN y USING (table_id)""")
 def permuted_or_original(t):
     """Who has the largest balance per nation, before and after the balances are shuffled."""
     original = _nation_rows(t).select("table_id", "pos", "c_name", "c_acctbal")

@@ -184,19 +184,20 @@ _extremes("spec_argmin", R.MIN)
 
 @query("spec_aggregate", _TOTALS_SQL + " SELECT query_id, agg, n AS rows, value FROM totals WHERE agg >= 3")
 def spec_aggregate(t):
-    return R.numbers(_records(t).filter("agg >= 3"), _rows(t))
+    return R.numbers(_records(t).filter("agg >= 3"), _rows(t), digits=6)
 
 
 @query("spec_answer_rows", _ANSWERS_SQL + " SELECT query_id, row_id, answer FROM long_answers")
 def spec_answer_rows(t):
-    return R.answers(_records(t), _rows(t))
+    return R.answers(_records(t), _rows(t), digits=6)
 
 
 @query("spec_answers", _ANSWERS_SQL + """
-SELECT query_id, coalesce(row_id // 4096, 0) AS part, string_agg(answer, ', ' ORDER BY row_id) AS answer
-FROM long_answers GROUP BY query_id, coalesce(row_id // 4096, 0)""")
+, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) - 1 AS place FROM long_answers)
+SELECT query_id, place // 4096 AS part, string_agg(answer, ', ' ORDER BY place) AS answer
+FROM placed GROUP BY query_id, place // 4096""")
 def spec_answers(t):
-    return R.answer_texts(R.answers(_records(t), _rows(t)))
+    return R.answer_texts(R.answers(_records(t), _rows(t), digits=6))
 
 
 def _order_records(t):

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .evaluation import with_typed_sets
-from .positions import part_of, positions
+from .positions import part_of, positions, running_total
 
 # Operator subsets, from projections only to all kinds, and the
 # longest target text in tokens that training accepts for each.
@@ -43,9 +43,9 @@ def last_per_id(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(row).select(key, "_row.*")
 
 
-def attach(df: DataFrame, forms: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
-    """Add the columns of ``forms`` by id; when an id occurs twice its last row counts."""
-    return df.join(last_per_id(forms, key, order) if order else forms, key)
+def attach(df: DataFrame, forms: DataFrame, key: str = "id", *, order: Sequence[str]) -> DataFrame:
+    """Add the columns of ``forms`` by id; when an id occurs twice its last row in ``order`` counts."""
+    return df.join(last_per_id(forms, key, order), key)
 
 
 def map_header(header: Column, names: Column) -> Column:
@@ -169,13 +169,12 @@ def prefix_budget(
 ) -> DataFrame:
     """Longest prefix of every table whose rows, header and question fit the token budget.
 
-    Every row costs at least one token, so no table keeps more than ``budget``
-    rows; rows behind that position are dropped before the window.
+    A row without tokens, or with a null or negative count, costs nothing and is kept as long as the rows
+    before it fit.
     """
-    cost = F.greatest(F.col(tokens), F.lit(1))
-    running = F.sum(cost).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    near = df.filter(F.col(pos) < budget)
-    return near.withColumn("_used", running + head_tokens).filter(F.col("_used") <= budget).drop("_used")
+    cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0))
+    used = running_total(df, [F.col(pos)], keys, cost, "_used")
+    return used.filter(F.col("_used") + head_tokens <= budget).drop("_used")
 
 
 # ---- permutation --------------------------------------------------------------
@@ -186,24 +185,26 @@ def permute(
 ) -> DataFrame:
     """Shuffle each named column among the first rows of its table, each on its own.
 
-    Rows from position ``first`` on keep their values. The order comes from a hash
-    of seed, table, column and position, so copies of a table are shuffled alike.
+    Rows from position ``first`` on keep their values. The order comes from an md5 of seed, table, column and
+    position, so copies of a table are shuffled alike, in any engine. Only positions are shuffled; a value of any
+    type is then fetched from the position it comes from.
     """
-    kinds = dict(df.dtypes)
     moving = df.filter(F.col(pos) < first) if first is not None else df
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
-    ])).alias("c")
-    long = moving.select(*keys, F.col(pos).alias("_from"), cells).select(*keys, "_from", "c.column", "c.value")
-    draw = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col("column"), F.col("_from"))
-    drawn = positions(long, [draw, F.col("_from")], keys=[*keys, "column"], name="_to")
-    moved = drawn.groupBy(*keys, F.col("_to").alias(pos)).agg(
-        F.lit(True).alias("_moved"),
-        *[F.max(F.when(F.col("column") == c, F.col("value"))).cast(kinds[c]).alias(f"_new_{c}") for c in columns],
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
+    long = moving.select(*keys, F.col(pos).alias("_from"), names)
+    parts = [F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("column"), F.col("_from").cast("string")]
+    drawn = positions(long, [F.md5(F.concat_ws("|", *parts)), F.col("_from")], keys=[*keys, "column"], name="_to")
+    out = df.join(
+        drawn.groupBy(*keys, F.col("_to").alias(pos)).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("_from"))).alias(f"_from_{c}") for c in columns]
+        ),
+        [*keys, pos], "left",
     )
-    joined = df.join(moved, [*keys, pos], "left")
-    return joined.select(*[
-        F.when(F.col("_moved"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+    for c in columns:
+        source = df.select(*keys, F.col(pos).alias(f"_from_{c}"), F.col(c).alias(f"_new_{c}"))
+        out = out.join(source, [*keys, f"_from_{c}"], "left")
+    return out.select(*[
+        F.when(F.col(f"_from_{c}").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
 

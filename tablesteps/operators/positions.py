@@ -62,6 +62,31 @@ def positions(
     )
 
 
+def running_total(
+    df: DataFrame, order: Sequence[Column], keys: Sequence[str], amount: Column, name: str
+) -> DataFrame:
+    """Add the exact sum of ``amount`` over a row and all rows before it in ``order``, within each key.
+
+    Sorted like ``positions``: a window holds one sort slice of a key or one row per slice, never a whole key.
+    """
+    sorted_rows = durable(
+        df.withColumn("_amount", amount).orderBy(*[F.col(k) for k in keys], *order)
+        .withColumn("_slot", F.monotonically_increasing_id())
+    ).withColumn("_slice", F.shiftright("_slot", _SLICE_BITS))
+    by_slice = sorted_rows.groupBy("_slice", *keys).agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_slice.select(
+        F.col("_slice").alias("_s"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"),
+    )
+    so_far = Window.partitionBy("_slice", *keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = sorted_rows.withColumn("_local", F.sum("_amount").over(so_far)).join(
+        starts, reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s"))
+    )
+    return joined.select(*df.columns, (F.col("_start") + F.col("_local")).alias(name))
+
+
 def part_of(name: str, size: int) -> Column:
     """Which range of ``size`` whole numbers a value falls in, by whole-number division."""
     return F.expr(f"`{name}` div {size}L")
@@ -72,13 +97,13 @@ def chunked_lists(
 ) -> DataFrame:
     """Grouped values as ordered lists of at most ``size`` values: (keys, part, values).
 
-    ``order_id`` is a unique whole number, so a part can not hold more than
-    ``size`` rows; a key's whole list is its parts joined in ``part`` order.
-    Null values keep their place.
+    A part is a range of places within the key, so a key with up to ``size`` values has one
+    list; a longer list is its parts joined in ``part`` order. Null values keep their place.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order_id).alias("i"), F.col(value).alias("v"))))
+    placed = positions(df.select(*keys, order_id, value), [F.col(order_id)], keys, name="_place")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("_place").alias("i"), F.col(value).alias("v"))))
     return (
-        df.groupBy(*keys, part_of(order_id, size).alias("part"))
+        placed.groupBy(*keys, part_of("_place", size).alias("part"))
         .agg(pairs.alias("_pairs"))
         .select(*keys, "part", F.transform("_pairs", lambda p: p["v"]).alias("values"))
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import float_text, locale_float, null_false
-from .positions import part_of
+from .positions import part_of, positions
 
 # Aggregate and operator codes and their words.
 AGGREGATES = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
@@ -106,7 +106,7 @@ def matching_rows(records: DataFrame, rows: DataFrame, splits: int = SPLITS, car
 
 def type_errors(records: DataFrame, rows: DataFrame) -> DataFrame:
     """Per record, conditions whose literal is no number although the column is ``real``."""
-    kinds = rows.groupBy("table_id").agg(F.first("types").alias("types"))
+    kinds = rows.select("table_id", "types").distinct().groupBy("table_id").agg(F.min("types").alias("types"))
     bad = F.filter(
         "conds", lambda c: (F.get("types", c["col"]) == "real") & locale_float(c["val"]).isNull()
     )
@@ -134,16 +134,18 @@ def extremes(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataF
     )
 
 
-def numbers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
+def numbers(records: DataFrame, rows: DataFrame, splits: int = SPLITS, digits: int | None = None) -> DataFrame:
     """Per other record: rows matched, and the number a count, sum or mean answers with.
 
-    Sums and means over text columns have no number.
+    Sums and means over text columns have no number. Sums are as they are unless ``digits`` asks for a rounding,
+    which hides the order in which parts were added.
     """
+    total = F.sum("cell.num")
     wanted = records.filter(~F.col("agg").isin(MAX, MIN))
     per_record = matching_rows(wanted, rows, splits).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.bool_and(F.col("cell.kind") == "real").alias("_real"),
-        F.round(F.sum("cell.num"), 6).alias("_sum"),
+        (total if digits is None else F.round(total, digits)).alias("_sum"),
     )
     count = F.coalesce("rows", F.lit(0))
     value = (
@@ -161,7 +163,7 @@ def _with_number_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     return numbered.withColumn(out, F.coalesce(float_text(F.col("_number")), text)).drop("_number")
 
 
-def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
+def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS, digits: int | None = None) -> DataFrame:
     """Answers in long form: (query_id, row_id, answer).
 
     A number answers with one line and no ``row_id``; cell answers keep one line
@@ -176,7 +178,7 @@ def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFr
         "query_id", "rows", F.col("extreme.row_id").alias("row_id"),
         F.coalesce("_picked", F.lit(EMPTY_ANSWER)).alias("answer"),
     )
-    totals = numbers(records, rows, splits)
+    totals = numbers(records, rows, splits, digits)
     empty = F.when((F.col("rows") == 0) & (F.col("agg") != COUNT), F.lit(EMPTY_ANSWER))
     settled = totals.select(
         "query_id", "rows", F.lit(None).cast("bigint").alias("row_id"),
@@ -191,11 +193,14 @@ def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFr
 
 
 def answer_texts(long_answers: DataFrame, size: int = 4096) -> DataFrame:
-    """Answers joined by ``, `` in parts of a bounded row range: (query_id, part, answer)."""
-    part = F.coalesce(part_of("row_id", size), F.lit(0))
-    pairs = F.array_sort(F.collect_list(F.struct("row_id", "answer")))
+    """Answers joined by ``, `` in parts of at most ``size`` lines: (query_id, part, answer).
+
+    An answer of up to ``size`` lines is one row.
+    """
+    placed = positions(long_answers, [F.col("row_id")], keys=["query_id"], name="_place")
+    pairs = F.array_sort(F.collect_list(F.struct("_place", "answer")))
     return (
-        long_answers.groupBy("query_id", part.alias("part"))
+        placed.groupBy("query_id", part_of("_place", size).alias("part"))
         .agg(F.array_join(F.transform(pairs, lambda p: p["answer"]), ", ").alias("answer"))
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,24 @@ def load_dataset(spark: SparkSession, path: str, *splits: str) -> DataFrame:
     return data.filter(F.col("split").isin(list(splits))) if splits else data
 
 
+_W_LOCK = threading.Lock()
+
+
 def run_sql(df: DataFrame, sql: str) -> DataFrame:
-    """Run a query text over ``df`` under the name ``w``."""
-    df.createOrReplaceTempView("w")
-    return df.sparkSession.sql(sql)
+    """Run a query text over ``df`` under the name ``w``.
+
+    The name is bound while the text is analysed, one caller at a time; a view ``w`` of the session is as before afterwards.
+    """
+    spark = df.sparkSession
+    with _W_LOCK:
+        before = spark.table("w") if spark.catalog.tableExists("w") else None
+        df.createOrReplaceTempView("w")
+        try:
+            return spark.sql(sql)
+        finally:
+            spark.catalog.dropTempView("w")
+            if before is not None and not spark.catalog.tableExists("w"):
+                before.createOrReplaceTempView("w")
 
 
 def flat_cells(df: DataFrame, *row_key: str) -> DataFrame:
