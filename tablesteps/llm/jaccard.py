@@ -7,10 +7,12 @@ multiplies only blocks that can hold a link:
 1. Rows with equal sets are one row from here on (copies are never paired).
 2. Two rows at or above the threshold differ in at most ``d`` columns, and ``d`` follows from
    their sizes. The columns are dealt by hash into more than ``d`` groups, so two linked rows
-   agree entirely on at least one group. Rows without an equal group are never multiplied.
-   This is exact: no row, partner or group is capped.
-3. Rows that share a group with the same smallest partner form a block of bounded size.
-   Pairs of blocks that share a group are multiplied in a task, a range of columns at a time.
+   agree entirely on at least one group, and mostly on many: of the groups a row fills, all but
+   ``d`` are equal in a linked row. Rows that share fewer are never multiplied. This is exact: no
+   row, partner or group is capped.
+3. Rows that share a group with the same smallest partner form a block of bounded size. For each
+   row and block, the groups shared are counted; rows with enough of them go into the
+   product of their own block with that one. Each pair of blocks is multiplied in a task, a range of columns at a time.
    Overlap counts accumulate, and a pair leaves once its count plus the columns still to come
    is below the bound from its sizes. A block pair returns a spanning forest of its links,
    so the output is linear in the rows even where all of them are linked.
@@ -33,6 +35,7 @@ from .textbytes import U64, mix, shingles, slices
 BLOCK_ROWS = 768  # rows of a block at most
 BLOCK_CELLS = 1 << 18  # set cells of a block, on average at most
 COLUMNS = 4096  # columns multiplied at a time
+NOTE_SIZE, NOTE_NEED = 36, 12  # places of a set's size and of the count it needs in a note
 SIZE_STEP = 1.3  # a size class ends at this many times the end of the class before
 
 
@@ -69,15 +72,18 @@ class Classes:
         low = int(np.searchsorted(self.ends, size))
         return range(low, int(np.searchsorted(self.ends, largest)) + 1)
 
-    def signatures(self, cells: np.ndarray) -> np.ndarray:
-        """One hash per class in reach and non-empty column group of a set.
+    def signatures(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One hash per class in reach and non-empty column group of a set, and a number for each.
+
+        The number holds the size of the set, the least count of equal hashes that a linked set of this class
+        shares with it, and a tag of class and seed, within which they are counted.
 
         If the set fills no more groups than it may differ in from a partner, they might agree on
         empty groups alone, so the columns are dealt again under the next seed as well. Of two
         linked sets, the one that stops first has filled enough groups under its last seed, and the other has
         signatures under that seed too.
         """
-        found = []
+        found, notes = [], []
         content = mix(cells + U64(0x9D2C5680))
         size = len(cells)
         for c in self.reach(size):
@@ -93,10 +99,13 @@ class Classes:
                 sums = np.add.reduceat(content[order], first)
                 tag = U64((c << 48) + (seed << 32)) + dealt[first]
                 found.append(mix(sums ^ mix(tag + U64(0x632BE59BD9B4E019))))
+                need = max(1, len(first) - differ)
+                note = (size << NOTE_SIZE) | (need << NOTE_NEED) | ((16 * c + seed) % (1 << NOTE_NEED))
+                notes.append(np.full(len(first), note, np.int64))
                 if len(first) > differ:
                     break
                 seed += 1
-        return np.concatenate(found) if found else np.zeros(0, U64)
+        return np.concatenate(found), np.concatenate(notes)
 
 
 def _keys(words: int):
@@ -125,24 +134,24 @@ def _signature_rows(words: int, percent: int):
         classes, seen = Classes(percent), set()
         for batch in batches:
             for _, _, texts in slices(batch.column("text")):
-                sigs, members, sizes = [], [], []
+                sigs, notes, members = [], [], []
                 for cells in shingles(texts, words):
                     if len(cells) and (key := set_key(cells)) not in seen:
                         if len(seen) >= 1 << 20:  # bounded; a copy met again only repeats its rows
                             seen.clear()
                         seen.add(key)
-                        sigs.append(classes.signatures(cells))
+                        for found, into in zip(classes.signatures(cells), (sigs, notes)):
+                            into.append(found)
                         members.append(key)
-                        sizes.append(len(cells))
                 if sigs:
                     counts = [len(s) for s in sigs]
                     yield pa.RecordBatch.from_arrays(
                         [
                             _signed(np.concatenate(sigs)),
                             pa.array(np.repeat(np.array(members, np.int64), counts)),
-                            pa.array(np.repeat(np.array(sizes, np.int32), counts)),
+                            pa.array(np.concatenate(notes)),
                         ],
-                        ["sig", "member", "size"],
+                        ["sig", "member", "note"],
                     )
 
     return run
@@ -153,15 +162,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only the first and the last row of the open run are kept between batches.
     """
-    carry = None  # sig, first member, its size, last member, whether the first row is out
+    carry = None  # sig, first member, its note, last member, whether the first row is out
     for batch in batches:
-        sig, member, size = (batch.column(i).to_numpy() for i in range(3))
+        sig, member, note = (batch.column(i).to_numpy() for i in range(3))
         if carry is not None:
-            sig, member, size = np.r_[carry[0], sig], np.r_[carry[1], member], np.r_[np.int32(carry[2]), size]
+            sig, member, note = np.r_[carry[0], sig], np.r_[carry[1], member], np.r_[carry[2], note]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])] if len(sig) else np.zeros(0, bool)
         if carry is not None:  # the last member of the batch before, met again
             fresh[1:] &= ~((sig[1:] == carry[0]) & (member[1:] <= carry[3]))
-        sig, member, size = sig[fresh], member[fresh], size[fresh]
+        sig, member, note = sig[fresh], member[fresh], note[fresh]
         if not len(sig):
             continue
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
@@ -172,13 +181,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_run = carry is not None and sig[-1] == carry[0]
         out = (same_run and was_out) or lengths[-1] > 1
         last = max(int(member[-1]), carry[3]) if same_run else int(member[-1])
-        state = (sig[first[-1]], member[first[-1]], size[first[-1]], last, out)
+        state = (sig[first[-1]], member[first[-1]], note[first[-1]], last, out)
         if was_out and sig[0] == carry[0]:
             shared[0] = False
         carry = state
         if shared.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[shared]) for x in (sig, member, size, pivot)], ["sig", "member", "size", "pivot"]
+                [pa.array(x[shared]) for x in (sig, member, note, pivot)], ["sig", "member", "note", "pivot"]
             )
 
 
@@ -196,8 +205,7 @@ def _cells(words: int):
                         cells.append(c.tobytes())
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("block").take(taken), batch.column("member").take(taken), pa.array(cells, pa.binary())],
-                    ["block", "member", "cells"],
+                    [batch.column("member").take(taken), pa.array(cells, pa.binary())], ["member", "cells"]
                 )
 
     return run
@@ -328,43 +336,44 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
     keyed = durable(docs.mapInArrow(_keys(words), ", ".join([*kept, "n_shingles long", "set_key long"])))
     sets = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
 
-    rows = docs.select("text").mapInArrow(_signature_rows(words, percent), "sig long, member long, size int")
+    rows = docs.select("text").mapInArrow(_signature_rows(words, percent), "sig long, member long, note long")
     shared = durable(
         rows.repartition("sig").sortWithinPartitions("sig", "member").mapInArrow(
-            _shared, "sig long, member long, size int, pivot long"
+            _shared, "sig long, member long, note long, pivot long"
         )
     )
-    labels = shared.groupBy("member").agg(F.min("pivot").alias("label"), F.min("size").alias("size"))
+    size = F.shiftright("note", NOTE_SIZE)
+    labels = shared.groupBy("member").agg(F.min("pivot").alias("label"), F.min(size).alias("size"))
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") / BLOCK_CELLS))
     large = labels.groupBy("label").agg(chunks.alias("chunks")).where("chunks > 1")
     chunk = F.pmod(F.xxhash64("member"), F.coalesce("chunks", F.lit(1)))
-    blocks = durable(labels.join(large, "label", "left").select("member", "size", F.xxhash64("label", chunk).alias("block")))
-
-    touched = (
-        shared.select("sig", "member").join(blocks, "member")
-        .groupBy("sig", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    blocks = durable(labels.join(large, "label", "left").select("member", F.xxhash64("label", chunk).alias("block")))
+
+    # Per row, block and tag the number of equal groups; its own block counts if another row has the group.
+    held = shared.select("sig", "member", "note").join(blocks, "member")
+    touched = held.groupBy("sig", F.col("block").alias("with")).agg(F.count(F.lit(1)).alias("n"))
+    need = F.shiftright(F.col("note"), NOTE_NEED).bitwiseAND(F.lit((1 << (NOTE_SIZE - NOTE_NEED)) - 1))
+    chosen = durable(
+        held.join(touched, "sig").where("block <> with OR n > 1")
+        .groupBy("member", "block", "with", "note").agg(F.count(F.lit(1)).alias("equal")).where(F.col("equal") >= need)
+        .select("member", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"),
+                F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("side"))
+        .distinct()
     )
-    one, other = touched.alias("one"), touched.alias("other")
-    meet = (
-        (F.col("one.sig") == F.col("other.sig"))
-        & (F.col("one.block") <= F.col("other.block"))
-        & (F.col("one.most") * 100 >= F.col("other.least") * percent)
-        & (F.col("other.most") * 100 >= F.col("one.least") * percent)
+    # A product needs two rows, and of two blocks one row of each.
+    products = (
+        chosen.groupBy("one", "other").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("a"), F.max("side").alias("b"))
+        .where("n > 1 AND (one = other OR a <> b)").select("one", "other")
     )
-    pairs = one.join(other, meet).select(F.col("one.block").alias("one"), F.col("other.block").alias("other")).distinct()
-
-    named = blocks.join(sets, F.col("member") == F.col("set_key")).select("member", "block", F.col("first_id").alias("_first"))
-    filled = durable(
+    work = durable(chosen.join(products, ["one", "other"]))
+    named = work.select("member").distinct().join(sets, F.col("member") == F.col("set_key"))
+    named = named.select("member", F.col("first_id").alias("_first"))
+    filled = (
         docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_first")))
-        .select("block", "member", "text")
-        .mapInArrow(_cells(words), "block long, member long, cells binary")
-    )
-    sides = durable(pairs)
-    sides = sides.select("one", "other", F.lit(0).alias("side"), F.col("one").alias("block")).union(
-        sides.where("one <> other").select("one", "other", F.lit(1), F.col("other"))
+        .select("member", "text").mapInArrow(_cells(words), "member long, cells binary")
     )
     links = (
-        sides.join(filled, "block").select("one", "other", "side", "member", "cells")
+        work.join(filled, "member").select("one", "other", "side", "member", "cells")
         .repartition("one", "other").sortWithinPartitions("one", "other", "side", "member")
         .mapInArrow(_multiply(percent), "a long, b long")
     )

@@ -116,7 +116,12 @@ def test_linked_sets_share_a_signature(common, left, right, percent, seed):
     np.random.default_rng(seed + 1).shuffle(cells)
     a, b = np.sort(cells[: common + left]), np.sort(np.r_[cells[:common], cells[common + left :]])
     classes = jaccard.Classes(percent)
-    assert np.intersect1d(classes.signatures(a), classes.signatures(b)).size
+    both = [dict(zip(*(x.tolist() for x in classes.signatures(c)))) for c in (a, b)]
+    equal = both[0].keys() & both[1].keys()
+    mask = (1 << jaccard.NOTE_NEED) - 1
+    need = [{n & mask: (n >> jaccard.NOTE_NEED) & 0xFFFFFF for n in own.values()} for own in both]
+    counts = [Counter(own[s] & mask for s in equal) for own in both]
+    assert any(c >= max(need[0][t], need[1][t]) for t, c in counts[0].items() if t in need[1] and counts[1][t] == c)
 
 
 def test_equal_hashes_of_equal_shingles():
@@ -130,8 +135,8 @@ def test_shared_runs_over_batches():
     for width in range(1, len(rows) + 1):
         batches = [
             pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([1] * len(part), pa.int32())],
-                ["sig", "member", "size"],
+                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([1] * len(part), pa.int64())],
+                ["sig", "member", "note"],
             )
             for part in (rows[i : i + width] for i in range(0, len(rows), width))
         ]
