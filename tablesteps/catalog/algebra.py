@@ -168,6 +168,13 @@ def diff_two_scalars(t):
     return S.scalar_diff(left, right, "answer").select(F.round("answer", 2).alias("answer"))
 
 
+@query("diff_with_empty_side", on_w("SELECT round(coalesce((SELECT max(c2) FROM w WHERE c5 = 'F'), 0) - coalesce((SELECT max(c2) FROM w WHERE c5 = 'missing'), 0), 2) AS answer"))
+def diff_with_empty_side(t):
+    left = t.w.filter("c5 = 'F'").agg(F.max("c2").alias("v"))
+    right = S.first_value(t.w.filter("c5 = 'missing'"), "c2")
+    return S.scalar_diff(left, right, "answer", empty=0).select(F.round("answer", 2).alias("answer"))
+
+
 @query("abs_diff_two_scalars", on_w("SELECT round(abs((SELECT c2 FROM w WHERE c1 = '1-URGENT' ORDER BY id LIMIT 1) - (SELECT c2 FROM w WHERE c1 = '2-HIGH' ORDER BY id LIMIT 1)) + 1, 2) AS answer"))
 def abs_diff_two_scalars(t):
     left = S.first_value(t.w.filter("c1 = '1-URGENT'"), "c2")
@@ -375,6 +382,20 @@ def array_keep_in(t):
     return kept.select("c4", "id", "c1")
 
 
+@query("group_intersect", on_w("""
+SELECT c4, id, c1 FROM w l WHERE c5 = 'F'
+AND EXISTS (SELECT 1 FROM w r WHERE r.c5 = 'O' AND r.c4 IS NOT DISTINCT FROM l.c4 AND r.c1 IS NOT DISTINCT FROM l.c1)"""))
+def group_intersect(t):
+    left = t.w.filter("c5 = 'F'").select("c4", "id", "c1")
+    return S.group_intersect(left, t.w.filter("c5 = 'O'"), "c4", "c1")
+
+
+@query("group_union", on_w("SELECT c4, c1 FROM w WHERE c5 = 'F' UNION SELECT c4, c6 FROM w WHERE c5 = 'O'"))
+def group_union(t):
+    right = t.w.filter("c5 = 'O'").select("c4", F.col("c6").alias("c1"))
+    return S.group_union(t.w.filter("c5 = 'F'"), right, "c4", "c1")
+
+
 @query("union_distinct", on_w("SELECT c1 AS v FROM w WHERE c5 = 'F' UNION SELECT c6 AS v FROM w WHERE c5 = 'O'"))
 def union_distinct(t):
     left = t.w.filter("c5 = 'F'").select(F.col("c1").alias("v"))

@@ -101,9 +101,13 @@ def scalar_pair(left: DataFrame, right: DataFrame, combine, name: str) -> DataFr
 
 
 def scalar_diff(
-    left: DataFrame, right: DataFrame, name: str, absolute: bool = False, plus: float = 0
+    left: DataFrame, right: DataFrame, name: str, absolute: bool = False, plus: float = 0, empty: float | None = None
 ) -> DataFrame:
+    """Left value minus right value; a side without a row or with null counts as ``empty``."""
+
     def difference(a: Column, b: Column) -> Column:
+        if empty is not None:
+            a, b = F.coalesce(a, F.lit(empty)), F.coalesce(b, F.lit(empty))
         gap = F.abs(a - b) if absolute else a - b
         return gap + F.lit(plus) if plus else gap
 
@@ -208,6 +212,20 @@ def intersect_rows(left: DataFrame, right: DataFrame, name: str, spread_on: str,
     return salted.join(wanted, same, "left_semi").drop("_salt")
 
 
+def group_intersect(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Left rows whose value occurs in the same group on the right; duplicates stay and null meets null.
+
+    Rows meet by key and value, so a large group is spread by its values.
+    """
+    wanted = right.select(F.col(key).alias("_k"), F.col(value).alias("_v")).distinct()
+    return left.join(wanted, F.col(key).eqNullSafe(F.col("_k")) & F.col(value).eqNullSafe(F.col("_v")), "left_semi")
+
+
+def group_union(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Each group's distinct values of both sides; a group of either side alone is kept."""
+    return left.select(key, value).unionByName(right.select(key, value)).distinct()
+
+
 def union_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right).distinct()
 

@@ -67,6 +67,31 @@ def test_budget_keeps_the_longest_prefix(spark):
     assert sorted((r["k"], r["pos"]) for r in kept.collect()) == [("a", 0), ("a", 1), ("a", 2)]
 
 
+def test_rows_that_cost_nothing_are_kept(spark):
+    rows = spark.createDataFrame(
+        [("a", i, 0) for i in range(4)] + [("b", 0, 1), ("b", 1, None), ("b", 2, 1), ("b", 3, 0), ("b", 4, 1), ("b", 5, 0)],
+        "k string, pos bigint, n int",
+    )
+    kept = D.prefix_budget(rows, ["k"], "pos", "n", F.lit(0), budget=2)
+    assert sorted((r["k"], r["pos"]) for r in kept.collect()) == [("a", i) for i in range(4)] + [("b", i) for i in range(4)]
+
+
+def test_permutation_of_nested_cells(spark):
+    rows = spark.range(30).select(F.lit("t").alias("k"), F.col("id").alias("pos"), F.array(F.col("id"), F.lit(None)).alias("a"))
+    moved = D.permute(rows, ["k"], "pos", ["a"]).orderBy("pos").collect()
+    assert sorted(r["a"][0] for r in moved) == list(range(30)) and [r["a"][0] for r in moved] != list(range(30))
+
+
+def test_query_text_leaves_the_view_of_the_session(spark):
+    from tablesteps.sources import readers
+
+    spark.range(3).createOrReplaceTempView("w")
+    out = readers.run_sql(spark.range(7), "SELECT count(*) AS n FROM w")
+    assert out.first()["n"] == 7 and spark.table("w").count() == 3
+    spark.catalog.dropTempView("w")
+    assert readers.run_sql(spark.range(7), "SELECT * FROM w").count() == 7 and not spark.catalog.tableExists("w")
+
+
 def test_permutation_moves_only_the_first_rows(spark):
     rows = spark.range(200).select(
         (F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("pos"), F.col("id").alias("a"), (F.col("id") * 2).alias("b")

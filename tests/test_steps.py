@@ -91,6 +91,25 @@ def test_positions_with_one_hot_key(spark, partitions):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_running_totals_over_slices(spark):
+    rows = spark.range(3000).select((F.col("id") % 3 == 0).alias("k"), F.col("id").alias("pos"), (F.col("id") % 5).alias("n"))
+    got = P.running_total(rows.repartition(7), [F.col("pos")], ["k"], F.col("n"), "sum").toPandas().sort_values(["k", "pos"])
+    assert len(got) == 3000 and (got.groupby("k")["n"].cumsum() == got["sum"]).all()
+
+
+def test_lists_of_far_apart_ids_are_one_part(spark):
+    rows = spark.range(20).select((F.col("id") % 2).alias("k"), (F.col("id") * 1_000_000).alias("id"), F.col("id").alias("v"))
+    parts = P.chunked_lists(rows, ["k"], "id", "v").orderBy("k").collect()
+    assert [(p["k"], p["part"], p["values"]) for p in parts] == [(k, 0, list(range(k, 20, 2))) for k in (0, 1)]
+
+
+def test_small_sums_are_not_rounded(spark):
+    rows = spark.createDataFrame([("t", i, [v], ["real"]) for i, v in enumerate(["0.0000001", "0.0000002"])], "table_id string, row_id bigint, cells array<string>, types array<string>")
+    records = spark.createDataFrame([(1, "t", 0, R.SUM, []), (2, "t", 0, R.AVG, [])], "query_id bigint, table_id string, sel int, agg int, conds array<struct<col:int,op:int,val:string>>")
+    got = {r["query_id"]: r["value"] for r in R.numbers(records, rows).collect()}
+    assert got[1] == pytest.approx(3e-7) and got[2] == pytest.approx(1.5e-7)
+
+
 def test_chunked_lists_stay_bounded_and_whole(spark):
     rows = spark.range(1000).select(F.lit("hot").alias("k"), "id", F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
     parts = P.chunked_lists(rows, ["k"], "id", "v", size=64).orderBy("part").collect()
