@@ -27,9 +27,9 @@ from ..session import durable
 SAMPLE_ROWS = 16_384  # vectors that the centroids are learnt from, at most
 LIST_ROWS = 64  # sampled vectors per centroid, about
 LINKS = 24  # neighbours of a centroid in the graph
-BEAM = 96  # centroids that a graph search keeps
+BEAM = 160  # centroids that a graph search keeps
 REPLICAS, REPLICA_RATIO = 4, 1.08  # lists a vector is written to at most; distance ratio of the last
-PROBE_RATIO = 1.25  # distance ratio of the last list that a query reads
+PROBE_RATIO = 1.35  # distance ratio of the last list that a query reads
 PART_ROWS = 4096
 
 
