@@ -32,8 +32,8 @@ def opened(folder: str):
 class Target:
     """A file that gets its final name only when it is complete.
 
-    A task that is run again, or twice at a time, writes the same bytes under a name of its own
-    and moves them over the final name, so readers never meet half a file.
+    Until then it has a name of its own, so readers never meet half a file. Callers put the task attempt into
+    the final name: of two attempts, only the one whose rows are used is ever read.
     """
 
     def __init__(self, folder: str, name: str):

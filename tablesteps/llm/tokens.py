@@ -312,7 +312,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         encoder, seen = Encoder(tokenizer), _Occurrences()
         end = np.array([end_id], "<u4").tobytes()
         shard, out = 0, None
@@ -332,7 +332,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
             shard, out = shard + 1, None
 
         def name():
-            return f"{part:06d}-{shard:05d}"
+            return f"{part:06d}-{attempt}-{shard:05d}"
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()

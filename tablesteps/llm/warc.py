@@ -80,12 +80,13 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, out = TaskContext.get().partitionId(), 0, None
+        # Named by the attempt, so that an attempt that runs beside this one can not replace what its index describes.
+        part, attempt, number, out = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None
         for batch in batches:
             rows = []
             for page_id, url, html, digest, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    name = f"pages-{part:06d}-{number:05d}.warc.gz"
+                    name = f"pages-{part:06d}-{attempt}-{number:05d}.warc.gz"
                     out = Target(folder, name)
                 digest = base64.b32encode(bytes.fromhex(digest)).decode()
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
