@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21  # texts are worked on in slices of about this size; one text is never cut
+SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; one text is never cut
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .files import Target, new_folder, opened
 from .textbytes import U64, mix
 
-TABLE_PIECES = 500_000
+TABLE_PIECES = 200_000
 SHARD_IDS = 1 << 26
 KEY_LEVEL_SLOTS = 2  # slots per key of a hash level
 
@@ -167,7 +167,7 @@ def _drops_blanks(path: str) -> bool:
     return lowers and any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps)
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in groups of about ``most`` characters, null as empty; no text is cut."""
     start, group, size = 0, [], 0
     for i, text in enumerate(texts):
