@@ -29,6 +29,14 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps now.
+
+    It removes them when the driver collects its garbage, which a driver with little to do does seldom.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 class Target:
     """A file that gets its final name only when it is complete.
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .files import release
 from .textbytes import U64, mix, shingles, slices
 
 BLOCK_ROWS = 768  # rows of a block at most
@@ -342,6 +343,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
             _shared, "sig long, member long, note long, pivot long"
         )
     )
+    release(docs.sparkSession)  # the signatures are the largest shuffle of all
     size = F.shiftright("note", NOTE_SIZE)
     labels = shared.groupBy("member").agg(F.min("pivot").alias("label"), F.min(size).alias("size"))
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") / BLOCK_CELLS))
@@ -366,6 +368,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
         .where("n > 1 AND (one = other OR a <> b)").select("one", "other")
     )
     work = durable(chosen.join(products, ["one", "other"]))
+    release(docs.sparkSession)
     named = work.select("member").distinct().join(sets, F.col("member") == F.col("set_key"))
     named = named.select("member", F.col("first_id").alias("_first"))
     filled = (
@@ -390,6 +393,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
             F.coalesce("component_id", "first_id").alias("component_id"),
         )
     )
+    release(docs.sparkSession)
     return keyed.join(final, F.col("set_key") == F.col("_set"), "left").select(
         "doc_id", *carry, "n_shingles", "set_key", "component_key", F.coalesce("component_id", "doc_id").alias("component_id")
     )
