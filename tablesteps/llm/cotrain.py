@@ -1,15 +1,15 @@
 """Quality classifier by co-training of two views of a document.
 
 The text view sees hashed byte n-grams of the whole text, the metadata view the document's language,
-source and length. Both are logistic regressions. In each round either view labels the documents of
-an unlabelled pool that it is most sure of and hands them to the other view as examples. Afterwards
-each view's score is calibrated on labelled documents that no view was trained on, and a last
+source and length. Both are logistic regressions. In each round the tasks score all unlabelled documents,
+and either view hands every document that it is sure of to the other view as an example. What is handed over
+reaches the driver as sums alone: the gradient of the other view, per class. Afterwards each view's score is calibrated on labelled documents that no view was trained on, and a last
 regression on the calibrated log-odds combines the two. All documents are scored in the tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 from .textbytes import Texts, slices
 
 LABELLED_ROWS = 3000  # of each class at most
-POOL_ROWS = 3000
 ROUNDS = 5
-SURE_ROWS = 100  # examples that a view hands over in a round, per class, at most
-SURE = 0.95
+SURE = 0.95  # a view hands over documents that it gives this probability or more
 TEXT_BITS, META_WIDTH = 12, 512
 TEXT_WIDTH = (1 << TEXT_BITS) + 32
 FEW_GRAMS, FEW_WORDS = 300, 20
@@ -65,20 +63,66 @@ def meta_features(languages: list, sources: list, lengths: list) -> np.ndarray:
     return rows / np.float32(np.sqrt(3))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights with the bias last; both classes count alike. Accelerated full-batch steps from zero."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150,
+    start: np.ndarray | None = None, others: np.ndarray | None = None,
+) -> np.ndarray:
+    """Weights with the bias last; both classes count alike. Accelerated full-batch steps from zero, or from ``start``.
+
+    ``others`` has the sums of further examples at ``start`` (see ``handed``). The rows of ``x`` then stand for the
+    curvature, and the gradient at ``start`` is made that of all examples; a column in which the others are larger
+    than the rows of ``x`` is held back by as much curvature as it can lack.
+    """
     y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
-    ahead, step = w.copy(), np.float32(2 / max(1e-6, float((x * x).sum(1).max()) + 1))
+    start = np.zeros(x.shape[1] + 1, np.float32) if start is None else start
+    tilt, hold = np.zeros_like(start), np.zeros_like(start)
+    if others is not None:
+        own = np.stack([_sums(x[y == c], _sigmoid(_odds(start, x[y == c])) - c) for c in (0, 1)])
+        each, every = (0.5 / np.maximum(1, s[:, -1:]) for s in (own, own + others))
+        change = (every * (own + others) - each * own).sum(0)
+        n = len(start)
+        tilt, hold[:-1] = change[:n].astype(np.float32), np.maximum(0, change[n:-1]) / 4
+    w = start.copy()
+    ahead, step = w.copy(), np.float32(2 / max(1e-6, float((x * x).sum(1).max()) + 1 + 4 * float(hold.max())))
     for t in range(rounds):
         pull = weight * (1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -30, 30))) - y)
-        after = ahead - step * (np.r_[x.T @ pull, pull.sum()] + np.float32(penalty) * ahead)
+        slope = np.r_[x.T @ pull, pull.sum()] + tilt + hold * (ahead - start)
+        after = ahead - step * (slope + np.float32(penalty) * ahead)
         ahead = after + np.float32(t / (t + 3)) * (after - w)
         w = after
     return w
 
 
+def _sums(x: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Of some examples: gradient with the bias last, sum of squares of each column, number."""
+    return np.r_[pull @ x.astype(np.float64), pull.sum(), np.einsum("ij,ij->j", x, x, dtype=np.float64), len(x)]
+
+
+def _first_sure(history: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The label that a view gave each row in the first round in which it was sure, or -1."""
+    labels = np.full(len(x), -1)
+    for w in history:
+        p = _sigmoid(_odds(w, x))
+        fresh = labels < 0
+        labels[fresh & (p >= SURE)] = 1
+        labels[fresh & (1 - p >= SURE)] = 0
+    return labels
+
+
+def handed(history: tuple[list[np.ndarray], list[np.ndarray]], text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """What the rows add to the examples of either view: per class the sums at the view's last weights.
+
+    ``history`` has the weights of both views in all rounds so far.
+    """
+    views, out = (text, meta), []
+    for v, x in enumerate(views):
+        labels = _first_sure(history[1 - v], views[1 - v])
+        pull = _sigmoid(_odds(history[v][-1], x))
+        out.append(np.stack([_sums(x[labels == c], pull[labels == c] - c) for c in (0, 1)]))
+    return out
+
+
 def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x @ w[:-1] + w[-1]).astype(np.float64)
 
@@ -122,31 +166,33 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Train on rows with y 0 or 1 outside ``fold``; rows with y -1 are the pool; ``fold`` calibrates."""
-    views, weights = (text, meta), [None, None]
-    labels = [np.where(fold, -2, y).copy() for _ in views]  # what each view is trained on
-    for turn in range(rounds + 1):
-        for v, x in enumerate(views):
-            rows = labels[v] >= 0
-            weights[v] = fit_logistic(x[rows], labels[v][rows])
-        if turn == rounds:
-            break
-        for v, x in enumerate(views):
-            open_rows = np.flatnonzero(labels[1 - v] == -1)
-            p = _sigmoid(_odds(weights[v], x[open_rows]))
-            for value, sure in ((1, p), (0, 1 - p)):
-                order = np.lexsort((open_rows, -sure))[:SURE_ROWS]
-                labels[1 - v][open_rows[order[sure[order] >= SURE]]] = value
+def co_train(
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS,
+    give: Callable[[tuple[list[np.ndarray], list[np.ndarray]]], list[np.ndarray]] | None = None,
+) -> CoTrained:
+    """Train on rows with y 0 or 1 outside ``fold``; those in ``fold`` calibrate.
+
+    ``give`` sums what the unlabelled documents add, as ``handed`` does; by default they are the rows with y -1.
+    """
+    views, known, free = (text, meta), (y >= 0) & ~fold, y < 0
+    fold = fold & (y >= 0)
+    give = give or (lambda history: handed(history, text[free], meta[free]))
+    history = tuple([fit_logistic(x[known], y[known])] for x in views)
+    for _ in range(rounds):
+        for x, own, others in zip(views, history, give(history)):
+            own.append(fit_logistic(x[known], y[known], start=own[-1], others=others))
+    weights = [own[-1] for own in history]
     lines = [_line(_odds(w, x[fold])[:, None], y[fold]) for w, x in zip(weights, views)]
     calibrated = np.stack([_odds(w, x[fold]) * k[0] + k[1] for w, x, k in zip(weights, views, lines)], 1)
     return CoTrained(weights[0], weights[1], lines[0], lines[1], _line(calibrated, y[fold]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Co-train on at most ``LABELLED_ROWS`` labelled documents of each class and ``POOL_ROWS`` others.
+    """Co-train on at most ``LABELLED_ROWS`` labelled documents of each class and all other documents.
 
-    The rows taken are those with the smallest hash of their doc_id. A document labelled more than
+    The labelled ones taken are those with the smallest hash of their doc_id; the labels of others are not used, and
+    they count as unlabelled. Every unlabelled row counts, repeated ones and those without a doc_id too; each round
+    reads them once. A document labelled more than
     once counts as good if half of its labels or more are; a null quality or doc_id is no label. None if a
     class has fewer than two documents.
     """
@@ -160,12 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
         return None
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["doc_id"], r["y"]) for r in taken], "_id long, _y int")
-    pool = (
-        docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").distinct()
-        .orderBy(order, "doc_id").limit(POOL_ROWS).select(F.col("doc_id").alias("_id"), F.lit(-1).alias("_y"))
-    )
-    wanted = wanted.union(spark.createDataFrame([tuple(r) for r in pool.collect()], "_id long, _y int"))
-    # At most 2 * LABELLED_ROWS + POOL_ROWS short rows.
+    # At most 2 * LABELLED_ROWS short rows.
     rows = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select(
         "doc_id", "text", "lang", "source", "n_chars", "_y"
     )
@@ -204,7 +245,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
             counts[y[i]] += 1
     if min(counts) < 2:
         return None
-    return co_train(text, meta, y, fold)
+    # A join with all labels would shuffle every text in every round; those of the sample are few.
+    free = docs.join(F.broadcast(wanted.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    return co_train(text, meta, y, fold, give=lambda history: _given(free, history))
+
+
+def _given(free: DataFrame, history: tuple[list[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+    """``handed`` of all rows of ``free``: summed in the tasks, then by Spark, so the driver gets one row per sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            metas = [batch.column(n).to_pylist() for n in ("lang", "source", "n_chars")]
+            for first, end, texts in slices(batch.column("text")):
+                more = handed(history, text_features(texts), meta_features(*[m[first:end] for m in metas]))
+                total = more if total is None else [a + b for a, b in zip(total, more)]
+        for v, sums in enumerate(total or []):
+            place = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(place), v, np.int32)), pa.array(place.astype(np.int32)), pa.array(sums.reshape(-1)[place])],
+                ["view", "place", "value"],
+            )
+
+    sums = [np.zeros((2, 2 * width + 2)) for width in (TEXT_WIDTH, META_WIDTH)]
+    found = free.mapInArrow(run, "view int, place int, value double").groupBy("view", "place").agg(F.sum("value").alias("value"))
+    for r in found.collect():
+        sums[r["view"]].reshape(-1)[r["place"]] = r["value"]
+    return sums
 
 
 def _scored(model: CoTrained | None, least: float):

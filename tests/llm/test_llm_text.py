@@ -324,6 +324,33 @@ def test_pool_examples_pass_between_views():
     assert np.mean((model.scores(text, meta)[2] >= 0.5) == y) > 0.97
 
 
+def test_every_sure_example_is_handed_over():
+    # Five documents of a kind that only its metadata show; 1,200 others of each class are surer.
+    y = np.r_[np.arange(400) % 2, np.full(2405, -1)]
+    truth = np.r_[np.arange(400) % 2, np.arange(2400) % 2, np.ones(5, int)]
+    text = np.c_[truth * 2.0 - 1, np.zeros(len(y))].astype(np.float32) * 3
+    text[-5:] *= 0.8
+    meta = np.c_[np.where(np.arange(len(y)) % 5, truth * 2.0 - 1, 0), np.zeros(len(y))].astype(np.float32)
+    meta[-5:] = [0, 1]
+    model = cotrain.co_train(text, meta, y, np.arange(len(y)) % 4 == 1)
+    assert model.meta[1] > 0.001
+
+
+def test_all_unlabelled_documents_are_scored(spark):
+    rows = [(i if i % 9 else None, f"w{i} of many", "en", "s", 10) for i in range(3500)] + [(1, "w1 of many", "en", "s", 10)] * 2
+    sure = [[np.r_[np.zeros(w, np.float32), np.float32(9)]] for w in (cotrain.TEXT_WIDTH, cotrain.META_WIDTH)]
+    sums = cotrain._given(frame(spark, rows), tuple(sure))
+    assert [s[:, -1].tolist() for s in sums] == [[0, 3502], [0, 3502]]
+    asked = []
+    given = cotrain._given
+    cotrain._given = lambda free, history: asked.append(free.count()) or given(free, history)
+    try:
+        cotrain.learn(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int"))
+    finally:
+        cotrain._given = given
+    assert asked == [3492] * cotrain.ROUNDS  # all but eight ids and two repeats of one of them
+
+
 # ---- mixing --------------------------------------------------------------------------
 
 
