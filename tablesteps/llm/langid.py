@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import Texts, slices
@@ -31,6 +31,7 @@ BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE_ROWS = 1000  # labelled rows per language that training takes at most
 _LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
 
 
 def family_of(language: str) -> str:
@@ -121,18 +122,22 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
-    """A model from (text, lang), on at most ``sample`` rows of each language.
+    """A model from (text, lang), on at most ``sample`` distinct texts of each language.
 
-    The rows taken are those with the smallest hash of their text. Their features go to the driver,
-    at most ``sample`` rows of each language that has a label. Rows without a language or a letter are
+    The texts taken are those with the smallest hash; copies are one text. Their features go to the driver,
+    at most ``sample`` texts of each language that has a label. Rows without a language or a letter are
     not used; None if nothing is left.
     """
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    # Keep a row by its hash with the chance that gives each language its sample, then cut exactly.
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * sample / n))) for k, n in sorted(counts.items())], F.lit(0.0))
-    spread = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(spread < share) if counts else rows.limit(0)
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang").where(F.col("text").rlike(LETTER))
+    rows = rows.withColumn("place", F.xxhash64("text", F.lit("sample")))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
+    # Keep a text by its hash with the chance that gives each language its sample and some more, then cut exactly.
+    most = 1.1 * sample + 8 * sample**0.5 + 20
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, most / max(1, n)))) for k, n in sorted(counts.items())], F.lit(0.0))
+    spread = F.pmod("place", F.lit(1 << 30)) / float(1 << 30)
+    drawn = (rows.where(spread < share) if counts else rows.limit(0)).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place"))
+    taken = drawn.withColumn("nth", nth).where(F.col("nth") <= sample).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +163,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
         return None
     examples, names = [], []
     for lang in sorted(by_language):
-        for hit, value in sorted(by_language[lang])[:sample]:
+        for hit, value in sorted(by_language[lang]):
             row = np.zeros(BUCKETS, np.float32)
             row[np.frombuffer(hit, "<u2")] = np.frombuffer(value, "<f4")
             examples.append(row)

@@ -208,6 +208,19 @@ def test_training_sample_is_bounded_and_repeatable(spark):
     assert np.allclose(a.weights, b.weights)
 
 
+def test_copies_are_one_training_text(spark, monkeypatch):
+    texts = [f"wort nummer {i} und mehr {'abcdefgh'[i % 8] * (i % 5 + 1)}" for i in range(40)]
+    order = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)))
+    smallest = [r["text"] for r in order.limit(10).collect()]
+    rows = [(i, t, lang, "s", 1) for lang in ("de", "en") for i, t in enumerate(texts + [smallest[0]] * 60 + ["12 34"] * 60)]
+    seen = []
+    fit = langid.train_svm
+    monkeypatch.setattr(langid, "train_svm", lambda x, y: seen.append(x) or fit(x, y))
+    langid.train(frame(spark, rows), sample=10)
+    want = langid._shares(*langid.features(one_slice(smallest)))
+    assert all(len(x) == 20 for x in seen) and {r.tobytes() for r in seen[0]} == {r.tobytes() for r in want.astype(np.float32)}
+
+
 def test_held_out_rows(spark):
     import zlib
 
