@@ -5,8 +5,8 @@
 2. Graph: each centroid is linked to its nearest ones. A best-first search over the graph, held in
    memory by every task, finds the centroids near a vector.
 3. Posting lists: every vector goes to the list of its nearest centroid and, near a boundary, to further
-   lists whose distance is within a ratio of the nearest one. Lists are dealt into parts of bounded size, so a
-   list that holds a third of all vectors is many tasks' work.
+   lists whose distance is within a ratio of the nearest one. Lists are dealt into parts of bounded size, and the
+   queries that read a list into blocks, so a list that holds a third of all vectors is many tasks' work.
 4. Search: a query reads the lists whose distance is within a ratio of its nearest centroid's. Each part keeps
    its best candidates, ties included, with their exact cosine; the best of all parts are the result.
 
@@ -31,6 +31,7 @@ BEAM = 160  # centroids that a graph search keeps
 REPLICAS, REPLICA_RATIO = 4, 1.08  # lists a vector is written to at most; distance ratio of the last
 PROBE_RATIO = 1.35  # distance ratio of the last list that a query reads
 PART_ROWS = 4096
+QUERY_ROWS = 1024  # queries of a list that meet one of its parts in a task, about
 
 
 def usable(vectors: list[list[float | None] | None]) -> np.ndarray:
@@ -193,10 +194,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _searched(k: int):
-    """The k best candidates of each query in a part; rows come sorted by (list, part, kind), queries first."""
+    """The k best candidates of each query of a block in a part; rows come sorted by (list, part, block, kind), queries first.
+
+    A query met again with the same vector is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, best = None, [], {}
+        at, queries, held, best = None, [], set(), {}
 
         def flush():
             rows = [(q, int(v), float(s)) for (q, _), (ids, scores) in zip(queries, best.values()) for v, s in zip(ids, scores)]
@@ -208,19 +212,22 @@ def _searched(k: int):
                 )
 
         for batch in batches:
-            lists, parts, kinds, ids = (batch.column(i).to_numpy() for i in range(4))
-            vectors = batch.column(4)
-            change = (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])
+            lists, parts, blocks, kinds, ids = (batch.column(i).to_numpy() for i in range(5))
+            vectors = batch.column(5)
+            change = (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1]) | (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])
             bounds = np.r_[0, np.flatnonzero(change) + 1, len(ids)]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b == a:
                     continue
-                if (lists[a], parts[a]) != at:
+                if (lists[a], parts[a], blocks[a]) != at:
                     yield from flush()
-                    at, queries, best = (lists[a], parts[a]), [], {}
+                    at, queries, held, best = (lists[a], parts[a], blocks[a]), [], set(), {}
                 x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in vectors[a:b]])
                 if kinds[a] == 0:
-                    queries += list(zip(ids[a:b].tolist(), x))
+                    for query, vector in zip(ids[a:b].tolist(), x):
+                        if (query, vector.tobytes()) not in held:
+                            held.add((query, vector.tobytes()))
+                            queries.append((query, vector))
                     continue
                 if not queries:
                     continue
@@ -266,13 +273,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     graph = Graph(learn_centroids(unit(np.array(rows, np.float64))))
 
     listed = durable(vectors.mapInArrow(_listed(graph, every, dimension), "list int, kind int, id long, vector binary"))
-    parts = listed.where("kind = 1").groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    dealt = listed.join(F.broadcast(parts), "list")  # at most one row per centroid
-    every_part = F.sequence(F.lit(0), F.col("parts") - 1)
-    own_part = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.select("list", F.explode(F.when(F.col("kind") == 0, every_part).otherwise(own_part)).alias("part"), "kind", "id", "vector")
+    parts, blocks = (F.ceil(F.count_if(F.col("kind") == kind) / rows).cast("int") for kind, rows in ((1, PART_ROWS), (0, QUERY_ROWS)))
+    sizes = listed.groupBy("list").agg(parts.alias("parts"), blocks.alias("blocks")).where("parts > 0 and blocks > 0")
+    dealt = listed.join(F.broadcast(sizes), "list")  # at most one row per centroid
+
+    def places(kind: int, count: str, *content: str):
+        """One place by content for rows of ``kind``, every place for the others."""
+        own = F.array(F.pmod(F.xxhash64(*content), F.col(count)).cast("int"))
+        return F.explode(F.when(F.col("kind") == kind, own).otherwise(F.sequence(F.lit(0), F.col(count) - 1)))
+
+    # By id and vector, as many vectors may have one id.
+    dealt = dealt.select("*", places(1, "parts", "id", "vector").alias("part"))
+    dealt = dealt.select("list", "part", places(0, "blocks", "id", "vector").alias("block"), "kind", "id", "vector")
     found = (
-        dealt.repartition("list", "part").sortWithinPartitions("list", "part", "kind", "id")
+        dealt.repartition("list", "part", "block").sortWithinPartitions("list", "part", "block", "kind", "id")
         .mapInArrow(_searched(k), "query_id long, vec_id long, score double")
     )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

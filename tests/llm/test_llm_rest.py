@@ -201,6 +201,34 @@ def test_all_lists_give_the_exact_result(spark, monkeypatch):
     assert all(x[3] == pytest.approx(scores[x[:3]], abs=1e-12) for x in got)
 
 
+def test_queries_of_a_list_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 16)
+    monkeypatch.setattr(neighbours, "PROBE_RATIO", 1e9)  # every query reads every list
+    blocks, searched = spark.sparkContext.accumulator(0), neighbours._searched
+
+    def watched(k):
+        run = searched(k)
+
+        def count(batches):
+            def pass_on():
+                for batch in batches:
+                    kinds, keys = batch.column("kind").to_numpy(), list(zip(*(batch.column(n).to_pylist() for n in ("list", "part", "block"))))
+                    blocks.add(len({k for k, kind in zip(keys, kinds) if kind == 0}))
+                    yield batch
+
+            yield from run(pass_on())
+
+        return count
+
+    monkeypatch.setattr(neighbours, "_searched", watched)
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=8).round(3).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.normal(size=8).round(3).tolist()) for i in range(240)]
+    got = {tuple(r)[:3] for r in neighbours.nearest(spark.createDataFrame(rows, VECTORS), every=2).collect()}
+    assert got == {x[:3] for x in brute_nearest(rows, 2, 5)}
+    assert blocks.value > 4
+
+
 def test_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = [tuple(r) for r in table.collect()]
