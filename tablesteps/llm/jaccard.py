@@ -193,7 +193,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(words: int):
-    """Sets of the candidates; a text that shares the id of a candidate but not its set is left out."""
+    """Sets of the candidates; a text that shares the id and hash of a candidate but not its set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,10 +332,14 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
     doc_id counts for a component only if all ids in it are null. Of other columns only those in
     ``carry`` are read; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", *carry, "text")
+    content = "_" * (1 + max(map(len, carry), default=0)) + "text"  # longer than the names in ``carry``
+    docs = docs.select("doc_id", *carry, F.xxhash64("text").alias(content), "text")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]]
     keyed = durable(docs.mapInArrow(_keys(words), ", ".join([*kept, "n_shingles long", "set_key long"])))
-    sets = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
+    # A set's text is read from one row, named by id and text hash: of many texts under one id only that one is read.
+    sets = keyed.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").alias("id"), F.col(content).alias("text"))).alias("row")
+    )
 
     rows = docs.select("text").mapInArrow(_signature_rows(words, percent), "sig long, member long, note long")
     shared = durable(
@@ -370,10 +374,11 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, carry: t
     work = durable(chosen.join(products, ["one", "other"]))
     release(docs.sparkSession)
     named = work.select("member").distinct().join(sets, F.col("member") == F.col("set_key"))
-    named = named.select("member", F.col("first_id").alias("_first"))
+    named = named.select("member", F.col("row.id").alias("_id"), F.col("row.text").alias("_hash"))
     filled = (
-        docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_first")))
+        docs.select("doc_id", content, "text").join(named, (F.col(content) == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("member", "text").mapInArrow(_cells(words), "member long, cells binary")
+        .groupBy("member").agg(F.first("cells").alias("cells"))  # wholly equal rows have equal cells
     )
     links = (
         work.join(filled, "member").select("one", "other", "side", "member", "cells")

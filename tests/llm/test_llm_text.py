@@ -103,6 +103,26 @@ def test_components_like_brute_force(spark, monkeypatch, words, percent, block):
     )
 
 
+def test_texts_under_one_id_meet_once(spark, monkeypatch):
+    rows = [(None, prose(40, 1) + f" end{i}", "en", "a", 1) for i in range(30)] * 2
+    cells, seen = jaccard._cells, spark.sparkContext.accumulator(0)
+
+    def counted(words):
+        run = cells(words)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from run([batch])
+
+        return count
+
+    monkeypatch.setattr(jaccard, "_cells", counted)
+    got = jaccard.link_components(frame(spark, rows), words=3, percent=60).collect()
+    assert len(got) == 60 and len({r["component_key"] for r in got}) == 1
+    assert 0 < seen.value <= 60
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.link_components(frame(spark, [])).collect() == []
 
