@@ -29,6 +29,12 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def remove(folder: str) -> None:
+    """Delete a folder that nothing reads any more, if it is there."""
+    files, path = opened(folder)
+    files.delete_dir_contents(path, missing_dir_ok=True)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files of finished steps now.
 

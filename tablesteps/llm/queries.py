@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .cotrain import learn, score
 from .jaccard import link_components
 from .langid import held_out, predict, train
@@ -202,3 +203,37 @@ def op9(embeddings):
 @query("op2_co_trained_quality", "documents labels")
 def op2(documents, labels):
     return score(documents, learn(documents, labels)).select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+windows AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size),
+totals AS (SELECT lang, count(*) AS n FROM windows WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM windows GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM f WHERE size > 1),
+covered AS (
+  SELECT DISTINCT x.lang, x.phrase FROM candidates x JOIN candidates y
+  ON x.lang = y.lang AND y.size > x.size AND y.a >= x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(p[1:k], ' ') AS head, array_to_string(p[k + 1:], ' ') AS tail
+  FROM (SELECT *, string_split(phrase, ' ') AS p, unnest(range(1, size)) AS k FROM candidates ANTI JOIN covered USING (lang, phrase))),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT lang, phrase, unnest(arg_min(struct_pack(a, l, r, n, score), struct_pack(score, k))) FROM scored GROUP BY lang, phrase)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM best)
+WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", "documents", _PHRASES_SQL)
+def op11(documents):
+    return collocations(documents)

@@ -76,6 +76,11 @@ class Texts:
         starts, ends = self._runs(~_SEPARATOR[self.data])
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def runs(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, bounds) of the runs of bytes that a table of 256 booleans marks."""
+        starts, ends = self._runs(kinds[self.data])
+        return starts, ends, np.searchsorted(starts, self.offsets)
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, bounds) of the non-empty lines between line feeds."""
         starts, ends = self._runs(self.data != 0x0A)
