@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .files import new_folder, remove
+from .keybits import BITS, packed_bits, places, places_of, unpacked_bits
 from .textbytes import U64, Texts, mix, slices
 
 MOST_WORDS = 5
 SHARDS = 4  # scans in a cycle
-CELLS = 1 << 22  # cells of the activation table, one byte each
 NEVER = 255
 BUFFER_KEYS = 1 << 21  # keys a task counts at a time
 
@@ -75,10 +75,6 @@ class Phrases:
             yield length, key
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return (keys >> U64(17)) & U64(CELLS - 1)
-
-
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, np.ndarray, list]]:
     """(phrases, language key of each text, language of each text) of the slices of (lang, text) batches."""
     known: dict[str | None, int] = {}
@@ -125,7 +121,7 @@ def _counts(packed: bytes, scan: int, shards: int):
                         chosen = key[open_now & (starts == start)]
                         held.setdefault((length, start), []).append(chosen)
                         size += len(chosen)
-                before = active[_cell(key)] if length < MOST_WORDS else None
+                before = active[places(key)] if length < MOST_WORDS else None
             if size >= BUFFER_KEYS:
                 yield from flush()
                 size = 0
@@ -138,7 +134,7 @@ def _names(packed: bytes):
     """(key, lang, phrase) of the distinct phrases of two words and more that hash into a marked cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        wanted = unpacked_bits(packed)
         seen = np.zeros(0, U64)
         for phrases, _, langs in _by_language(batches):
             text_of = np.repeat(np.arange(len(langs)), phrases.counts)
@@ -147,11 +143,11 @@ def _names(packed: bytes):
             for length, key in phrases.keys():
                 if length == 1:
                     continue
-                places = np.flatnonzero(wanted[_cell(key)] & (phrases.left[: len(key)] >= length))
-                keys, first = np.unique(key[places], return_index=True)
+                hits = np.flatnonzero(wanted[places(key)] & (phrases.left[: len(key)] >= length))
+                keys, first = np.unique(key[hits], return_index=True)
                 fresh = ~np.isin(keys, seen)
                 found.append(keys[fresh])
-                for i in places[first[fresh]].tolist():
+                for i in hits[first[fresh]].tolist():
                     ends = range(i, i + length)
                     names.append(b" ".join(data[phrases.starts[j] : phrases.ends[j]] for j in ends).decode())
                     lang = langs[text_of[i]]
@@ -191,12 +187,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cells(keys: DataFrame) -> np.ndarray:
-    """The cells of a column of keys; at most CELLS of them arrive."""
-    cell = F.shiftrightunsigned("key", 17).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    return keys.select(cell.alias("cell")).distinct().toArrow().column("cell").to_numpy()
-
-
 def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(counts, texts): (len, key, n) of every phrase and word found ``least`` times or more and, under len 0, the
     number of words of each language; and the written shards.
@@ -211,7 +201,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
     docs.select("lang", "text", shard).write.partitionBy("shard").parquet(f"{home}/texts")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{home}/texts")
 
-    active = np.full(CELLS, NEVER, np.uint8)
+    active = np.full(1 << BITS, NEVER, np.uint8)
     scan, stop, still_open, found = 0, shards, None, []
     while scan < stop:
         counts = texts.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(
@@ -227,7 +217,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
             remove(f"{home}/scan-{scan - 1}/ended=false")
         state = spark.read.schema("len byte, key long, start int, n long, old long, ended boolean").parquet(f"{home}/scan-{scan}")
         risen = state.where((F.col("len") > 0) & (F.col("len") < MOST_WORDS) & (F.col("n") >= least) & (F.col("old") < least))
-        cells = _cells(risen)
+        cells = places_of(risen, "key")
         fresh = cells[active[cells] == NEVER]
         active[fresh] = scan + 1
         if len(fresh):
@@ -253,10 +243,8 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: in
     """
     counts, texts = frequent_phrases(docs, least, shards)
     candidates = counts.where("len > 1").select("key", F.col("n").alias("a"))
-    wanted = np.zeros(CELLS, bool)
-    wanted[_cells(candidates)] = True
     spoken = (
-        texts.select("lang", "text").mapInArrow(_names(zlib.compress(np.packbits(wanted).tobytes(), 1)), "key long, lang string, phrase string")
+        texts.select("lang", "text").mapInArrow(_names(packed_bits(candidates, "key")), "key long, lang string, phrase string")
         .groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"))
     )
     named = durable(

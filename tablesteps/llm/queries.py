@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .collocations import collocations
 from .cotrain import learn, score
+from .hyperminhash import near_duplicates
 from .jaccard import link_components
 from .langid import held_out, predict, train
+from .lexical import ranked_search
 from .mixing import mix
 from .neighbours import nearest
 from .packing import packed_sequences
@@ -237,3 +239,42 @@ WHERE rank <= 2000
 @query("op11_phrase_collocations", "documents", _PHRASES_SQL)
 def op11(documents):
     return collocations(documents)
+
+
+_RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS nth,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+tf AS (SELECT doc_id, nth, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, nth, w, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM df, totals),
+impacts AS (
+  SELECT doc_id, nth, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS impact
+  FROM tf JOIN weights USING (term), totals),
+scored AS (SELECT item_id, doc_id, nth, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored)
+WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", "documents benchmark", _RANKED_SQL)
+def op12(documents, benchmark):
+    return ranked_search(documents, benchmark)
+
+
+_NEAR_SQL = (
+    _LINKS_SQL.replace("len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])",
+                       "len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))")
+    .replace(">= 90 *", ">= 85 *")
+    .replace("min(other) AS component_id", "min(other) AS component_id, r.doc_id = min(other) AS kept")
+)
+
+
+@query("op13_hyperminhash_near_dedup", "documents", _NEAR_SQL)
+def op13(documents):
+    return near_duplicates(documents)
