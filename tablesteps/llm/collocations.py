@@ -33,7 +33,10 @@ from .textbytes import U64, Texts, mix, slices
 
 MOST_WORDS = 5
 SHARDS = 4  # scans in a cycle
+SHARES, NAMING = 64, (0, 1, 8, 64)  # shares of a shard, and which of them are looked through together for names
 NEVER = 255
+#: Exact: products of counts may pass 64 bits.
+SCORE = "(CAST(a AS DECIMAL(19, 0)) * 1000 * n) DIV (CAST(l AS DECIMAL(19, 0)) * r)"
 BUFFER_KEYS = 1 << 21  # keys a task counts at a time
 
 _BREAKS = np.zeros(256, bool)
@@ -197,9 +200,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
     spark = docs.sparkSession
     home = new_folder(spark, "collocations")
     # Rows are dealt in turn, so copies of a text do not meet in one shard.
-    shard = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")
-    docs.select("lang", "text", shard).write.partitionBy("shard").parquet(f"{home}/texts")
-    texts = spark.read.schema("lang string, text string, shard int").parquet(f"{home}/texts")
+    turn = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = docs.select("lang", "text", turn.alias("turn"))
+    dealt = dealt.select("lang", "text", F.expr(f"cast(turn div {shards} % {SHARES} as int)").alias("share"), (F.col("turn") % shards).cast("int").alias("shard"))
+    dealt.write.partitionBy("shard").parquet(f"{home}/texts")
+    texts = spark.read.schema("lang string, text string, share int, shard int").parquet(f"{home}/texts")
 
     active = np.full(1 << BITS, NEVER, np.uint8)
     scan, stop, still_open, found = 0, shards, None, []
@@ -228,6 +233,22 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
     return reduce(DataFrame.union, found), texts
 
 
+def _named(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds lang and phrase to rows of (key, a).
+
+    Texts are looked through by growing shares, each for the keys that those before did not name: most phrases are met in
+    the first share, so few tasks name the same phrase.
+    """
+    named = []
+    for low, high in zip(NAMING, NAMING[1:]):
+        share = texts.where((F.col("share") >= low) & (F.col("share") < high)).select("lang", "text")
+        found = share.mapInArrow(_names(packed_bits(keys, "key")), "key long, lang string, phrase string")
+        found = durable(found.groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name")))
+        named.append(keys.join(found, "key").select("key", "a", "name.lang", "name.phrase"))
+        keys = keys.join(found, "key", "left_anti")
+    return reduce(DataFrame.union, named)
+
+
 def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: int = SHARDS) -> DataFrame:
     """The highest-scoring phrases of each language: (lang, rank, phrase, a, l, r, n, score).
 
@@ -243,12 +264,8 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: in
     """
     counts, texts = frequent_phrases(docs, least, shards)
     candidates = counts.where("len > 1").select("key", F.col("n").alias("a"))
-    spoken = (
-        texts.select("lang", "text").mapInArrow(_names(packed_bits(candidates, "key")), "key long, lang string, phrase string")
-        .groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"))
-    )
     named = durable(
-        candidates.join(spoken, "key").select("key", "a", "name.lang", "name.phrase").mapInArrow(
+        _named(candidates, texts).mapInArrow(
             _parts, "key long, a long, lang string, phrase string, language long, parts array<struct<at:int,words:int,key:long>>"
         )
     )
@@ -269,7 +286,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: in
         .join(parts.select(F.col("key").alias("tail"), F.col("n").alias("r")), "tail")
         .join(counts.where("len = 0").select(F.col("key").alias("language"), "n"), "language")
     )
-    score = F.expr("(CAST(a AS DECIMAL(19, 0)) * 1000 * n) DIV (CAST(l AS DECIMAL(19, 0)) * r)")
+    score = F.expr(SCORE)
     best = cut.withColumn("score", score).groupBy("key").agg(
         F.min_by(F.struct("lang", "phrase", "a", "l", "r", "n", "score"), F.struct("score", "k")).alias("b")
     ).select("b.*")

@@ -227,6 +227,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     blocks = dealt.agg(F.max("block")).first()[0]
     for block in range(0 if blocks is None else blocks + 1):
         rows = dealt.where(F.col("block") == block).select("item_id", "terms").toArrow()
+        if not len(rows):  # an item with many terms may reach over whole blocks
+            continue
         terms = [np.asarray(t, np.int64).view(U64) for t in rows.column("terms").to_pylist()]
         vocabulary = np.unique(np.concatenate(terms))
         chosen = [np.searchsorted(vocabulary, t) for t in terms]
