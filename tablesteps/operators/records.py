@@ -5,10 +5,9 @@ Inputs
            conds ARRAY<STRUCT<col INT, op INT, val STRING>>
   rows     table_id, row_id BIGINT, cells ARRAY<STRING>, types ARRAY<STRING>
 
-A row carries its typed cells, so a record is tested against a row in one place:
-one join on the table, then a row-local ``forall`` over the conditions. Rows of
-one table are spread over ``splits`` tasks and the records are copied to each of
-them, which keeps a table with a large share of all rows from becoming one task.
+Records are grouped by their condition lists; a predicate index leads a list to the rows whose
+cell has the value, or lies in a bin between the bounds, that one of its conditions asks for, and the other
+conditions are tested in the row. Aggregates are taken once per condition list and column.
 """
 
 from __future__ import annotations
@@ -19,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import float_text, locale_float, null_false
+from ..session import durable
 from .positions import part_of, positions
+from .predicates import condition_lists, list_id, matches
 
 # Aggregate and operator codes and their words.
 AGGREGATES = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
@@ -27,8 +28,6 @@ OPERATORS = ["=", ">", "<", "OP"]
 MAX, MIN, COUNT, SUM, AVG = 1, 2, 3, 4, 5
 EMPTY_ANSWER = "none"
 
-SPLITS = 32  # tasks that share the rows of one table
-
 
 def conditions(column_index: Column, operator_index: Column, condition: Column) -> Column:
     """Three parallel arrays as one array of triples; the shortest array decides the length."""
@@ -80,28 +79,39 @@ def _satisfies(cell: Column, cond: Column) -> Column:
     )
 
 
-def matching_rows(records: DataFrame, rows: DataFrame, splits: int = SPLITS, carry: Sequence[str] = ()) -> DataFrame:
+def _literal(text: Column) -> Column:
+    return F.struct(locale_float(text).alias("num"), match_tokens(text).alias("tokens"))
+
+
+def _named(records: DataFrame) -> DataFrame:
+    sel = F.coalesce("sel", F.lit(-1))  # no column: the cell is null
+    return records.withColumns({"list_id": list_id(F.col("table_id"), F.col("conds")), "sel": sel})
+
+
+def selected_cells(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """(list_id, sel, row_id, cell): the selected cells of the rows that a condition list of some record admits.
+
+    Records that share table, conditions and column share these lines.
+    """
+    met = matches(condition_lists(named, _literal), typed_rows(rows), _satisfies)
+    return met.select(
+        "list_id", "row_id", F.explode(F.transform("sels", lambda s: F.struct(s.alias("sel"), F.get("cells", s).alias("cell")))).alias("c")
+    ).select("list_id", "c.sel", "row_id", "c.cell")
+
+
+def _for_records(named: DataFrame, lines: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+    """Lines of (list_id, sel) with the records they belong to."""
+    wanted = named.select("query_id", "agg", F.col("list_id").alias("_list"), F.col("sel").alias("_sel"), *columns)
+    return wanted.join(lines, (F.col("_list") == F.col("list_id")) & (F.col("_sel") == F.col("sel")), how)
+
+
+def matching_rows(records: DataFrame, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(query_id, agg, row_id, cell) for every row that satisfies all conditions of a record.
 
     Columns of the records named in ``carry`` come along.
     """
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(splits)).cast("int")
-    left = typed_rows(rows).select(F.col("table_id").alias("_table"), salt.alias("_salt"), "row_id", "cells")
-    prepared = F.transform(
-        "conds",
-        lambda c: F.struct(
-            c["col"].alias("col"), c["op"].alias("op"),
-            locale_float(c["val"]).alias("num"), match_tokens(c["val"]).alias("tokens"),
-        ),
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_copy")
-    right = records.select(
-        "query_id", "table_id", "sel", "agg", *carry, prepared.alias("conds")
-    ).select("*", copies)
-    pairs = left.join(right, (F.col("_table") == F.col("table_id")) & (F.col("_salt") == F.col("_copy")))
-    ok = F.forall("conds", lambda c: _satisfies(F.get("cells", c["col"]), c))
-    cell = F.get("cells", F.col("sel")).alias("cell")
-    return pairs.filter(ok).select("query_id", "agg", *carry, "row_id", cell)
+    named = _named(records)
+    return _for_records(named, selected_cells(named, rows), *carry).select("query_id", "agg", *carry, "row_id", "cell")
 
 
 def type_errors(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -113,48 +123,51 @@ def type_errors(records: DataFrame, rows: DataFrame) -> DataFrame:
     return records.join(kinds, "table_id").select("query_id", F.size(bad).cast("bigint").alias("type_errors"))
 
 
-def extremes(records: DataFrame, rows: DataFrame, splits: int = SPLITS) -> DataFrame:
-    """Per max or min record: rows matched and the one row it selects.
+def _totals(cells: DataFrame) -> DataFrame:
+    """Per condition list and column all that any aggregate needs: rows, sum, whether all are numbers, largest and smallest.
 
-    Of equal values a max takes the last row and a min the first one.
+    Of equal values the largest is the last row and the smallest the first one.
     """
-    wanted = records.filter(F.col("agg").isin(MAX, MIN))
     real = F.col("cell.kind") == "real"
     rank = F.struct("cell.num", F.when(~real, F.col("cell.text")).alias("text"), "row_id")
     row = F.struct("row_id", "cell")
+    return cells.groupBy("list_id", "sel").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(real).alias("_real"), F.sum("cell.num").alias("_sum"),
+        F.max_by(row, rank).alias("_last"), F.min_by(row, rank).alias("_first"),
+    )
+
+
+def _extreme() -> Column:
+    return F.when(F.col("agg") == MAX, F.col("_last")).otherwise(F.col("_first"))
+
+
+def _number(digits: int | None) -> Column:
+    """The number a count, sum or mean answers with; sums and means over text columns have none."""
+    total = F.col("_sum") if digits is None else F.round("_sum", digits)
     return (
-        matching_rows(wanted, rows, splits)
-        .groupBy("query_id")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.max_by(row, F.when(F.col("agg") == MAX, rank)).alias("_last"),
-            F.min_by(row, F.when(F.col("agg") == MIN, rank)).alias("_first"),
-        )
-        .select("query_id", "rows", F.coalesce("_last", "_first").alias("extreme"))
+        F.when(F.col("agg") == COUNT, F.coalesce("rows", F.lit(0)).cast("double"))
+        .when((F.col("agg") == SUM) & F.col("_real"), total)
+        .when((F.col("agg") == AVG) & F.col("_real"), total / F.col("rows"))
     )
 
 
-def numbers(records: DataFrame, rows: DataFrame, splits: int = SPLITS, digits: int | None = None) -> DataFrame:
+def extremes(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per max or min record with rows: their number and the one row it selects.
+
+    Of equal values a max takes the last row and a min the first one.
+    """
+    wanted = _named(records.filter(F.col("agg").isin(MAX, MIN)))
+    return _for_records(wanted, _totals(selected_cells(wanted, rows))).select("query_id", "rows", _extreme().alias("extreme"))
+
+
+def numbers(records: DataFrame, rows: DataFrame, digits: int | None = None) -> DataFrame:
     """Per other record: rows matched, and the number a count, sum or mean answers with.
 
-    Sums and means over text columns have no number. Sums are as they are unless ``digits`` asks for a rounding,
-    which hides the order in which parts were added.
+    Sums are as they are unless ``digits`` asks for a rounding, which hides the order in which parts were added.
     """
-    total = F.sum("cell.num")
-    wanted = records.filter(~F.col("agg").isin(MAX, MIN))
-    per_record = matching_rows(wanted, rows, splits).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bool_and(F.col("cell.kind") == "real").alias("_real"),
-        (total if digits is None else F.round(total, digits)).alias("_sum"),
-    )
-    count = F.coalesce("rows", F.lit(0))
-    value = (
-        F.when(F.col("agg") == COUNT, count.cast("double"))
-        .when((F.col("agg") == SUM) & F.col("_real"), F.col("_sum"))
-        .when((F.col("agg") == AVG) & F.col("_real"), F.col("_sum") / F.col("rows"))
-    )
-    joined = wanted.select("query_id", "agg").join(per_record, "query_id", "left")
-    return joined.select("query_id", "agg", count.alias("rows"), value.alias("value"))
+    wanted = _named(records.filter(~F.col("agg").isin(MAX, MIN)))
+    per_record = _for_records(wanted, _totals(selected_cells(wanted, rows)), how="left")
+    return per_record.select("query_id", "agg", F.coalesce("rows", F.lit(0)).alias("rows"), _number(digits).alias("value"))
 
 
 def _with_number_text(df: DataFrame, text: Column, out: str) -> DataFrame:
@@ -163,33 +176,29 @@ def _with_number_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     return numbered.withColumn(out, F.coalesce(float_text(F.col("_number")), text)).drop("_number")
 
 
-def answers(records: DataFrame, rows: DataFrame, splits: int = SPLITS, digits: int | None = None) -> DataFrame:
+def answers(records: DataFrame, rows: DataFrame, digits: int | None = None) -> DataFrame:
     """Answers in long form: (query_id, row_id, answer).
 
     A number answers with one line and no ``row_id``; cell answers keep one line
     per row, so an answer over a large table stays distributed. A cell that is the
-    only one prints as a number when it is one. Records that a single line settles
-    are not joined to their rows again.
+    only one prints as a number when it is one. The rows are read and matched once: the selected cells
+    are written, summed up per condition list, and only read again for records that no single line settles.
     """
-    picked = records.filter(F.col("agg").isin(MAX, MIN)).select("query_id").join(
-        extremes(records, rows, splits), "query_id", "left"
-    )
-    picked = _with_number_text(picked, F.col("extreme.cell.text"), "_picked").select(
-        "query_id", "rows", F.col("extreme.row_id").alias("row_id"),
-        F.coalesce("_picked", F.lit(EMPTY_ANSWER)).alias("answer"),
+    named = _named(records)
+    cells = durable(selected_cells(named, rows))
+    per_record = _for_records(named, _totals(cells), how="left").select(
+        "query_id", "agg", F.col("_list").alias("list_id"), F.col("_sel").alias("sel"), F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.when(F.col("agg").isin(MAX, MIN), _extreme()).alias("extreme"), _number(digits).alias("value"),
     )
-    totals = numbers(records, rows, splits, digits)
     empty = F.when((F.col("rows") == 0) & (F.col("agg") != COUNT), F.lit(EMPTY_ANSWER))
-    settled = totals.select(
-        "query_id", "rows", F.lit(None).cast("bigint").alias("row_id"),
-        F.coalesce(empty, float_text(F.col("value"))).alias("answer"),
+    per_record = _with_number_text(per_record, F.col("extreme.cell.text"), "_picked").withColumn(
+        "answer", F.coalesce(empty, float_text(F.col("value")), F.when(F.col("agg").isin(MAX, MIN), F.coalesce("_picked", F.lit(EMPTY_ANSWER))))
     )
-    open_ids = settled.filter(F.col("answer").isNull()).select("query_id", "rows")
-    open_matches = matching_rows(records.join(open_ids, "query_id"), rows, splits, carry=["rows"])
-    cells = _with_number_text(open_matches, F.col("cell.text"), "_shown")
-    shown = F.when(F.col("rows") == 1, F.col("_shown")).otherwise(F.col("cell.text"))
-    one_line = settled.filter(F.col("answer").isNotNull()).unionByName(picked).drop("rows")
-    return one_line.unionByName(cells.select("query_id", "row_id", shown.alias("answer")))
+    settled = per_record.filter(F.col("answer").isNotNull()).select("query_id", F.col("extreme.row_id").alias("row_id"), "answer")
+    still_open = per_record.filter(F.col("answer").isNull()).select("query_id", "agg", "list_id", "sel", F.col("rows").alias("_rows"))
+    shown = _with_number_text(_for_records(still_open, cells, "_rows"), F.col("cell.text"), "_shown")
+    shown = shown.select("query_id", "row_id", F.when(F.col("_rows") == 1, F.col("_shown")).otherwise(F.col("cell.text")).alias("answer"))
+    return settled.unionByName(shown)
 
 
 def answer_texts(long_answers: DataFrame, size: int = 4096) -> DataFrame:
