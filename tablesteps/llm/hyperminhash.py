@@ -37,7 +37,7 @@ BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
 MANTISSA_BITS = 10
 MISS = 1e-9  # chance that the estimate leaves out a pair right at the threshold
-BLOCK_ROWS = 512  # rows of a block at most
+BLOCK_ROWS = 1024  # rows of a block at most
 BLOCK_CELLS = 1 << 20  # shingles of a block, on average at most
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
@@ -344,14 +344,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     held = shared.select("band", "member").join(blocks.select("member", "block"), "member").join(rooted.select("member", "root"), "member")
     split = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     held = written(held.join(split, "band"), "held")
-    touched = held.groupBy("band", F.col("block").alias("with")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    between = written(
-        held.join(touched, "band").where("block <> with AND (low <> root OR high <> root)").select(
-            F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"),
-            F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("side"), "member",
-        ).distinct(),
-        "between",
+    touched = held.groupBy("band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    left, right = (touched.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ab")
+    joined = "low_a = high_a AND low_b = high_b AND low_a = low_b"
+    pairs = written(
+        left.join(right, "band").where(f"block_a < block_b AND NOT ({joined})").select(F.col("block_a").alias("one"), F.col("block_b").alias("other")).distinct(),
+        "pairs",
     )
+    members = held.select("block", "member").distinct()
+    sides = [pairs.join(members, F.col(name) == F.col("block")).select("one", "other", F.lit(side).alias("side"), "member") for side, name in enumerate(("one", "other"))]
+    between = sides[0].union(sides[1])
     second = links(between, rooted, "between")
 
     roots = components(first.union(second))

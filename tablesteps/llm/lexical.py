@@ -27,7 +27,7 @@ from .files import new_folder
 from .textbytes import U64, Texts, slices
 
 BLOCK_TERMS = 1 << 14  # terms of a block of items, and one more item at most
-CELLS = 1 << 23  # terms times documents of a block of documents
+CELLS = 1 << 22  # terms times documents of a block of documents
 FIRST_DEPTH = 16  # places read of each list in the first round; each round reads twice as many
 MERGE_PARTS = 256  # results of tasks are merged in so many parts first
 SCALE = 1_000_000_000
