@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import null_false
+from ..session import durable
 
 EDGES = 64  # bin edges of a column of a table, one bin more
 
@@ -35,32 +36,31 @@ def number_key(number: Column) -> Column:
     return (number + F.lit(0.0)).cast("string")
 
 
-def _spaces(value: Column) -> Column:
+def _keys(num: Column, tokens: Column) -> Column:
     """The keys of a literal: one per space in which it has a value."""
-    return F.filter(
-        F.array(
-            F.struct(F.lit(NUMBER).alias("space"), value["num"].alias("num"), F.lit(None).cast("string").alias("text")),
-            F.struct(F.lit(TEXT).alias("space"), F.lit(None).cast("double").alias("num"), token_key(value["tokens"]).alias("text")),
-        ),
-        lambda k: k["num"].isNotNull() | k["text"].isNotNull(),
+    key = F.array(
+        F.struct(F.lit(NUMBER).alias("space"), num.alias("num"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit(TEXT).alias("space"), F.lit(None).cast("double").alias("num"), token_key(tokens).alias("text")),
     )
+    return F.filter(key, lambda k: k["num"].isNotNull() | k["text"].isNotNull())
 
 
 def condition_lists(records: DataFrame, literal) -> DataFrame:
-    """Distinct condition lists of each table: (list_id, table_id, conds, sels, access).
+    """Distinct condition lists of each table: (list_id, table_id, conds, sels, col, kind).
 
     ``literal`` makes the struct of ``num`` and ``tokens`` of a condition's text. ``sels`` are the columns that
-    records with the list select. ``access`` is the condition that leads to rows, null for a list without
-    conditions. Records without a ``list_id`` match nothing and are left out.
+    records with the list select. ``col`` is the access column and ``kind`` its kind of access: ``=``, ``~`` for ranges, or
+    ``all`` for a list without conditions. Records without a ``list_id`` match nothing and are left out.
     """
     lists = records.filter("list_id IS NOT NULL").groupBy("list_id", "table_id", F.array_sort(F.array_distinct("conds")).alias("conds")).agg(
         F.collect_set("sel").alias("sels")
     )
     typed = F.transform("conds", lambda c: F.struct(c["col"].alias("col"), c["op"].alias("op"), literal(c["val"]).alias("v")))
     typed = F.transform(typed, lambda c: F.struct(c["col"].alias("col"), c["op"].alias("op"), c["v"]["num"].alias("num"), c["v"]["tokens"].alias("tokens")))
-    lists = lists.withColumn("conds", typed)
     equal = F.filter("conds", lambda c: c["op"] == EQUAL)
-    return lists.withColumn("access", F.coalesce(F.get(equal, F.lit(0)), F.get("conds", F.lit(0))))
+    access = F.coalesce(F.get(equal, F.lit(0)), F.get("conds", F.lit(0)))
+    lists = lists.withColumns({"conds": typed, "col": access["col"], "kind": F.when(access.isNull(), "all").when(access["op"] == EQUAL, "=").otherwise("~")})
+    return durable(lists)
 
 
 def list_id(table: Column, conds: Column) -> Column:
@@ -73,18 +73,18 @@ def list_id(table: Column, conds: Column) -> Column:
 
 
 def _edges(lists: DataFrame) -> DataFrame:
-    """Bin edges of every column that a range leads to: (table_id, col, space, edges).
+    """Bin edges of every column that a range leads to: (table_id, col, space, nums, texts).
 
     Of many literals those with the smallest hashes are taken: an even choice, and never more than EDGES of a column.
     """
-    ranges = lists.filter(F.col("access.op") != EQUAL).select("table_id", F.col("access.col").alias("col"), F.explode("conds").alias("c"))
-    values = ranges.filter("c.col = col AND c.op <> 0").select("table_id", "col", F.explode(_spaces(F.col("c"))).alias("k"))
+    ranges = lists.filter("kind = '~'").select("table_id", "col", F.explode("conds").alias("c")).filter("c.col = col")
+    values = ranges.select("table_id", "col", F.explode(_keys(F.col("c.num"), F.col("c.tokens"))).alias("k"))
     values = values.select("table_id", "col", "k.*").distinct()
     place = F.row_number().over(Window.partitionBy("table_id", "col", "space").orderBy(F.xxhash64("num", "text"), "num", "text"))
     chosen = values.withColumn("_place", place).filter(F.col("_place") <= EDGES)
-    return chosen.groupBy("table_id", "col", "space").agg(
+    return durable(chosen.groupBy("table_id", "col", "space").agg(
         F.array_sort(F.collect_list("num")).alias("nums"), F.array_sort(F.collect_list("text")).alias("texts")
-    )
+    ))
 
 
 def _bin(num: Column, text: Column, nums: Column, texts: Column) -> Column:
@@ -92,49 +92,51 @@ def _bin(num: Column, text: Column, nums: Column, texts: Column) -> Column:
     return F.size(F.filter(nums, lambda e: e <= num)) + F.size(F.filter(texts, lambda e: e <= text))
 
 
-def _path(col: Column, space: Column, kind: str) -> Column:
-    return F.concat(col.cast("string"), F.lit(kind), space)
+def _path(p) -> Column:
+    return F.concat_ws("", p["col"].cast("string"), p["kind"], p["space"])
+
+
+def _with_edges(accesses: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds the edges of (table_id, col, kind, space); ranges of a column without edges lead to nothing."""
+    named = edges.select(F.col("table_id").alias("_table"), F.col("col").alias("_col"), F.col("space").alias("_space"), "nums", "texts")
+    same = (F.col("kind") == "~") & (F.col("table_id") == F.col("_table")) & (F.col("col") == F.col("_col")) & (F.col("space") == F.col("_space"))
+    return accesses.join(named, same, "left").filter("kind <> '~' OR nums IS NOT NULL").drop("_table", "_col", "_space")
 
 
 def _list_keys(lists: DataFrame, edges: DataFrame) -> DataFrame:
     """(list_id, table_id, path, key, conds, sels): every key under which a list is looked up."""
-    payload = ["list_id", "table_id", "conds", "sels"]
-    every = lists.filter("access IS NULL").select(*payload, F.lit("all").alias("path"), F.lit("").alias("key"))
-    equal = lists.filter(F.col("access.op") == EQUAL).select(*payload, "access.col", F.explode(_spaces(F.col("access"))).alias("k"))
-    equal = equal.select(
-        *payload, _path(F.col("col"), F.col("k.space"), "=").alias("path"), F.coalesce(number_key(F.col("k.num")), "k.text").alias("key")
+    mine = F.filter("conds", lambda c: c["col"] == F.col("col"))
+    first_equal = F.get(F.filter(mine, lambda c: c["op"] == EQUAL), F.lit(0))
+    # The literal of an equal access is the key; a range is usable in a space if all its literals have a value there.
+    numbers = F.forall(mine, lambda c: (c["op"] == EQUAL) | c["num"].isNotNull())
+    none = F.struct(F.lit(None).cast("string").alias("space"), F.lit(None).cast("double").alias("num"), F.lit("").alias("text"))
+    either = F.array(*[F.struct(F.lit(s).alias("space"), F.lit(None).cast("double").alias("num"), F.lit("").alias("text")) for s in (NUMBER, TEXT)])
+    spaces = (
+        F.when(F.col("kind") == "all", F.array(none))
+        .when(F.col("kind") == "=", _keys(first_equal["num"], first_equal["tokens"]))
+        .otherwise(F.filter(either, lambda k: (k["space"] == TEXT) | numbers))
     )
-    ranged = lists.filter(F.col("access.op") != EQUAL).withColumn("_col", F.col("access.col"))
-    ranged = ranged.join(edges.withColumnRenamed("table_id", "_table"), (F.col("table_id") == F.col("_table")) & (F.col("_col") == F.col("col")))
+    spread = lists.select("*", F.explode(spaces).alias("k")).select("*", "k.space")
 
     def bound(op: int, pick, other: Column) -> Column:
         """The narrowest bin that the conditions of one direction on the access column allow."""
-        mine = F.filter("conds", lambda c: (c["col"] == F.col("_col")) & (c["op"] == op))
-        bins = F.transform(mine, lambda c: _bin(
+        bins = F.transform(F.filter(mine, lambda c: c["op"] == op), lambda c: _bin(
             F.when(F.col("space") == NUMBER, c["num"]), F.when(F.col("space") == TEXT, token_key(c["tokens"])), F.col("nums"), F.col("texts")
         ))
         return F.coalesce(pick(bins), other)
 
-    # A literal that is no number leads to nothing in the space of numbers.
-    usable = (F.col("space") == TEXT) | F.forall("conds", lambda c: (c["col"] != F.col("_col")) | (c["op"] == EQUAL) | c["num"].isNotNull())
-    last = F.size("nums") + F.size("texts")
-    ranged = ranged.filter(usable).withColumns({"_low": bound(ABOVE, F.array_max, F.lit(0)), "_high": bound(BELOW, F.array_min, last)})
-    ranged = ranged.filter("_low <= _high").select(
-        *payload, _path(F.col("_col"), F.col("space"), "~").alias("path"), F.explode(F.transform(F.sequence("_low", "_high"), lambda b: b.cast("string"))).alias("key")
-    )
-    return every.select(*payload, "path", "key").unionByName(equal).unionByName(ranged)
+    low, high = bound(ABOVE, F.array_max, F.lit(0)), bound(BELOW, F.array_min, F.size("nums") + F.size("texts"))
+    bins = F.when(F.col("_low") <= F.col("_high"), F.transform(F.sequence("_low", "_high"), lambda b: b.cast("string")))
+    keys = F.when(F.col("kind") == "~", bins).otherwise(F.array(F.coalesce(number_key(F.col("k.num")), "k.text")))
+    found = _with_edges(spread, edges).withColumns({"_low": low, "_high": high})
+    return found.select("list_id", "table_id", "conds", "sels", _path({c: F.col(c) for c in ("col", "kind", "space")}).alias("path"), F.explode(keys).alias("key"))
 
 
 def _paths(lists: DataFrame, edges: DataFrame) -> DataFrame:
-    """The access paths of each table: (table_id, paths); a column has two per kind at most."""
-    nums, texts = F.array().cast("array<double>"), F.array().cast("array<string>")
-    equal = lists.filter(F.col("access.op") == EQUAL).select("table_id", F.col("access.col").alias("col")).distinct()
-    equal = equal.select("table_id", "col", F.explode(F.array(F.lit(NUMBER), F.lit(TEXT))).alias("space"), F.lit("=").alias("kind"), nums.alias("nums"), texts.alias("texts"))
-    every = lists.filter("access IS NULL").select("table_id").distinct().select(
-        "table_id", F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("space"), F.lit("all").alias("kind"), nums.alias("nums"), texts.alias("texts")
-    )
-    ranged = edges.select("table_id", "col", "space", F.lit("~").alias("kind"), "nums", "texts")
-    found = equal.unionByName(every).unionByName(ranged)
+    """The access paths of each table: (table_id, paths); a column has four at most."""
+    spaces = F.when(F.col("kind") == "all", F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit(NUMBER), F.lit(TEXT)))
+    accesses = lists.select("table_id", "col", "kind").distinct().select("*", F.explode(spaces).alias("space"))
+    found = _with_edges(accesses.withColumn("col", F.when(F.col("kind") != "all", F.col("col"))), edges)
     return found.groupBy("table_id").agg(F.collect_list(F.struct("col", "space", "kind", "nums", "texts")).alias("paths"))
 
 
@@ -143,18 +145,14 @@ def _row_keys(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
     def key(p: Column) -> Column:
         cell = F.get("cells", p["col"])
-        real = cell["kind"] == "real"
-        text = token_key(cell["tokens"])
-        equal = F.when(p["space"] == NUMBER, F.when(real, number_key(cell["num"]))).otherwise(F.when(~real, text))
-        valued = F.when(p["space"] == NUMBER, real & cell["num"].isNotNull()).otherwise(~real & text.isNotNull())
-        ranged = F.when(valued, _bin(
-            F.when(p["space"] == NUMBER, cell["num"]), F.when(p["space"] == TEXT, text), p["nums"], p["texts"]
-        ).cast("string"))
-        return F.when(p["kind"] == "all", F.lit("")).when(p["kind"] == "=", equal).otherwise(ranged)
-
-    keyed = F.transform("paths", lambda p: F.struct(
-        F.when(p["kind"] == "all", F.lit("all")).otherwise(F.concat(p["col"].cast("string"), p["kind"], p["space"])).alias("path"), key(p).alias("key")
-    ))
+        num = F.when((p["space"] == NUMBER) & (cell["kind"] == "real"), cell["num"])
+        text = F.when((p["space"] == TEXT) & (cell["kind"] != "real"), token_key(cell["tokens"]))
+        found = F.when(p["kind"] == "=", F.coalesce(number_key(num), text)).otherwise(
+            F.when(num.isNotNull() | text.isNotNull(), _bin(num, text, p["nums"], p["texts"]).cast("string"))
+        )
+        return F.when(p["kind"] == "all", F.lit("")).otherwise(found)
+
+    keyed = F.transform("paths", lambda p: F.struct(_path(p).alias("path"), key(p).alias("key")))
     found = rows.join(paths, "table_id").select("table_id", "row_id", "cells", F.explode(keyed).alias("_k"))
     return found.filter("_k.key IS NOT NULL").select("table_id", "row_id", "cells", "_k.*")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import let, null_false
@@ -71,54 +71,47 @@ def tokens(df: DataFrame, text: str = "text", header: str = "header") -> DataFra
     return named.select("query_id", "pos", "token", "_c.kind", "_c.operands", "_c.parameter")
 
 
-def wire(operand_counts: Column) -> Column:
-    """Edges of a prefix sequence: each token goes to the nearest earlier one with an open place.
-
-    A fold over one text with the open tokens on a stack.
-    """
-    slot = "struct<pos:int,open:int,used:int>"
-    link = "struct<child:int,parent:int,place:int>"
-    start = F.struct(
-        F.array().cast(f"array<{slot}>").alias("stack"), F.array().cast(f"array<{link}>").alias("edges")
-    )
-    numbered = F.transform(operand_counts, lambda n, i: F.struct(i.alias("pos"), n.alias("n")))
-
-    def step(state: Column, token: Column) -> Column:
-        stack, depth = state["stack"], F.size(state["stack"])
-        top = F.get(stack, depth - 1)
-        rest = F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0)))
-        shrunk = F.struct(
-            top["pos"].alias("pos"), (top["open"] - 1).alias("open"), (top["used"] + 1).alias("used")
-        )
-        after = F.when(top["open"] > 1, F.concat(rest, F.array(shrunk))).otherwise(rest)
-        opened = F.struct(token["pos"].alias("pos"), token["n"].alias("open"), F.lit(0).alias("used"))
-        edge = F.struct(token["pos"].alias("child"), top["pos"].alias("parent"), top["used"].alias("place"))
-        return F.struct(
-            F.when(token["n"] > 0, F.concat(after, F.array(opened))).otherwise(after).alias("stack"),
-            F.when(depth > 0, F.concat(state["edges"], F.array(edge))).otherwise(state["edges"]).alias("edges"),
-        )
-
-    return F.aggregate(numbered, start, step, lambda state: state["edges"])
-
-
 def edges_from_text(df: DataFrame, order: str = "preorder", text: str = "text", header: str = "header") -> DataFrame:
     """Edges of prefix (or reversed postfix) texts: (query_id, edge, child, parent, place).
 
-    Nodes are named ``n1``, ``n2``, … in prefix order. Row-local, nothing is shuffled.
+    Nodes are named ``n1``, ``n2``, … in prefix order. A token opens a place for each of its operands and
+    fills the place opened last, if any is open; without one it is a further root. With ``depth`` the number of places open, a token
+    with k operands opens those numbered depth - k + 1 to depth, and a token fills the one numbered as
+    the depth before it. Places of one number are opened and filled in turn, so a token's parent is the token that
+    opened that number last: bracket matching by running sums, linear in the tokens of a text.
     """
     parts = split_tokens(F.col(text))
-    counts = F.transform(
-        F.reverse(parts) if order == "postorder" else parts,
-        lambda token: classify(token, F.col(header))["operands"],
+    parts = F.reverse(parts) if order == "postorder" else parts
+    counts = F.transform(parts, lambda t: classify(t, F.col(header))["operands"])
+    counted = df.select("query_id", F.monotonically_increasing_id().alias("_row"), counts.alias("_counts"))
+    counted = counted.select("query_id", "_row", F.posexplode("_counts").alias("pos", "k"))
+    so_far = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    summed = counted.withColumn("_sum", F.sum(F.col("k") - 1).over(so_far))
+    # A root fills no place: there is one more whenever the sum falls to a new low.
+    lowest = F.least(F.coalesce(F.min("_sum").over(before), F.lit(0)), F.lit(0))
+    depths = summed.withColumn("_roots", 1 - lowest).withColumn("_depth", F.col("_sum") + F.col("_roots"))
+    filled = F.col("_depth") - F.col("k") + 1  # the number of the place a token fills; a root fills none
+    is_root = F.lag("_roots", 1, 0).over(Window.partitionBy("_row").orderBy("pos")) < F.col("_roots")
+    depths = depths.withColumn("_root", is_root)
+    opened = F.transform(
+        F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda place: F.struct((F.col("_depth") - place).alias("number"), F.lit(True).alias("opens"), place.alias("place")),
     )
+    fills = F.array(F.struct(filled.alias("number"), F.lit(False).alias("opens"), F.lit(None).cast("int").alias("place")))
+    events = depths.select(
+        "query_id", "_row", "pos", "_roots", F.explode(F.concat(F.when(~F.col("_root"), fills).otherwise(F.array().cast("array<struct<number:bigint,opens:boolean,place:int>>")), opened)).alias("e")
+    ).select("query_id", "_row", "pos", "_roots", "e.*")
+    # A token fills a place before it opens one of the same number.
+    turn = Window.partitionBy("_row", "number").orderBy("pos", "opens")
+    wired = events.withColumns({"_parent": F.lag("pos").over(turn), "_place": F.lag("place").over(turn)}).filter("NOT opens")
 
     def name(pos: Column) -> Column:
         return F.concat(F.lit("n"), (pos + 1).cast("string"))
 
-    wired = df.withColumn("_counts", counts).select("query_id", F.posexplode(wire(F.col("_counts"))).alias("edge", "e"))
     return wired.select(
-        "query_id", "edge", name(F.col("e.child")).alias("child"), name(F.col("e.parent")).alias("parent"),
-        F.col("e.place").alias("place"),
+        "query_id", (F.col("pos") - F.col("_roots")).cast("int").alias("edge"), name(F.col("pos")).alias("child"),
+        name(F.col("_parent")).alias("parent"), F.col("_place").alias("place"),
     )
 
 
