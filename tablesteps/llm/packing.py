@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import Encoder, text_groups
+from .encoder import encoder
+from .tokens import text_groups
 
 PART_IDS = 1 << 23
 
@@ -126,7 +127,7 @@ def _packed(tokenizer: str, end_id: int, capacity: int, max_gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()
         sequence_id = TaskContext.get().partitionId() << 40
         ids, docs, size = [], [], 0
@@ -161,7 +162,7 @@ def _packed(tokenizer: str, end_id: int, capacity: int, max_gap: int):
             doc_ids = batch.column("doc_id").to_pylist()
             for first, group in text_groups(batch.column("text").to_pylist()):
                 ids += doc_ids[first : first + len(group)]
-                for encoded in encoder.encode(group):
+                for encoded in encode(group):
                     docs.append(encoded + end)
                     size += len(encoded) // 4 + 1
                 if size >= PART_IDS:

@@ -1,10 +1,5 @@
 """Token ids of whole texts by the tokenizers library, and a keyed store of them.
 
-Encoding. A text is cut where the tokenizer itself always starts a new piece, each distinct
-piece is encoded once by the library, and the ids are put together from a table of pieces. The
-table is kept for the life of the Python worker, in two halves of about ``TABLE_PIECES`` entries of
-which the older goes, so its memory is bounded. A text whose blanks the tokenizer may not part at is handed to the library whole.
-
 Store. ``write_store`` writes shards of raw little-endian ids in ascending key order and, next to
 each, a minimal perfect hash index. ``lookup`` finds a key's ids in constant time: the hash gives
 the slot, the stored fingerprint tells a foreign key, and the slot holds offset and length.
@@ -12,9 +7,7 @@ the slot, the stored fingerprint tells a foreign key, and the slot holds offset
 
 from __future__ import annotations
 
-import gc
 import json
-import re
 import struct
 from collections.abc import Iterator
 
@@ -23,148 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .encoder import encoder
 from .files import Target, new_folder, opened
 from .textbytes import U64, mix
 
-TABLE_PIECES = 200_000
 SHARD_IDS = 1 << 26
 KEY_LEVEL_SLOTS = 2  # slots per key of a hash level
 
 
-# ---- encoding -------------------------------------------------------------------
-
-
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text."""
-
-    def __init__(self, path: str):
-        import tokenizers
-
-        # Functions shipped with a job have no module in the worker, so what outlives a task is
-        # kept with the library's own module.
-        kept = vars(tokenizers).setdefault("_kept_encoders", {})
-        if path not in kept:
-            tokenizer = tokenizers.Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            kept[path] = (tokenizer, _drops_blanks(path), (_Table(), _Table()))
-        self._tokenizer, self._drops_blanks, self._tables = kept[path]
-        self._bar = " \x01 " if self._drops_blanks else "\n"
-        self._bar_ids, self._line = self._alone(self._bar), self._alone("\n")
-        self._tails = {c: self._alone(c) for c in _TAILS}
-
-    def _alone(self, text: str) -> bytes:
-        # The fast form leaves out the places of the tokens in the text.
-        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces between blanks; None if the text has blanks that the tokenizer may not part at."""
-        if self._drops_blanks:
-            # Lower case of A-Z alone, as the tokenizer lowers every letter.
-            return text.encode().lower().decode().replace("\n", " ").split(" ")
-        # A single space or line feed between two characters that are no white space: the space
-        # belongs to what follows, the line feed stands alone and is kept with what follows.
-        if any(x in text for x in _RUNS) or text[:1] in _ENDS or text[-1:] in _ENDS or _OTHER_BLANK.search(text):
-            return None if text else []
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\n" + pieces[0]  # its line feed is taken off again
-        return pieces
-
-    def _core(self, piece: str) -> tuple[str, bytes, bytes]:
-        """(text to encode, ids before, ids after) of a piece.
-
-        A sign that ends a piece after a letter is a pre-token of its own.
-        """
-        before = after = b""
-        if len(piece) > 1 and piece[-1] in _TAILS and piece[-2].isalpha():
-            after, piece = self._tails[piece[-1]], piece[:-1]
-        if self._drops_blanks:
-            return piece, before, after
-        if piece[0] == "\n":
-            return piece[1:], self._line, after
-        return " " + piece, before, after
-
-    def _encode_all(self, cores: list[str]) -> list[bytes]:
-        """Ids of each core: many in one text, parted by a sign that has one id of its own."""
-        out: list[bytes] = []
-        for start in range(0, len(cores), 1000):
-            part = cores[start : start + 1000]
-            if len(self._bar_ids) == 4:
-                ids = np.frombuffer(self._alone(self._bar.join(part)), "<u4")
-                at = np.flatnonzero(ids == np.frombuffer(self._bar_ids, "<u4")[0])
-                if len(at) == len(part) - 1:
-                    data, bounds = ids.tobytes(), [-1, *at.tolist(), len(ids)]
-                    out += [data[4 * a + 4 : 4 * b] for a, b in zip(bounds, bounds[1:])]
-                    continue
-            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # Millions of pieces, none in a cycle: looking for cycles among them takes a fifth of the time.
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        pieces, cores = self._tables
-        distinct = set().union(*[c for c in cut if c is not None])
-        fresh = pieces.missing(distinct)
-        parts = [self._core(p) for p in fresh]
-        wanted = cores.missing({c for c, _, _ in parts})
-        cores.young.update(zip(wanted, self._encode_all(wanted)))
-        known = cores.young
-        pieces.young.update(
-            zip(fresh, [before + known[c] + after if before or after else known[c] for c, before, after in parts])
-        )
-        get, line = pieces.young.__getitem__, 0 if self._drops_blanks else len(self._line)
-        out = [
-            self._alone(text) if cut_text is None else b"".join(map(get, cut_text))[line:]
-            for text, cut_text in zip(texts, cut)
-        ]
-        pieces.age()
-        cores.age()
-        return out
-
-
-class _Table:
-    """A table of two halves of bounded size; entries used since the last change of halves are in the younger."""
-
-    def __init__(self):
-        self.young, self.old = {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that are in neither half. Those of the older half move to the younger."""
-        new = keys.difference(self.young)
-        kept = new.intersection(self.old)
-        for key in kept:
-            self.young[key] = self.old[key]
-        return list(new.difference(kept))
-
-    def age(self) -> None:
-        if len(self.young) > TABLE_PIECES:
-            self.young, self.old = {}, self.young
-
-
-# Blanks that are not single, and any white space of Unicode but space and line feed (with the
-# separators 0x1C-0x1F, which only means that some more texts are encoded whole).
-_RUNS = ("  ", "\n\n", " \n", "\n ")
-_ENDS = (" ", "\n")
-_OTHER_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_TAILS = ".,!?;:"
-
-
-def _drops_blanks(path: str) -> bool:
-    """Whether the tokenizer lowers letters and drops white space before it looks for pieces."""
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
-    lowers = any(s["type"] == "Lowercase" for s in (made.get("normalizer") or {}).get("normalizers", []))
-    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return lowers and any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps)
+# ---- texts -----------------------------------------------------------------------
 
 
 def text_groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
@@ -313,7 +173,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encoder, seen = Encoder(tokenizer), _Occurrences()
+        encode, seen = encoder(tokenizer).encode, _Occurrences()
         end = np.array([end_id], "<u4").tobytes()
         shard, out = 0, None
         done = []
@@ -337,7 +197,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for start, group in text_groups(batch.column("text").to_pylist()):
-                for doc_id, encoded in zip(doc_ids[start : start + len(group)], encoder.encode(group)):
+                for doc_id, encoded in zip(doc_ids[start : start + len(group)], encode(group)):
                     if out is None:
                         out, keys, ids, offsets, lengths = Target(folder, f"{name()}.ids"), [], [], [], []
                     payload = np.frombuffer(encoded + end, "<u4")

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from llm_data import frame, odd_documents
 from tokenizers import Tokenizer
 
+from tablesteps.llm import encoder as E
 from tablesteps.llm import tokens
 from tablesteps.llm.files import new_folder
 from tablesteps.llm.packing import RoomTree, pack, packed_sequences
@@ -21,7 +22,6 @@ FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 @functools.cache
 def library(name):
     tokenizer = Tokenizer.from_file(P.path(name))
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
@@ -38,7 +38,7 @@ ODD = [
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_give_the_ids_of_the_whole(name):
-    encoder = tokens.Encoder(P.path(name))
+    encoder = E.Encoder(P.path(name))
     assert encoder.encode(ODD) == whole(name, ODD)
     assert encoder.encode(ODD) == whole(name, ODD)  # from the table
 
@@ -47,16 +47,41 @@ def test_pieces_give_the_ids_of_the_whole(name):
 @given(st.lists(st.text(alphabet="aB'stl,.!?: \n\tÉé́ 1Σ日|<>", max_size=40), max_size=4))
 def test_any_text(texts):
     for name in FILES:
-        assert tokens.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=4), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "İ?", "J\u030c T\u0308", "K\u212a."]))
+def test_any_letters(texts, odd):
+    """All of Unicode, letters that change length when lowered or compose only in one case, and added tokens."""
+    texts = [*texts, *[f"{t}{odd}" for t in texts], f"a {odd} b\n{odd}, c"]
+    for name in FILES:
+        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+
+
+def test_words_of_a_vocabulary_in_every_case():
+    rng = np.random.default_rng(1)
+    words = ["Straße", "ÉCOLE", "it's", "naïve", "x1y2", "日本", "don't", "A.B.", "e\u0301", "\u1e96", "ΣΑΣ"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "?!", "\n"]) for _ in range(30)).replace("\n ", "\n") for _ in range(200)]
+    for name in FILES:
+        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
 
 
 def test_table_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "TABLE_PIECES", 5)
-    encoder = tokens.Encoder(P.path(FILES[1]))
-    for i in range(30):
-        texts = [f"w{i} w{i + 1}, w{i % 3}"]
+    monkeypatch.setattr(E, "TABLE_PIECES", 40)
+    monkeypatch.setattr(E, "RECENT", 5)
+    encoder = E.Encoder(P.path(FILES[1]))
+    for i in range(60):
+        texts = [f"w{i} w{i + 1}, w{i % 3}", "", "w0"]
         assert encoder.encode(texts) == whole(FILES[1], texts)
-    assert all(len(t.young) + len(t.old) < 40 for t in encoder._tables)
+        assert len(encoder._known.keys) + len(encoder._recent.keys) < 60
+
+
+def test_a_very_long_text():
+    texts = ["x" * 300_000 + " y", "word " * 200_000 + "end", "é" * 1000]
+    for name in FILES:
+        assert E.Encoder(P.path(name)).encode(texts[1:]) == whole(name, texts[1:])
+    assert E.Encoder(P.path(FILES[1])).encode(texts[:1]) == whole(FILES[1], texts[:1])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
