@@ -230,7 +230,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
         found.append(state.where("ended").select("len", "key", "n"))
         still_open = state.where("NOT ended").select("len", "key", "start", "n", F.col("n").alias("old"))
         scan += 1
-    return reduce(DataFrame.union, found), texts
+    reduce(DataFrame.union, found).write.parquet(f"{home}/counts")
+    return spark.read.schema("len byte, key long, n long").parquet(f"{home}/counts"), texts
 
 
 def _named(keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,14 +240,15 @@ def _named(keys: DataFrame, texts: DataFrame) -> DataFrame:
     Texts are looked through by growing shares, each for the keys that those before did not name: most phrases are met in
     the first share, so few tasks name the same phrase.
     """
-    named = []
-    for low, high in zip(NAMING, NAMING[1:]):
+    spark, home = keys.sparkSession, new_folder(keys.sparkSession, "names")
+    schema = "key long, a long, name struct<lang:string,phrase:string>"
+    for step, (low, high) in enumerate(zip(NAMING, NAMING[1:])):
         share = texts.where((F.col("share") >= low) & (F.col("share") < high)).select("lang", "text")
         found = share.mapInArrow(_names(packed_bits(keys, "key")), "key long, lang string, phrase string")
-        found = durable(found.groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name")))
-        named.append(keys.join(found, "key").select("key", "a", "name.lang", "name.phrase"))
-        keys = keys.join(found, "key", "left_anti")
-    return reduce(DataFrame.union, named)
+        found = found.groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"))
+        keys.join(found, "key", "left").select("key", "a", "name").write.parquet(f"{home}/step={step}")
+        keys = spark.read.schema(schema).parquet(f"{home}/step={step}").where("name IS NULL").select("key", "a")
+    return spark.read.schema(schema).parquet(home).where("name IS NOT NULL").select("key", "a", "name.lang", "name.phrase")
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 2000, shards: int = SHARDS) -> DataFrame:

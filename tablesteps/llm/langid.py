@@ -30,8 +30,13 @@ FAMILIES = {
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE_ROWS = 1000  # labelled rows per language that training takes at most
-_LETTER = re.compile(r"[^\W\d_]")
-LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
+_WORD_SIGN = re.compile(r"[^\W\d_]+")
+LETTER = r"\p{L}"  # as ``has_letter``, for Spark
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; number letters such as roman numerals and fractions are none."""
+    return any(any(map(str.isalpha, m.group())) for m in _WORD_SIGN.finditer(text))
 
 
 def family_of(language: str) -> str:
@@ -147,7 +152,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
                 out = []
                 for i in range(end - first):
                     text = column[first + i].as_py()
-                    if _LETTER.search(text):
+                    if has_letter(text):
                         counted = np.bincount(buckets[bounds[i] : bounds[i + 1]], minlength=BUCKETS)
                         hit = np.flatnonzero(counted)
                         out.append((names[first + i], hit.astype("<u2").tobytes(), np.sqrt(counted[hit] / (bounds[i + 1] - bounds[i])).astype("<f4").tobytes()))
@@ -207,7 +212,7 @@ def _predicted(model: Model | None):
                     predicted = model.predict(margins)
                 for i in range(first, end):
                     text = column[i].as_py()
-                    if model is None or text is None or not _LETTER.search(text):
+                    if model is None or text is None or not has_letter(text):
                         languages.append("und")
                         scores.append(0.0)
                     else:

@@ -20,11 +20,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from .files import new_folder
 from .names import free_prefix
 
 _MOST_STRINGS = 64  # strings that an exactly known stretch of a pattern may stand for
 _MASK_BITS = 62
+PART = 128  # matches of a text that are put together at a time
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,8 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----"),
+    # One run of characters, as Java matches a repeated group by recursion, which ends on a long text.
+    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
     Rule("repo_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abpr]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -207,6 +210,8 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
         F.regexp_extract_all(text, pattern, rule.group).alias("part"),
     )
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
+    parts = _in_parts(steps)
+    sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -216,7 +221,23 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
         found = F.when(good, F.concat(state["found"], F.array(span)))
         return F.struct(F.coalesce(end, start).alias("at"), found.otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def spans_of(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    starts = _running(sizes, lambda a, b: a + b)
+    return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(sizes)), spans_of))
+
+
+def _in_parts(items: Column) -> Column:
+    """An array as arrays of PART items: what is put together item by item stays short, so long arrays take linear time."""
+    last = F.greatest(F.expr("0"), F.floor((F.size(items) - 1) / PART)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+
+def _running(values: Column, add) -> Column:
+    """0 and what each value makes of the result before it."""
+    start = F.array(F.lit(0))
+    return F.aggregate(values, start, lambda done, v: F.concat(done, F.array(add(F.element_at(done, -1), F.coalesce(v, F.lit(0))))))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -258,15 +279,28 @@ def span_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by a mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        kept = F.when(
-            x["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        ).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), kept.alias("out"))
 
-    done = F.aggregate(
-        spans, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    def masked(part: Column, base: Column, reached: Column) -> Column:
+        # Places are counted in the stretch of text of this part alone.
+        stretch = F.substring(text, base + 1, reached - base)
+
+        def step(s: Column, x: Column) -> Column:
+            gap = F.substring(s["stretch"], s["at"] - base + 1, x["start"] - s["at"])
+            out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"])
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["stretch"].alias("stretch"), out.alias("out"))
+
+        start = F.struct(base.alias("at"), stretch.alias("stretch"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(part, start, step, lambda s: F.array_join(s["out"], ""))
+
+    def whole(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.array_max(F.transform(p, lambda x: x["end"])))
+        # How far the spans before each part reach, and all of them.
+        return let(_running(ends, F.greatest), lambda reached: F.concat(
+            F.array_join(F.transform(
+                F.arrays_zip(parts.alias("part"), reached.alias("base"), F.slice(reached, F.lit(2), F.size(parts)).alias("reached")),
+                lambda z: F.when(z["part"].isNotNull(), masked(z["part"], z["base"], z["reached"])),
+            ), ""),
+            F.substring(text, F.element_at(reached, -1) + 1, F.length(text) - F.element_at(reached, -1)),
+        ))
+
+    return F.when(F.size(spans) > 0, let(_in_parts(spans), whole)).otherwise(text)

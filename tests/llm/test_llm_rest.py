@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -114,6 +115,33 @@ def test_spans_like_brute_force(spark):
             assert r["masked"] == out + r["text"][at:]
 
 
+LONG = 200_000
+LONG_TEXTS = [
+    "-----BEGIN " + "RSA " * (LONG // 4) + "PRIVATE KEY-----", "-----BEGIN " + "RSA " * (LONG // 4), "-----BEGIN PRIVATE " * (LONG // 19),
+    "password" + " " * LONG + "= abcdefgh", "password" * (LONG // 8), "token=" + "a" * LONG, "AKIA" * (LONG // 4), "AKIA" + "A" * LONG,
+    "0" * LONG, "0f" * 15 + "g", "ghp_" + "a" * LONG, "ghp_" * (LONG // 4), "xoxb-" * (LONG // 5), "eyJ" + "a" * LONG + ".eyJ" + "b" * LONG,
+]
+
+
+def test_long_texts_end_in_seconds(spark):
+    """The worst for each rule; the first one used to end the application."""
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(LONG_TEXTS)]).repartition(8)
+    start = time.time()
+    got = {r["doc_id"]: r["n"] for r in secrets.scan(docs).select("doc_id", F.size("secrets").alias("n")).collect()}
+    assert time.time() - start < 90
+    assert [got[i] for i in range(len(LONG_TEXTS))] == [1, 0, 0, 1, 0, 1, 1, 1, 1, 0, 1, 0, 1, 0]
+
+
+def test_many_matches_take_linear_time(spark):
+    text = ("0123456789abcdef" * 2 + " x ") * 60_000
+    docs = frame(spark, [(1, text, None, None, None), (2, text[:35] * 3, None, None, None)])
+    start = time.time()
+    found = secrets.scan(docs).select("doc_id", F.size("secrets").alias("n"), secrets.redacted(F.col("text"), F.col("secrets")).alias("masked"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert time.time() - start < 90
+    assert got[1]["n"] == 60_000 and got[1]["masked"] == "[SECRET] x " * 60_000 and got[2]["n"] == 3
+
+
 def test_scan_runs_no_python_and_reads_candidates_only(spark):
     docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(SECRET_TEXTS)])
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()

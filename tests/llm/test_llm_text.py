@@ -451,3 +451,8 @@ def test_inverse_demand(spark):
 
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).collect() == [] and mixing.curriculum(frame(spark, [])).collect() == []
+
+
+def test_number_letters_are_no_letters():
+    assert not any(map(langid.has_letter, ["", "½ ²", "Ⅳ ⅷ", "12 _ ٣"]))
+    assert all(map(langid.has_letter, ["a", "½ x", "日", "_é", "ªⅣ"]))

@@ -25,6 +25,11 @@ def library(name):
     return tokenizer
 
 
+@functools.cache
+def made(name):
+    return E.Encoder(P.path(name))
+
+
 def whole(name, texts):
     return [np.array(e.ids, "<u4").tobytes() for e in library(name).encode_batch(texts, add_special_tokens=False)]
 
@@ -47,7 +52,7 @@ def test_pieces_give_the_ids_of_the_whole(name):
 @given(st.lists(st.text(alphabet="aB'stl,.!?: \n\tÉé́ 1Σ日|<>", max_size=40), max_size=4))
 def test_any_text(texts):
     for name in FILES:
-        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+        assert made(name).encode(texts) == whole(name, texts)
 
 
 @settings(max_examples=150, deadline=None)
@@ -56,7 +61,7 @@ def test_any_letters(texts, odd):
     """All of Unicode, letters that change length when lowered or compose only in one case, and added tokens."""
     texts = [*texts, *[f"{t}{odd}" for t in texts], f"a {odd} b\n{odd}, c"]
     for name in FILES:
-        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+        assert made(name).encode(texts) == whole(name, texts)
 
 
 def test_words_of_a_vocabulary_in_every_case():
@@ -64,7 +69,7 @@ def test_words_of_a_vocabulary_in_every_case():
     words = ["Straße", "ÉCOLE", "it's", "naïve", "x1y2", "日本", "don't", "A.B.", "e\u0301", "\u1e96", "ΣΑΣ"]
     texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "?!", "\n"]) for _ in range(30)).replace("\n ", "\n") for _ in range(200)]
     for name in FILES:
-        assert E.Encoder(P.path(name)).encode(texts) == whole(name, texts)
+        assert made(name).encode(texts) == whole(name, texts)
 
 
 def test_table_is_bounded(monkeypatch):
@@ -80,8 +85,8 @@ def test_table_is_bounded(monkeypatch):
 def test_a_very_long_text():
     texts = ["x" * 300_000 + " y", "word " * 200_000 + "end", "é" * 1000]
     for name in FILES:
-        assert E.Encoder(P.path(name)).encode(texts[1:]) == whole(name, texts[1:])
-    assert E.Encoder(P.path(FILES[1])).encode(texts[:1]) == whole(FILES[1], texts[:1])
+        assert made(name).encode(texts[1:]) == whole(name, texts[1:])
+    assert made(FILES[1]).encode(texts[:1]) == whole(FILES[1], texts[:1])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
