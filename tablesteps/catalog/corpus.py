@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import datasets as D
 from ..operators.positions import positions
+from ..session import scratch_folder
 from ..sources import readers as R
+from ..sources.writers import save_lines
 from .registry import on_w, query
 
 _SUBSETS = list(D.SUBSETS)
@@ -289,3 +291,11 @@ def permuted_or_original(t):
         "table_id", F.when(F.col("changed"), "permuted").otherwise("original").alias("kept"),
         F.when(F.col("changed"), F.get("after", F.lit(0))).otherwise(F.get("before", F.lit(0))).alias("answer"),
     )
+
+
+@query("lines_round_trip", "SELECT row_number() OVER (ORDER BY p_brand DESC, p_partkey) - 1 AS pos, p_name AS value FROM part")
+def lines_round_trip(t):
+    """Predictions written as lines in a given order and read back with their places."""
+    folder = scratch_folder(t.spark, "lines")
+    save_lines(t.part, "p_name", folder, order=[F.desc("p_brand"), F.col("p_partkey")])
+    return R.read_lines(t.spark, folder)

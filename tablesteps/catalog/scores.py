@@ -227,7 +227,13 @@ z AS (SELECT id, s, items, parts,
    len(list_filter(parts, lambda c: NOT regexp_full_match(c, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)') OR regexp_matches(c, '^0[0-9]'))) = 0 AS numbers FROM y)
 SELECT id, CASE WHEN trim(s) = '' THEN 'empty' WHEN ints THEN 'int' WHEN floats THEN 'float' WHEN bools THEN 'bool'
                 WHEN nested AND numbers THEN 'numbers' WHEN nested THEN 'lists' ELSE 'text' END AS kind,
-       CAST(CASE WHEN trim(s) = '' THEN 0 ELSE len(items) END AS BIGINT) AS n FROM z""")
+       CAST(CASE WHEN trim(s) = '' THEN 0 ELSE len(items) END AS BIGINT) AS n,
+       CASE WHEN trim(s) = '' THEN '[]' WHEN ints THEN concat('[', array_to_string(items, ','), ']')
+            WHEN floats THEN concat('[', array_to_string(list_transform(items, lambda c: CAST(CAST(c AS DOUBLE) AS VARCHAR)), ','), ']')
+            WHEN bools THEN concat('[', array_to_string(list_transform(items, lambda c: CASE c WHEN 't' THEN 'true' ELSE 'false' END), ','), ']')
+            WHEN nested AND numbers THEN concat('[', array_to_string(list_transform(items, lambda c: concat('[', array_to_string(list_transform(string_split(c, ',, '), lambda p: CAST(CAST(p AS DOUBLE) AS VARCHAR)), ','), ']')), ','), ']')
+            WHEN nested THEN concat('[', array_to_string(list_transform(items, lambda c: concat('[', array_to_string(list_transform(string_split(c, ',, '), lambda p: concat('"', p, '"')), ','), ']')), ','), ']')
+            ELSE concat('[', array_to_string(list_transform(items, lambda c: CASE c WHEN 'none' THEN 'null' ELSE concat('"', c, '"') END), ','), ']') END AS vals FROM z""")
 def infer_cell_type(t):
     size, variant = F.col("p_size"), F.col("p_partkey") % 8
     text = (
@@ -242,7 +248,8 @@ def infer_cell_type(t):
     )
     cells = t.part.select(F.col("p_partkey").alias("id"), text.alias("s"))
     n = F.size(S.cell_list(F.col("s"))).cast("bigint")
-    return cells.select("id", S.cell_list_kind(F.col("s")).alias("kind"), n.alias("n"))
+    values = F.to_json(S.cell_values(F.col("s")))
+    return cells.select("id", S.cell_list_kind(F.col("s")).alias("kind"), n.alias("n"), values.alias("vals"))
 
 
 @query("render_answer", """

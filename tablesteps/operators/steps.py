@@ -197,17 +197,22 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 # ---- set operations -----------------------------------------------------------
 
 
-def intersect_rows(left: DataFrame, right: DataFrame, name: str, spread_on: str, splits: int = 16) -> DataFrame:
+SPREAD_ROWS = 1_000_000  # rows of one value that meet in one task
+
+
+def intersect_rows(left: DataFrame, right: DataFrame, name: str, spread_on: str, rows: int = SPREAD_ROWS) -> DataFrame:
     """Left rows whose value occurs on the right; duplicates stay and null meets null.
 
-    The right side is reduced to its distinct values first. A value that holds a
-    large share of the left rows is spread over ``splits`` tasks.
+    The right side is reduced to its distinct values first. Values with more than ``rows`` rows on the left are
+    counted, and each is spread over as many tasks as its count asks for; there is at most one such value in ``rows`` rows.
     """
-    salt = F.pmod(F.xxhash64(spread_on), F.lit(splits)).cast("int")
-    wanted = right.select(F.col(name).alias("_v")).distinct()
-    copies = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-    wanted = wanted.select("_v", copies.alias("_copy"))
-    salted = left.withColumn("_salt", salt)
+    counted = left.groupBy(F.col(name).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    hot = counted.select("_hot", F.ceil(F.col("_n") / rows).alias("_tasks"))
+    tasks = F.coalesce("_tasks", F.lit(1))
+    wanted = right.select(F.col(name).alias("_v")).distinct().join(hot, F.col("_v").eqNullSafe(F.col("_hot")), "left")
+    wanted = wanted.select("_v", F.explode(F.sequence(F.lit(0).cast("bigint"), tasks - 1)).alias("_copy"))
+    salted = left.join(hot, F.col(name).eqNullSafe(F.col("_hot")), "left")
+    salted = salted.select(*left.columns, F.pmod(F.xxhash64(spread_on), tasks).alias("_salt"))
     same = F.col(name).eqNullSafe(F.col("_v")) & (F.col("_salt") == F.col("_copy"))
     return salted.join(wanted, same, "left_semi").drop("_salt")
 

@@ -7,6 +7,8 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.positions import positions
+
 CORPUS_SCHEMA = "nt string, tbl string, sql array<array<string>>"
 DATASET_SCHEMA = (
     "id string, question string, "
@@ -64,6 +66,18 @@ def load_dataset(spark: SparkSession, path: str, *splits: str) -> DataFrame:
     return data.filter(F.col("split").isin(list(splits))) if splits else data
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder of numbered part files with their place over all of them: (pos, value).
+
+    A file may be read in several pieces; a line's place follows from file name, where its piece starts, and the order in the piece.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_in_piece"),
+    )
+    return positions(lines, [F.col("_file"), F.col("_start"), F.col("_in_piece")]).select("pos", "value")
+
+
 _W_LOCK = threading.Lock()
 
 

@@ -1,6 +1,7 @@
 """Readers, writers, serialisation, permutation invariants and plan texts."""
 
 import json
+import time
 
 import pytest
 from conftest import SMALL
@@ -48,6 +49,52 @@ def test_saved_forms(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).count() == 2
 
 
+def test_lines_keep_their_order(spark, tmp_path):
+    texts = [f"line {i}" if i % 5 else None if i % 2 else f"a\r\nb {i}" for i in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, p string").repartition(9)
+    W.save_lines(df, "p", str(tmp_path / "l"), order=[F.col("id")], parts=5)
+    got = {r["pos"]: r["value"] for r in R.read_lines(spark, str(tmp_path / "l")).collect()}
+    assert [got[i] for i in range(2000)] == ["" if t is None else t.replace("\r\n", " ") for t in texts]
+    parts = sorted((tmp_path / "l").glob("part-*"))
+    assert len(parts) == 5 and "".join(p.read_text() for p in parts).split("\n")[0] == got[0]
+
+
+def test_tables_saved_by_id_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5000)
+        W.save_by_id(rows.select("id", F.lit("q").alias("question")), "saved_questions", str(tmp_path / "q"), 4)
+        W.save_by_id(rows.select("id", (F.col("id") * 2).alias("place"), F.lit("f").alias("lf_p")), "saved_forms", str(tmp_path / "f"), 4)
+        joined = D.attach(spark.table("saved_questions"), spark.table("saved_forms"), order=["place"])
+        kept = D.keep_ids(spark.table("saved_questions"), spark.table("saved_forms"), "id")
+        for df in (joined, kept):
+            assert df.count() == 5000
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS saved_questions")
+        spark.sql("DROP TABLE IF EXISTS saved_forms")
+
+
+def test_long_text_is_wired_in_linear_time(spark):
+    """A text of 100,000 tokens: a chain of selections, and a first token that is its own root."""
+    n = 50_000
+    text = "5 ||" + "and ||c1 ||" * n + "c1 ||"
+    df = spark.createDataFrame([(1, text, ["c1"]), (2, "min ||c1 ||max ||c1 ||", ["c1"])], "query_id long, text string, header array<string>")
+    start = time.time()
+    got = X.edges_from_text(df).collect()
+    assert time.time() - start < 60
+    edges = sorted((r["edge"], int(r["child"][1:]), int(r["parent"][1:]), r["place"]) for r in got if r["query_id"] == 1)
+    want = []
+    for i in range(n):  # token 2i + 2 is the i-th ``and``; its second operand is the next one
+        if i:
+            want.append((2 * i + 2, 2 * i, 1))
+        want.append((2 * i + 3, 2 * i + 2, 0))
+    want.append((2 * n + 2, 2 * n, 1))
+    assert edges == [(k, c, p, place) for k, (c, p, place) in enumerate(sorted(want))]
+    assert sorted((r["child"], r["parent"], r["place"]) for r in got if r["query_id"] == 2) == [("n2", "n1", 0), ("n4", "n3", 0)]
+
+
 def test_random_example_is_seeded(spark):
     rows = spark.range(100)
     assert D.random_example(rows, 7).collect() == D.random_example(rows, 7).collect()

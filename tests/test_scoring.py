@@ -1,6 +1,9 @@
 """Golden cases and brute-force checks of normalisation and scores."""
 
 import difflib
+import random
+import time
+from difflib import SequenceMatcher
 
 import pytest
 from conftest import SMALL
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablesteps.catalog import QUERIES
 from tablesteps.functions import scoring as S
+from tablesteps.functions.matching import matched_characters, similarity
 from tablesteps.operators import evaluation as E
 
 
@@ -121,3 +125,53 @@ def test_checkpoint_curve_drops_test_rows(spark):
     df = spark.createDataFrame([("a/checkpoint-2000", 0.5), ("a/checkpoint-1000", 0.5), ("test_checkpoint-1000", 0.9)], "checkpoint string, flexible double")
     assert [r["step"] for r in E.checkpoint_curve(df).collect()] == [1000, 2000]
     assert E.best_checkpoint(df.limit(2)).first()["checkpoint"] == "a/checkpoint-1000"
+
+
+def ratio(a, b):
+    return round(100 * SequenceMatcher(None, a, b).ratio())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc d", max_size=80), st.text(alphabet="abc d", max_size=80))
+def test_matching_blocks_of_random_texts(a, b):
+    assert matched_characters(a, b) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+    assert similarity(a, b) == ratio(a, b)
+
+
+def test_matching_blocks_with_popular_characters():
+    rng = random.Random(4)
+    for size in (3, 40, 150, 400):
+        signs = [chr(0x100 + i) for i in range(size)]
+        for _ in range(12):
+            a, b = ("".join(rng.choice(signs) for _ in range(rng.randrange(150, 600))) for _ in range(2))
+            b = a[: len(a) // 2] + b + a[len(a) // 3 :] if rng.random() < 0.5 else b
+            assert similarity(a, b) == ratio(a, b)
+
+
+def test_long_texts_take_about_linear_time():
+    rng = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(2000)]
+    a = "".join(rng.choice(signs) for _ in range(100_000))
+    b = a[:40_000] + "".join(rng.choice(signs) for _ in range(5000)) + a[42_000:]
+    start = time.time()
+    assert similarity(a, b) == round(100 * 2 * matched_characters(a, b) / (len(a) + len(b))) > 90
+    assert time.time() - start < 60
+
+
+def test_set_of_many_values(spark):
+    items = [str(i % 30_000) for i in range(50_000)] + ["30000.0", "a", "A", None, "30000"]
+    df = spark.createDataFrame([(items,)], "items array<string>").withColumn("n", S.normalize_list(F.col("items")))
+    typed = df.select(S.typed_values(F.col("items"), F.col("n")).alias("v"))
+    start = time.time()
+    keys = typed.select(F.transform(S.as_set(F.col("v")), lambda v: v["key"]).alias("k")).first()["k"]
+    assert time.time() - start < 60
+    assert keys[:2] == ["N:0.0", "N:1.0"] and len(keys) == len(set(keys)) == 30_002
+
+
+@pytest.mark.parametrize("cells, want", [
+    ("1| 2", "[1,2]"), ("1.5| 2", "[1.5,2.0]"), ("007| 1", '["007","1"]'), ("t| f", "[true,false]"), ("1| none", '["1",null]'),
+    ("a,, b| c", '[["a","b"],["c"]]'), ("1,, 2| 3", "[[1.0,2.0],[3.0]]"), ("", "[]"),
+])
+def test_cell_values(spark, cells, want):
+    df = spark.createDataFrame([(cells,)], "c string")
+    assert df.select(F.to_json(S.cell_values(F.col("c"))).alias("v")).first()["v"] == want
