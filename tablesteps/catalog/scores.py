@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import evaluation as E
+from ..session import scratch_folder
+from ..sources.results import finished, score_open
 from .registry import num_sql, query
 
 # Targets and predictions for every part; the variant decides how the prediction differs.
@@ -201,6 +203,17 @@ def score_by_checkpoint(t):
     return _results(t).select("checkpoint", "n", *_rounded())
 
 
+@query("resume_results", _RESULTS_SQL + f" SELECT checkpoint, n, {_ROUNDED} FROM results")
+def resume_results(t):
+    """A run that is stopped after its first checkpoint, and one that goes on from its log."""
+    folder = scratch_folder(t.spark, "results")
+    rows = _pairs(t).withColumn("exact", F.array_join("target", ", ") == F.array_join("prediction", ", "))
+    next(score_open(rows, folder))
+    for _ in score_open(rows, folder):
+        pass
+    return finished(t.spark, folder).select("checkpoint", "n", *_rounded())
+
+
 @query("best_checkpoint", _RESULTS_SQL + f" SELECT checkpoint, n, {_ROUNDED} FROM results ORDER BY results.flexible DESC, checkpoint LIMIT 1")
 def best_checkpoint(t):
     return E.best_checkpoint(_results(t)).select("checkpoint", "n", *_rounded())

@@ -15,6 +15,7 @@ from tablesteps.catalog import QUERIES
 from tablesteps.functions import scoring as S
 from tablesteps.functions.matching import matched_characters, similarity
 from tablesteps.operators import evaluation as E
+from tablesteps.sources import results as R
 
 
 GOLDEN = {
@@ -175,3 +176,23 @@ def test_set_of_many_values(spark):
 def test_cell_values(spark, cells, want):
     df = spark.createDataFrame([(cells,)], "c string")
     assert df.select(F.to_json(S.cell_values(F.col("c"))).alias("v")).first()["v"] == want
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    rows = spark.createDataFrame(
+        [(f"run/checkpoint-{k}", ["a"], ["a" if k != 3 else "zz"], k != 3) for k in range(1, 5) for _ in range(3)],
+        "checkpoint string, target array<string>, prediction array<string>, exact boolean",
+    )
+    assert R.finished(spark, folder).count() == 0
+    run = R.score_open(rows, folder)
+    assert [next(run), next(run)] == ["run/checkpoint-1", "run/checkpoint-2"]
+    run.close()  # stopped in the middle
+    left = tmp_path / "log" / "_temporary" / "0" / "_temporary" / "attempt_1"
+    left.mkdir(parents=True)
+    (left / "part-0.json").write_text('{"checkpoint": "half", "n"')  # what a lost job leaves
+    assert list(R.score_open(rows, folder)) == ["run/checkpoint-3", "run/checkpoint-4"]
+    # A fuzzy score of 0 is not finished.
+    assert list(R.score_open(rows, folder)) == ["run/checkpoint-3"]
+    got = {r["checkpoint"]: (r["n"], r["fuzzy"]) for r in R.finished(spark, folder).collect()}
+    assert got == {f"run/checkpoint-{k}": (3, 0.0 if k == 3 else 100.0) for k in range(1, 5)}
