@@ -210,8 +210,6 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
         F.regexp_extract_all(text, pattern, rule.group).alias("part"),
     )
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    parts = _in_parts(steps)
-    sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -224,14 +222,24 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     def spans_of(part: Column, at: Column) -> Column:
         return F.aggregate(part, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])
 
-    starts = _running(sizes, lambda a, b: a + b)
-    return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(sizes)), spans_of))
+    def size(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+
+    def whole(parts: Column) -> Column:
+        starts = _running(F.transform(parts, size), lambda a, b: a + b)
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), spans_of))
+
+    return let(_in_parts(steps), whole)
 
 
 def _in_parts(items: Column) -> Column:
     """An array as arrays of PART items: what is put together item by item stays short, so long arrays take linear time."""
-    last = F.greatest(F.expr("0"), F.floor((F.size(items) - 1) / PART)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+    def cut(x: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(x) - 1) / PART)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(x, i * PART + 1, F.lit(PART)))
+
+    return let(items, cut)
 
 
 def _running(values: Column, add) -> Column:
