@@ -33,7 +33,7 @@ from .textbytes import U64, Texts, mix, slices
 
 MOST_WORDS = 5
 SHARDS = 4  # scans in a cycle
-SHARES, NAMING = 64, (0, 1, 8, 64)  # shares of a shard, and which of them are looked through together for names
+SHARES, NAMING = 1024, (0, 1, 4, 16, 64, 256, 1024)  # shares of a shard, and which of them are looked through together for names
 NEVER = 255
 #: Exact: products of counts may pass 64 bits.
 SCORE = "(CAST(a AS DECIMAL(19, 0)) * 1000 * n) DIV (CAST(l AS DECIMAL(19, 0)) * r)"
