@@ -155,6 +155,29 @@ def arith_columns(t):
     )
 
 
+@query("arith_lists", on_w(f"""
+WITH l AS (SELECT id, CASE WHEN c4 % 5 = 0 THEN [] WHEN c4 % 5 = 1 THEN [c6, '2', ''] ELSE [CAST(c4 AS VARCHAR), '7.5'] END AS a,
+        CASE WHEN c4 % 7 = 0 THEN [] WHEN c4 % 7 = 1 THEN ['0', '4', '1'] ELSE [CAST(c4 % 3 AS VARCHAR), '2'] END AS b FROM w),
+n AS (SELECT id, list_transform(a, lambda x: CASE WHEN len(list_filter(a, lambda y: y <> '' AND ({num_sql('y')}) IS NULL)) = 0 THEN {num_sql('x')} END) AS a,
+        list_transform(b, lambda x: {num_sql('x')}) AS b FROM l),
+p AS (SELECT id, a, b, unnest(CASE WHEN greatest(len(a), len(b)) = 0 THEN [NULL] ELSE range(greatest(len(a), len(b))) END) AS place FROM n)
+SELECT id, CAST(place AS INTEGER) AS place, round(a[place + 1] - b[place + 1], 2) AS difference, round(a[place + 1] + b[place + 1], 2) AS total,
+       round(CASE WHEN b[place + 1] <> 0 THEN a[place + 1] / b[place + 1] END, 6) AS ratio FROM p"""))
+def arith_lists(t):
+    c4 = F.col("c4")
+    pairs = t.w.select(
+        "id",
+        F.when(c4 % 5 == 0, F.array().cast("array<string>")).when(c4 % 5 == 1, F.array("c6", F.lit("2"), F.lit("")))
+        .otherwise(F.array(c4.cast("string"), F.lit("7.5"))).alias("a"),
+        F.when(c4 % 7 == 0, F.array().cast("array<string>")).when(c4 % 7 == 1, F.array(*map(F.lit, "041")))
+        .otherwise(F.array((c4 % 3).cast("string"), F.lit("2"))).alias("b"),
+    )
+    values = S.list_arithmetic("a", "b", difference="-", total="+", ratio="/")
+    return pairs.select("id", F.posexplode_outer(values).alias("place", "v")).select(
+        "id", "place", F.round("v.difference", 2).alias("difference"), F.round("v.total", 2).alias("total"), F.round("v.ratio", 6).alias("ratio")
+    )
+
+
 @query("arith_three", "SELECT l_orderkey, l_linenumber, round(l_quantity + l_discount - l_tax, 2) AS answer FROM lineitem")
 def arith_three(t):
     total = F.col("l_quantity") + F.col("l_discount") - F.col("l_tax")

@@ -6,6 +6,7 @@ from ..operators import datasets as D
 from ..operators.positions import positions
 from ..session import scratch_folder
 from ..sources import readers as R
+from ..sources.json_arrays import save_json_array
 from ..sources.writers import save_lines
 from .registry import on_w, query
 
@@ -41,6 +42,21 @@ def corpus_sql_text(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), R.sql_text(tokens).alias("sql"))
 
 
+@query("corpus_json_array", r"""
+SELECT concat('nt-', o_orderkey, ' {"\}', o_orderpriority) AS nt, concat('t', o_custkey) AS tbl,
+       concat('select c1 from w where c5 = ', o_orderstatus, '} "', chr(10)) AS sql FROM orders""")
+def corpus_json_array(t):
+    """A corpus written as JSON arrays and read back by byte ranges."""
+    folder = scratch_folder(t.spark, "corpus")
+    words = [F.array(F.lit("Keyword"), F.lit(w)) for w in "select c1 from w where c5 =".split()]
+    literal = F.array(F.lit("Literal.String"), F.concat("o_orderstatus", F.lit('} "\n')))
+    save_json_array(t.orders.select(
+        F.concat(F.lit("nt-"), "o_orderkey", F.lit(' {"\\}'), "o_orderpriority").alias("nt"),
+        F.concat(F.lit("t"), "o_custkey").alias("tbl"), F.array(*words, literal).alias("sql"),
+    ), folder)
+    return R.read_corpus(t.spark, folder)
+
+
 @query("tsv_targets", r"""
 SELECT o_orderkey AS id, concat(o_orderpriority, chr(10), 'x') AS first, concat(o_orderstatus, '|', chr(92)) AS second,
        CAST(2 AS BIGINT) AS n, CAST(o_custkey AS VARCHAR) AS canon

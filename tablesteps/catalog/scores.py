@@ -277,6 +277,26 @@ def render_answer(t):
     )
 
 
+@query("render_nested_answer", """
+WITH r AS (SELECT o_orderkey AS id, CASE o_custkey % 6
+   WHEN 0 THEN [CAST(o_custkey AS VARCHAR), concat(o_custkey, '.5'), o_orderstatus] WHEN 1 THEN ['True', 'False', 'None', o_orderpriority]
+   WHEN 2 THEN [o_orderstatus] WHEN 3 THEN [] WHEN 4 THEN [concat(o_custkey, '.0')] ELSE ['1', 'True', '1'] END AS items FROM orders)
+SELECT id, array_to_string(items, ' | ') AS answer, CAST(len(items) AS BIGINT) AS n FROM r""")
+def render_nested_answer(t):
+    """Answers as values, lists and lists of lists, as an executed plan gives them."""
+    variant, cust = F.col("o_custkey") % 6, F.col("o_custkey")
+    nested = (
+        F.when(variant == 0, F.concat(F.lit("[["), cust, F.lit(", [["), cust, F.lit('.5]]], "'), "o_orderstatus", F.lit('"]')))
+        .when(variant == 1, F.concat(F.lit('[true, [false, [null]], ["'), "o_orderpriority", F.lit('"]]')))
+        .when(variant == 2, F.concat(F.lit('[["'), "o_orderstatus", F.lit('"], "'), "o_orderstatus", F.lit('"]')))
+        .when(variant == 3, F.lit("[[], [[]]]"))
+        .when(variant == 4, F.concat(cust, F.lit("e0")))
+        .otherwise(F.lit("[1, [true, 1]]"))
+    )
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), S.render_values(F.parse_json(nested)).alias("items"))
+    return rows.select("id", F.array_join("items", " | ").alias("answer"), F.size("items").cast("bigint").alias("n"))
+
+
 @query("eval_agg_string", """
 SELECT o_orderkey AS id, CASE o_custkey % 7
    WHEN 0 THEN CAST(o_custkey + 2 AS VARCHAR) WHEN 1 THEN CAST((o_custkey + 2) / 2 AS VARCHAR) WHEN 2 THEN '2'

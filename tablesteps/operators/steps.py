@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import as_number, compare_values, null_false
+from ..functions.values import as_number, compare_values, null_false, num
 from .positions import positions
 
 # ---- selection and comparison -------------------------------------------------
@@ -120,9 +120,29 @@ def scalar_diff(
 def add_columns(df: DataFrame, left: str, op: str, right: str) -> Column:
     """Two columns combined as numbers; bad texts and division by zero are null."""
     a, b = as_number(df, left), as_number(df, right)
+    return _combined(a, op, b)
+
+
+def _combined(a: Column, op: str, b: Column) -> Column:
     return {"+": lambda: a + b, "-": lambda: a - b, "/": lambda: F.try_divide(a, b)}[op]()
 
 
+def list_numbers(items: Column) -> Column:
+    """A list of texts as numbers, if every item is one, empty or null; otherwise nulls in all places."""
+    numeric = F.forall(items, lambda c: c.isNull() | (c == "") | num(c).isNotNull())
+    return F.transform(items, lambda c: F.when(numeric, num(c)))
+
+
+def list_arithmetic(left: str, right: str, **signs: str) -> Column:
+    """Two columns of lists of texts combined place by place: a list of structs with one field per named sign.
+
+    Lists of a row pair by place; where one is shorter, null or no list of numbers, the answer is null. Exploded with
+    ``posexplode_outer``, two empty or null lists keep one row without place or answer.
+    """
+    a, b = (list_numbers(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in (left, right))
+    return F.zip_with(a, b, lambda x, y: F.struct(*[_combined(x, sign, y).alias(name) for name, sign in signs.items()]))
+
+
 # ---- aggregation and grouping -------------------------------------------------
 
 

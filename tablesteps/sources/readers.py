@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.positions import positions
+from .json_arrays import read_json_array
 
 CORPUS_SCHEMA = "nt string, tbl string, sql array<array<string>>"
 DATASET_SCHEMA = (
@@ -44,8 +45,8 @@ def sql_text(tokens: Column) -> Column:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Query corpus: one JSON array of questions with table id and query tokens."""
-    rows = spark.read.schema(CORPUS_SCHEMA).json(path, multiLine=True)
+    """Query corpus: JSON arrays of questions with table id and query tokens, each file read by as many tasks as its size asks for."""
+    rows = read_json_array(spark, path, CORPUS_SCHEMA)
     return rows.withColumn("sql", sql_text(F.col("sql")))
 
 

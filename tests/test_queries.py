@@ -9,7 +9,7 @@ from tablesteps.catalog import ORACLES, QUERIES
 # Text normalisation and matching-block similarity are the only steps outside the JVM.
 PYTHON_QUERIES = {
     "normalize_answer", "typed_value_set", "score_strict", "score_flexible", "score_fuzzy", "score_by_checkpoint",
-    "best_checkpoint", "checkpoint_curve", "permuted_or_original",
+    "best_checkpoint", "checkpoint_curve", "permuted_or_original", "render_nested_answer",
 }
 
 

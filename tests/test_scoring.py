@@ -196,3 +196,14 @@ def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
     assert list(R.score_open(rows, folder)) == ["run/checkpoint-3"]
     got = {r["checkpoint"]: (r["n"], r["fuzzy"]) for r in R.finished(spark, folder).collect()}
     assert got == {f"run/checkpoint-{k}": (3, 0.0 if k == 3 else 100.0) for k in range(1, 5)}
+
+
+def test_nested_answers_are_opened(spark):
+    deep = "[" * 400 + '"x"' + "]" * 400
+    cases = {
+        '"a"': ["a"], "3": ["3"], "2.0e0": ["2.0"], "true": ["True"], "[null, [null]]": ["None"], "[]": [], '[["b"], [["a", 1]]]': ["b", "a", "1"],
+        '[1, 1.0e0]': ["1", "1.0"], '[{"k": [1]}, 0]': ['{"k": [1]}', "0"], deep: ["x"], '["ü", ["ü"]]': ["ü"], None: None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    got = df.select("s", S.render_values(F.parse_json("s")).alias("r")).collect()
+    assert {r.s: r.r for r in got} == cases

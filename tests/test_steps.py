@@ -182,3 +182,16 @@ def test_record_text(spark, batch):
     texts = batch[0].select("query_id", R.record_text(F.col("agg"), F.col("sel"), F.col("conds")).alias("t"))
     got = {r["query_id"]: r["t"] for r in texts.collect()}
     assert got[1] == 'SELECT  col0 FROM table WHERE col0 = "ANN"' and got[2] == "SELECT MAX col0 FROM table"
+
+
+def test_list_arithmetic(spark):
+    rows = [
+        (1, ["1", "2.5", None], ["2", "0", "3"]), (2, ["1", "x"], ["1", "1"]), (3, ["4", ""], ["2"]), (4, [], []), (5, None, ["1"]), (6, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    values = S.list_arithmetic("a", "b", d="-", q="/")
+    got = df.select("id", F.posexplode_outer(values).alias("place", "v")).select("id", "place", "v.d", "v.q").orderBy("id", "place").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 0, -1.0, 0.5), (1, 1, 2.5, None), (1, 2, None, None), (2, 0, None, None), (2, 1, None, None),
+        (3, 0, 2.0, 2.0), (3, 1, None, None), (4, None, None, None), (5, 0, None, None), (6, None, None, None),
+    ]
