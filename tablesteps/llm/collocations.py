@@ -34,6 +34,8 @@ from .textbytes import U64, Texts, mix, slices
 MOST_WORDS = 5
 SHARDS = 4  # scans in a cycle
 SHARES, NAMING = 1024, (0, 1, 4, 16, 64, 256, 1024)  # shares of a shard, and which of them are looked through together for names
+#: Rows next to each other get shares far apart (an odd step, about the golden section of SHARES), so a run of copies is met early.
+STRIDE = 633
 NEVER = 255
 #: Exact: products of counts may pass 64 bits.
 SCORE = "(CAST(a AS DECIMAL(19, 0)) * 1000 * n) DIV (CAST(l AS DECIMAL(19, 0)) * r)"
@@ -202,7 +204,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, shards: int = SHARDS) ->
     # Rows are dealt in turn, so copies of a text do not meet in one shard.
     turn = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = docs.select("lang", "text", turn.alias("turn"))
-    dealt = dealt.select("lang", "text", F.expr(f"cast(turn div {shards} % {SHARES} as int)").alias("share"), (F.col("turn") % shards).cast("int").alias("shard"))
+    dealt = dealt.select("lang", "text", F.expr(f"cast(turn % {SHARES} * {STRIDE} % {SHARES} as int)").alias("share"), (F.col("turn") % shards).cast("int").alias("shard"))
     dealt.write.partitionBy("shard").parquet(f"{home}/texts")
     texts = spark.read.schema("lang string, text string, share int, shard int").parquet(f"{home}/texts")
 
