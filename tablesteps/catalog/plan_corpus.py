@@ -134,7 +134,7 @@ def plan_exec_status(t):
 
 @query("plan_residual", _sql(_STATUS_SQL, "SELECT query_id, omega, count(*) FILTER (WHERE status <> '1') AS tokens FROM status GROUP BY ALL"))
 def plan_residual(t):
-    return G.residual(G.exec_status(*_plans(t)))
+    return G.residuals(*_plans(t))
 
 
 @query("plan_merge_equal", _sql(_STATUS_SQL, """

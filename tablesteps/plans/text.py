@@ -7,14 +7,15 @@ operators and one of finished results, with `` |||`` between them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import let, null_false
 from ..operators.datasets import SUBSETS
-from .graph import Plan, per_plan
+from .graph import Largest, Plan, Sorted, Text, per_plan
 
 # The words of each operator kind.
 COMPARISONS = [">", ">=", "<=", "<", "=", "!=", "in", "is", "intersect", "union", ","]
@@ -146,43 +147,54 @@ def render_groups(groups: Column) -> Column:
     return F.lower(F.array_join(inner, "| ", "none"))
 
 
-def _plain(plan: Plan, status: dict[str, str], preorder: bool) -> str:
+def _joined(parts: Iterable[str | int]) -> Text:
+    """Neighbouring texts put together."""
+    out: list[str | int] = []
+    for own, run in groupby(parts, lambda p: isinstance(p, str)):
+        out += ["".join(run)] if own else run
+    return Text(tuple(out))
+
+
+def _plain(plan: Plan, status: dict[str, str], preorder: bool) -> Text | Sorted:
     """A shared node is written once per use, so its text is put together once and used again."""
-    written: dict[str, str] = {}
+    written: dict[str, tuple[str | int, ...]] = {}
     for node in plan.order:
         _, _, parameter, result = plan.nodes[node]
         text = result if status[node] == "last" else parameter
-        own = f"{text} ||" if status[node] != "1" and text is not None else ""
+        own = (text, " ||") if status[node] != "1" and text is not None else ()
         below = [written[c] for c in plan.operands[node]]
-        written[node] = own + "".join(below) if preorder else "".join(below[::-1]) + own
-    tops = [written[n] for n in plan.order if not plan.consumers[n]]
-    return "".join(sorted(tops, reverse=not preorder))
+        whole = (own, *below) if preorder else (*below[::-1], own)
+        written[node] = tuple(chain.from_iterable(whole))
+    tops = [_joined(written[n]) for n in plan.order if not plan.consumers[n]]
+    return tops[0] if len(tops) == 1 else Sorted(tuple(tops), not preorder)
 
 
-def _aliased(plan: Plan, status: dict[str, str], preorder: bool, results_first: bool) -> str:
+def _aliased(plan: Plan, status: dict[str, str], preorder: bool, results_first: bool) -> Text | Largest:
     """A shared node, and nodes with equal results, are written once, at their first place."""
     shared = plan.shared(status)
-    lines: dict[tuple[str, str], str] = {}
-    only = ""
+    lines: dict[tuple[str, str], list[str | int]] = {}
+    only: dict[int, None] = {}
     for node in plan.visits(preorder):
         if status[node] == "1":
             continue
         name = shared.get(node, node)
         _, _, parameter, result = plan.nodes[node]
         if status[node] == "last":
-            only = max(only, result or "")
+            if result is not None:
+                only[result] = None
             parts = [name, result, "||"]
         else:
             held = sorted(
                 (place or 0, shared.get(c, c)) for place, c in plan.places[node] if status[c] != "1"
             )
             parts = [name, parameter, " ".join(c for _, c in held), "||"]
-        lines.setdefault((status[node], name), " ".join(x for x in parts if x is not None))
-    operators = "".join(x for (s, _), x in lines.items() if s == "0")
-    results = "".join(x for (s, _), x in lines.items() if s == "last")
+        line = [x for p in parts if p is not None for x in (" ", p)]
+        lines.setdefault((status[node], name), line[1:])
+    operators = [x for (s, _), line in lines.items() if s == "0" for x in line]
+    results = [x for (s, _), line in lines.items() if s == "last" for x in line]
     if not any(s == "0" for s, _ in lines):
-        return f"{only} ||"
-    return f"{results}|{operators}" if results_first else f"{operators}|{results}"
+        return Largest(tuple(only), " ||") if len(only) > 1 else _joined([*only, " ||"])
+    return _joined([*results, "|", *operators] if results_first else [*operators, "|", *results])
 
 
 def to_text(
@@ -207,4 +219,4 @@ def to_text(
             out.append((omega, _plain(plan, status, first) if alias is None else _aliased(plan, status, first, alias == "start")))
         return out
 
-    return per_plan(nodes, edges, "omega string, text string", rows)
+    return per_plan(nodes, edges, "omega string, text string", rows, ["parameter", "result"])

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -266,3 +267,47 @@ def test_operands_beyond_ten_thousand_keep_their_order(spark):
     )
     text = X.to_text(nodes, edges, subsets={"x": []}).first()["text"]
     assert text == "top ||" + "".join(f"c{i} ||" for i in range(10_050))
+
+
+def test_plans_wired_alike_are_walked_once():
+    walked = []
+
+    def rows(plan):
+        walked.append(list(plan.nodes))
+        return [("x", X._aliased(plan, plan.status(plan.masks(), ["P"]), True, True))]
+
+    table = {"query_id": [], "_table": [], "_a": [], "_b": [], "_place": [], "_c": [], "_d": []}
+    # Two leaves under a sum: their results are equal in every tenth plan, and the first one's is missing in the last plan.
+    for q in range(100):
+        left, right = None if q == 99 else f"r{q}", f"r{q}" if q % 10 == 0 else f"s{q}"
+        lines = [(0, "a", "OP", None, f"+ {q}", "r"), (0, "b", "P", None, "c1", left), (0, "c", "P", None, "c2", right),
+                 (1, "b", "a", 0, None, None), (1, "c", "a", 1, None, None)]
+        for line in lines:
+            for column, value in zip(table, (q, *line)):
+                table[column].append(value)
+    types = [pa.int64(), pa.int8(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    batch = pa.table({c: pa.array(v, t) for (c, v), t in zip(table.items(), types)})
+    found = {}
+    for ids, _, texts in G._Walks(rows, [pa.string(), pa.string()], True).fill(batch):
+        found |= dict(zip(ids.to_pylist(), texts.to_pylist()))
+    assert len(walked) == 3
+    assert found[1] == "b r1 ||c s1 |||a + 1 b c ||" and found[10] == "b r10 |||a + 10 b b ||"
+    assert found[99] == "b ||c s99 |||a + 99 b c ||" and len(found) == 100
+
+
+def test_residuals_are_those_of_the_status(spark):
+    nodes, edges = _tables(spark, [(1, "a"), (1, "b"), (2, "a")], [(1, "b", "a", 0), (3, "p", "q", 0)])
+    want = {tuple(r) for r in G.residual(G.exec_status(nodes, edges)).select("query_id", "omega", "tokens").collect()}
+    assert {tuple(r) for r in G.residuals(nodes, edges).collect()} == want
+
+
+def test_a_plan_goes_on_over_batches(spark):
+    nodes, edges = _tables(spark, [(q, n) for q in range(50) for n in "abc"], [(q, n, "a", i) for q in range(50) for i, n in enumerate("bc")])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        texts = {r["query_id"]: r["text"] for r in X.to_text(nodes, edges, subsets={"x": []}).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert texts == dict.fromkeys(range(50), "a ||b ||c ||")
