@@ -14,13 +14,18 @@ KINDS = ["P", "C", "S", "GB", "H", "OB", "A", "OP", "L"]
 METRICS = ["exact", "fuzzy", "strict", "flexible"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly. Answers are short and their scores dear: a file small enough for one task of a scan is work for many."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_typed_sets(df: DataFrame, target: str = "target", predicted: str = "prediction") -> DataFrame:
     """Add the typed value sets of both answer lists as ``_target`` and ``_predicted``.
 
-    Both normalisations run in one Python pass; the typed values are kept as
+    The rows are spread first. Both normalisations run in one Python pass; the typed values are kept as
     columns, so every score reads them without computing them again.
     """
-    normal = df.withColumns({"_tn": S.normalize_list(F.col(target)), "_pn": S.normalize_list(F.col(predicted))})
+    normal = spread(df).withColumns({"_tn": S.normalize_list(F.col(target)), "_pn": S.normalize_list(F.col(predicted))})
     typed = normal.withColumns({
         "_target": S.typed_values(F.col(target), F.col("_tn")),
         "_predicted": S.typed_values(F.col(predicted), F.col("_pn")),

@@ -207,3 +207,10 @@ def test_nested_answers_are_opened(spark):
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = df.select("s", S.render_values(F.parse_json("s")).alias("r")).collect()
     assert {r.s: r.r for r in got} == cases
+
+
+def test_scores_of_one_file_are_the_work_of_many_tasks(spark):
+    rows = [(i, f"run/checkpoint-{i % 2}", [f"river {i}"], [f"rivers {i}"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, checkpoint string, target array<string>, prediction array<string>").coalesce(1)
+    tasks = E.scored(df).select(F.spark_partition_id().alias("task"), "fuzzy").groupBy("task").count().collect()
+    assert len(tasks) > spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) < 100
