@@ -7,10 +7,11 @@ operators and one of finished results, with `` |||`` between them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from itertools import chain, groupby
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import let, null_false
@@ -76,44 +77,57 @@ def edges_from_text(df: DataFrame, order: str = "preorder", text: str = "text",
     """Edges of prefix (or reversed postfix) texts: (query_id, edge, child, parent, place).
 
     Nodes are named ``n1``, ``n2``, … in prefix order. A token opens a place for each of its operands and
-    fills the place opened last, if any is open; without one it is a further root. With ``depth`` the number of places open, a token
-    with k operands opens those numbered depth - k + 1 to depth, and a token fills the one numbered as
-    the depth before it. Places of one number are opened and filled in turn, so a token's parent is the token that
-    opened that number last: bracket matching by running sums, linear in the tokens of a text.
+    fills the place opened last, if any is open; without one it is a further root. A text is one cell, so it is wired in the
+    task that reads it, linear in its tokens: nothing is shuffled, and a task holds the edges of one part of a batch.
     """
     parts = split_tokens(F.col(text))
     parts = F.reverse(parts) if order == "postorder" else parts
     counts = F.transform(parts, lambda t: classify(t, F.col(header))["operands"])
-    counted = df.select("query_id", F.monotonically_increasing_id().alias("_row"), counts.alias("_counts"))
-    counted = counted.select("query_id", "_row", F.posexplode("_counts").alias("pos", "k"))
-    so_far = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    summed = counted.withColumn("_sum", F.sum(F.col("k") - 1).over(so_far))
-    # A root fills no place: there is one more whenever the sum falls to a new low.
-    lowest = F.least(F.coalesce(F.min("_sum").over(before), F.lit(0)), F.lit(0))
-    depths = summed.withColumn("_roots", 1 - lowest).withColumn("_depth", F.col("_sum") + F.col("_roots"))
-    filled = F.col("_depth") - F.col("k") + 1  # the number of the place a token fills; a root fills none
-    is_root = F.lag("_roots", 1, 0).over(Window.partitionBy("_row").orderBy("pos")) < F.col("_roots")
-    depths = depths.withColumn("_root", is_root)
-    opened = F.transform(
-        F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda place: F.struct((F.col("_depth") - place).alias("number"), F.lit(True).alias("opens"), place.alias("place")),
-    )
-    fills = F.array(F.struct(filled.alias("number"), F.lit(False).alias("opens"), F.lit(None).cast("int").alias("place")))
-    events = depths.select(
-        "query_id", "_row", "pos", "_roots", F.explode(F.concat(F.when(~F.col("_root"), fills).otherwise(F.array().cast("array<struct<number:bigint,opens:boolean,place:int>>")), opened)).alias("e")
-    ).select("query_id", "_row", "pos", "_roots", "e.*")
-    # A token fills a place before it opens one of the same number.
-    turn = Window.partitionBy("_row", "number").orderBy("pos", "opens")
-    wired = events.withColumns({"_parent": F.lag("pos").over(turn), "_place": F.lag("place").over(turn)}).filter("NOT opens")
-
-    def name(pos: Column) -> Column:
-        return F.concat(F.lit("n"), (pos + 1).cast("string"))
-
-    return wired.select(
-        "query_id", (F.col("pos") - F.col("_roots")).cast("int").alias("edge"), name(F.col("pos")).alias("child"),
-        name(F.col("_parent")).alias("parent"), F.col("_place").alias("place"),
-    )
+    kind = df.schema["query_id"].dataType.simpleString()
+    return df.select("query_id", counts.alias("_counts")).mapInArrow(_wired, f"query_id {kind}, edge int, child string, parent string, place int")
+
+
+_ROWS = 1 << 16  # edges after which a part of a batch ends, and the length of the table of names
+
+
+def _wired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = pa.array([f"n{i + 1}" for i in range(_ROWS)])
+
+    def name(at: list[int]) -> pa.Array:
+        if max(at) < _ROWS:
+            return names.take(pa.array(at, pa.int32()))
+        return pa.array([f"n{i + 1}" for i in at])
+
+    def ready(ids: pa.Array, rows: list[int], edges: list[int], children: list[int], parents: list[int], places: list[int]) -> pa.RecordBatch:
+        columns = [
+            ids.take(pa.array(rows, pa.int32())), pa.array(edges, pa.int32()), name(children), name(parents), pa.array(places, pa.int32())
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "edge", "child", "parent", "place"])
+
+    for batch in batches:
+        ids, lists = batch.columns
+        out: tuple[list[int], ...] = ([], [], [], [], [])
+        for row in range(len(lists)):
+            counts = lists[row].as_py()
+            rows, edges, children, parents, places = out
+            open_places: list[tuple[int, int]] = []
+            edge = 0
+            for child, count in enumerate(counts or ()):
+                if open_places:
+                    parent, place = open_places.pop()
+                    rows.append(row)
+                    edges.append(edge)
+                    children.append(child)
+                    parents.append(parent)
+                    places.append(place)
+                    edge += 1
+                for place in reversed(range(count)):
+                    open_places.append((child, place))
+            if len(rows) >= _ROWS:
+                yield ready(ids, *out)
+                out = ([], [], [], [], [])
+        if out[0]:
+            yield ready(ids, *out)
 
 
 def edges_from_alias(df: DataFrame, operands_first: bool = False, text: str = "text") -> DataFrame:

@@ -311,3 +311,17 @@ def test_a_plan_goes_on_over_batches(spark):
     finally:
         spark.conf.set(size, before)
     assert texts == dict.fromkeys(range(50), "a ||b ||c ||")
+
+
+def test_texts_are_wired_without_a_shuffle(spark):
+    texts = [(1, "c1 ||where ||c2 ||= a ||where ||c1 ||c2 ||c1 ||"), (2, None), (None, "where ||"), (4, ""), (5, "gb ||" * 70_000 + "c1 ||")]
+    df = spark.createDataFrame(texts, "query_id long, text string").withColumn("header", F.array(F.lit("c1"), F.lit("c2")))
+    found = X.edges_from_text(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.orderBy("query_id", "edge").collect()
+    # Two further roots: the first token, and the last one, as all places are filled by then.
+    assert [tuple(r) for r in rows if r["query_id"] == 1] == [
+        (1, 0, "n3", "n2", 0), (1, 1, "n4", "n2", 1), (1, 2, "n5", "n4", 0), (1, 3, "n6", "n5", 0), (1, 4, "n7", "n5", 1),
+    ]
+    deep = [tuple(r) for r in rows if r["query_id"] == 5]
+    assert deep == [(5, i, f"n{i + 2}", f"n{i + 1}", 0) for i in range(70_000)] and len(rows) == len(deep) + 5
