@@ -9,8 +9,12 @@ range then tells which of the two holds. No task reads more than its range, apar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,28 +33,53 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
     return spark.read.text(path, lineSep="}").select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
         (F.size(stretches) - 1).alias("_quotes"), opened(0).alias("_out"), opened(1).alias("_in"),
     )
 
 
-def _depths(pieces: DataFrame) -> DataFrame:
-    """Per piece the state of its end, counted from the start of its range: in a text or not, and the depth for either start."""
-    until = Window.partitionBy(*_RANGE).orderBy("_at")
-    quotes = F.sum("_quotes").over(until)
-    ends = pieces.withColumn("_odd", quotes % 2).withColumn("_odd_before", (quotes - F.col("_quotes")) % 2)
-
-    def change(inside: int) -> Column:
-        opened = F.when(F.col("_odd_before") == inside, F.col("_out")).otherwise(F.col("_in"))
-        return opened - F.when(F.col("_odd") == inside, 1).otherwise(0)
-
-    return ends.withColumns({"_depth0": F.sum(change(0)).over(until), "_depth1": F.sum(change(1)).over(until)})
-
-
-def _range_starts(depths: DataFrame) -> DataFrame:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Neighbouring pieces of one range, in order: the range, the pieces, and for each piece's end whether it lies in a text (0, 1)
+    and its two depths, all counted from the start of the range, the depths for a start outside and inside a text."""
+    at, odd, deep = None, 0, [0, 0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, start = batch["_file"], batch["_start"]
+        new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))
+        cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for low, high in pairwise(cuts):
+            part = batch.slice(low, high - low)
+            here = (part["_file"][0].as_py(), part["_start"][0].as_py())
+            if here != at:
+                at, odd, deep = here, 0, [0, 0]
+            quotes, out, within = (part[c].to_numpy().astype("int64") for c in ("_quotes", "_out", "_in"))
+            sums = odd + np.cumsum(quotes)
+            odds, before = sums % 2, (sums - quotes) % 2
+            depths = np.stack([
+                deep[i] + np.cumsum(np.where(before == i, out, within) - (odds == i)) for i in (0, 1)
+            ])
+            odd, deep = int(odds[-1]), depths[:, -1].tolist()
+            yield at, part, odds, depths
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state at the end of every range."""
+    def row(at: tuple[str, int], state: list[int]) -> pa.RecordBatch:
+        types = [pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*at, *state), types)], [*_RANGE, "_odd", "_depth0", "_depth1"])
+
+    last, state = None, []
+    for at, _, odds, depths in _stretches(batches):
+        if last is not None and at != last:
+            yield row(last, state)
+        last, state = at, [int(odds[-1]), int(depths[0, -1]), int(depths[1, -1])]
+    if last is not None:
+        yield row(last, state)
+
+
+def _range_starts(pieces: DataFrame) -> DataFrame:
     """One row per byte range: whether it starts in a text, and how deep."""
-    last = F.max_by(F.struct("_odd", "_depth0", "_depth1"), "_at")
-    ranges = depths.groupBy(*_RANGE).agg(last.alias("l")).select(*_RANGE, "l.*")
+    ranges = pieces.drop("value").mapInArrow(_summed, "_file string, _start long, _odd long, _depth0 long, _depth1 long")
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2
     ranges = ranges.withColumn("_inside", inside)
@@ -58,30 +87,70 @@ def _range_starts(depths: DataFrame) -> DataFrame:
     return ranges.select(*_RANGE, "_inside", F.coalesce(F.sum(change).over(before), F.lit(0)).alias("_depth"))
 
 
-def _is_end() -> Column:
-    depth = F.col("_depth") + F.when(F.col("_inside") == 1, F.col("_depth1")).otherwise(F.col("_depth0"))
-    return ((F.col("_odd") + F.col("_inside")) % 2 == 0) & (depth == 0)
+def _assembled(whole: bool):
+    """Either the records that begin and end in a range, or what a range holds of others: the text up to the first end
+    (``_ends`` is 1) and the text after the last one (0). A range without an end is one such text."""
+    names = ["value"] if whole else [*_RANGE, "_part", "_ends", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rest, first = None, [], True
+
+        def edge(part: int, ends: int) -> pa.RecordBatch:
+            arrays = [[at[0]], [at[1]], [part], [ends], ["}".join(rest)]]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, types)], names)
+
+        for here, part, odds, depths in _stretches(batches):
+            if here != at:
+                if rest and not whole:
+                    yield edge(1, 0)
+                at, rest, first = here, [], True
+            inside, depth = part["_inside"][0].as_py(), part["_depth"][0].as_py()
+            ends = np.flatnonzero(((odds + inside) % 2 == 0) & (depth + depths[inside] == 0)).tolist()
+            values = part["value"]
+            done, low = [], 0
+            if not whole and ends and not first:  # only what follows the last end can be of another record
+                rest, low = [], ends[-1] + 1
+                ends = []
+            for end in ends:
+                if first:
+                    rest += values[low:end + 1].to_pylist()
+                    if not whole:
+                        yield edge(0, 1)
+                    rest, first, low = [], False, end + 1
+                    if not whole:
+                        low = ends[-1] + 1
+                        break
+                else:
+                    done.append("}".join([*rest, *values[low:end + 1].to_pylist()]) if rest or end > low else values[low].as_py())
+                    rest, low = [], end + 1
+            rest += values[low:].to_pylist()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names)
+        if rest and not whole:
+            yield edge(1, 0)
+
+    return run
 
 
 def record_texts(spark: SparkSession, path: str) -> DataFrame:
     """The text of every object of the JSON arrays at ``path`` (UTF-8): (value).
 
     Objects may hold others, and braces in their texts. Elements that are no objects are passed over; a file that is one object, or
-    objects one after the other, is read as well. A file without an object, or an empty one, gives no row.
+    objects one after the other, is read as well. A file without an object, or an empty one, gives no row. A range is walked in the
+    task that reads it, a batch and a record at a time; only the two ends of a range are shuffled.
     """
-    depths = _depths(_pieces(spark, path))
-    known = depths.join(_range_starts(depths).hint("merge"), _RANGE)
-    within = Window.partitionBy(*_RANGE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = known.withColumn("_nth", F.coalesce(F.sum(_is_end().cast("int")).over(within), F.lit(0)))
+    pieces = _pieces(spark, path)
+    known = pieces.join(F.broadcast(_range_starts(pieces)), _RANGE)
+    inner = known.mapInArrow(_assembled(True), "value string")
+    edges = known.mapInArrow(_assembled(False), "_file string, _start long, _part int, _ends int, value string")
     # What follows the last end of a range belongs to the first record that ends in a later range.
-    ends = known.groupBy(*_RANGE).agg(F.sum(_is_end().cast("int")).alias("_ends"))
-    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ends.select(*_RANGE, F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("_offset"))
-    numbered = numbered.join(offsets.hint("merge"), _RANGE)
-    record = (F.col("_offset") + F.col("_nth")).alias("_record")
-    parts = numbered.groupBy("_file", record).agg(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))).alias("p"))
-    whole = F.concat(F.array_join(F.col("p.value"), "}"), F.lit("}"))
-    return parts.select(F.regexp_extract(whole, r"(?s)\{.*", 0).alias("value")).filter(F.col("value") != "")
+    before = Window.partitionBy("_file").orderBy("_start", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = edges.withColumn("_record", F.coalesce(F.sum("_ends").over(before), F.lit(0)))
+    parts = numbered.groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_start", "_part", "value"))).alias("p"))
+    joined = inner.unionByName(parts.select(F.array_join(F.col("p.value"), "}").alias("value")))
+    whole = F.concat("value", F.lit("}"))
+    return joined.select(F.regexp_extract(whole, r"(?s)\{.*", 0).alias("value")).filter(F.col("value") != "")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

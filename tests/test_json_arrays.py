@@ -68,3 +68,12 @@ def test_written_arrays_come_back(spark, tmp_path):
     assert sorted(map(tuple, read_json_array(spark, str(tmp_path / "out"), "i int, s string, n string").collect())) == rows
     save_json_array(df.filter("i < 0"), str(tmp_path / "none"))
     assert read_json_array(spark, str(tmp_path / "none"), "i int").count() == 0
+
+
+def test_only_the_ends_of_ranges_are_sorted(spark, tmp_path, small_ranges):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps([{"a": i, "in": {"b": "}"}} for i in range(200)]))
+    found = record_texts(spark, str(path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "_quotes" not in "".join(line for line in plan.splitlines() if "Sort " in line)
+    assert sorted(json.loads(r.value)["a"] for r in found.collect()) == list(range(200))
