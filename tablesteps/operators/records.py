@@ -91,8 +91,10 @@ def _named(records: DataFrame) -> DataFrame:
 def selected_cells(named: DataFrame, rows: DataFrame) -> DataFrame:
     """(list_id, sel, row_id, cell): the selected cells of the rows that a condition list of some record admits.
 
-    Records that share table, conditions and column share these lines.
+    Records that share table, conditions and column share these lines. The rows are spread first: one has a line per list it meets,
+    and a task sorts the lines of its rows to sum them up, so a file small enough for one task of a scan would fill one task's memory.
     """
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "table_id", "row_id")
     met = matches(condition_lists(named, _literal), typed_rows(rows), _satisfies)
     return met.select(
         "list_id", "row_id", F.explode(F.transform("sels", lambda s: F.struct(s.alias("sel"), F.get("cells", s).alias("cell")))).alias("c")

@@ -127,3 +127,12 @@ def test_token_keys_sort_like_lists(spark, lists):
     for i, a in enumerate(lists):
         for j, b in enumerate(lists):
             assert (keys[i] < keys[j]) == (a < b) and (keys[i] == keys[j]) == (a == b)
+
+
+def test_lines_of_one_file_are_many_tasks(spark):
+    rows = spark.range(0, 4000, 1, 1).select(
+        F.lit(1).alias("table_id"), F.col("id").alias("row_id"), F.array(F.col("id").cast("string")).alias("cells"), F.array(F.lit("real")).alias("types")
+    )
+    records = spark.createDataFrame([(1, 1, 0, 0, [])], "query_id long, table_id int, sel int, agg int, conds array<struct<col:int,op:int,val:string>>")
+    tasks = R.answers(records, rows).groupBy(F.col("row_id")).count().count(), R.selected_cells(R._named(records), rows).groupBy(F.spark_partition_id()).count().collect()
+    assert tasks[0] == 4000 and max(r["count"] for r in tasks[1]) < 1000
