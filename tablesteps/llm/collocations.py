@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .files import new_folder, remove
-from .keybits import BITS, packed_bits, places, places_of, unpacked_bits
+from .keybits import BITS, marked, packed_bits, places, places_of, unpacked_bits
 from .textbytes import U64, Texts, mix, slices
 
 MOST_WORDS = 5
@@ -136,7 +136,7 @@ def _counts(packed: bytes, scan: int, shards: int):
 
 
 def _names(packed: bytes):
-    """(key, lang, phrase) of the distinct phrases of two words and more that hash into a marked cell."""
+    """(key, lang, phrase) of the distinct phrases of two words and more whose keys are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = unpacked_bits(packed)
@@ -148,7 +148,7 @@ def _names(packed: bytes):
             for length, key in phrases.keys():
                 if length == 1:
                     continue
-                hits = np.flatnonzero(wanted[places(key)] & (phrases.left[: len(key)] >= length))
+                hits = np.flatnonzero(marked(wanted, key) & (phrases.left[: len(key)] >= length))
                 keys, first = np.unique(key[hits], return_index=True)
                 fresh = ~np.isin(keys, seen)
                 found.append(keys[fresh])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .files import new_folder
 from .jaccard import components, set_key
-from .keybits import packed_bits, places, unpacked_bits
+from .keybits import marked, packed_bits, unpacked_bits
 from .textbytes import U64, mix, shingles, slices
 
 BANDS, BAND_ROWS = 32, 5
@@ -216,7 +216,7 @@ def _marked(packed: bytes):
         wanted = unpacked_bits(packed)
         for batch in batches:
             hashed = batch.column("content").to_numpy().view(U64)
-            yield batch.filter(pa.array(wanted[places(hashed)]))
+            yield batch.filter(pa.array(marked(wanted, hashed)))
 
     return run
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BITS = 22
 SHIFT = 17  # which bits of a key tell its place
+MARKS = (36, 42, 48, 54)  # where the numbers of a key's bits within its word of a set begin
 
 
 def places(keys: np.ndarray) -> np.ndarray:
@@ -26,12 +27,36 @@ def places_of(df: DataFrame, name: str) -> np.ndarray:
     return df.where(F.col(name).isNotNull()).select(place.alias("place")).distinct().toArrow().column("place").to_numpy()
 
 
+def _word_bits() -> int:
+    """Bits of a word's number: the words of a set take as many bytes as there are places."""
+    return max(0, BITS - 3)
+
+
 def packed_bits(df: DataFrame, name: str) -> bytes:
-    """The set of a column's keys, packed to be sent to tasks: half a megabyte at most."""
-    table = np.zeros(1 << BITS, bool)
-    table[places_of(df, name)] = True
-    return zlib.compress(np.packbits(table).tobytes(), 1)
+    """The set of a column's keys, packed to be sent to tasks: four megabytes at most.
+
+    Each key sets ``len(MARKS)`` bits of one 64-bit word; with one bit a key, false hits would grow with the keys times the rows
+    passed over. Spark puts the words together, so the driver gets no more rows than the table has words, whatever the keys.
+    """
+    word = F.shiftrightunsigned(name, SHIFT).bitwiseAND(F.lit((1 << _word_bits()) - 1)).cast("int")
+    marks = [f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {shift}) & 63 as int))" for shift in MARKS]
+    rows = df.where(F.col(name).isNotNull()).groupBy(word.alias("word")).agg(F.bit_or(F.expr(" | ".join(marks))).alias("bits")).toArrow()
+    table = np.zeros(1 << _word_bits(), np.int64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return zlib.compress(table.tobytes(), 1)
 
 
 def unpacked_bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+    return np.frombuffer(zlib.decompress(packed), np.uint64)
+
+
+def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned keys may be in an unpacked set."""
+    words = table[(keys >> np.uint64(SHIFT)) & np.uint64(len(table) - 1)]
+    found = words != 0
+    at = np.flatnonzero(found)
+    bits = np.zeros(len(at), np.uint64)
+    for shift in MARKS:
+        bits |= np.uint64(1) << ((keys[at] >> np.uint64(shift)) & np.uint64(63))
+    found[at] = words[at] & bits == bits
+    return found

@@ -11,6 +11,7 @@ import pytest
 from check import compare, connect
 from conftest import SMALL
 from llm_data import frame, odd_documents, prose
+from pyspark.sql import functions as F
 
 from tablesteps.llm import collocations as C
 from tablesteps.llm import hyperminhash as H
@@ -97,6 +98,30 @@ def test_shared_places_only_cost_work(spark, monkeypatch):
     assert sorted(tuple(r) for r in found) == brute_collocations(rows, 12, 2000)
 
 
+def test_lookup_names_hardly_more_than_wanted(spark):
+    """Rare phrases that are not looked for are not named, though there are many of them and many wanted keys."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(20000)] + ["one wanted phrase"]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+    wanted = next(p for p, *_ in C._by_language(iter([batch.slice(20000)])))
+    here = [int(k) for length, key in wanted.keys() if length > 1 for k in key.view(np.int64)]
+    others = spark.range(40000).select(F.xxhash64("id").alias("key"))
+    keys = spark.createDataFrame([(k,) for k in here], "key long").union(others)
+    found = pa.Table.from_batches(C._names(keybits.packed_bits(keys, "key"))(iter([batch])))
+    assert {"one wanted", "wanted phrase", "one wanted phrase"} <= set(found.column("phrase").to_pylist())
+    assert found.num_rows < 50  # of 760,000
+
+
+def test_marked_keys_are_found(spark):
+    rng = np.random.default_rng(5)
+    keys = np.r_[rng.integers(-(2**63), 2**63 - 1, 3000), -(2**63), 2**63 - 1, -1, 0]
+    df = spark.createDataFrame([(int(k),) for k in keys] + [(None,)], "`a key` long")
+    table = keybits.unpacked_bits(keybits.packed_bits(df, "a key"))
+    assert keybits.marked(table, keys.view(U64)).all()
+    assert keybits.marked(table, rng.integers(0, 2**63, 10**6).view(U64)).sum() < 50
+    assert not keybits.marked(keybits.unpacked_bits(keybits.packed_bits(df.limit(0), "a key")), keys.view(U64)).any()
+
+
 def test_huge_counts_do_not_overflow(spark):
     a, n, l, r = 10**12, 10**13, 10**12 + 7, 10**12 + 9
     got = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").selectExpr(f"{C.SCORE} AS s").first().s
